@@ -39,7 +39,35 @@ SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DE
 FROM scores QUALIFY rank <= 5
 """
 
+LINE_DEDUP = r"""
+WITH docs AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM documents),
+raw AS (SELECT doc_id, unnest(lines) AS line, unnest(range(0, len(lines))) AS pos FROM docs),
+words AS (SELECT *, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n FROM raw),
+l AS (
+  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS k, sum(n) OVER (PARTITION BY doc_id ORDER BY pos) AS upto FROM words WHERE n > 0
+),
+spans AS (
+  SELECT 0 AS kind, a.doc_id, a.k AS i, min(b.k) AS j FROM l a JOIN l b ON a.doc_id = b.doc_id AND b.k BETWEEN a.k AND a.k + 49 WHERE b.upto - a.upto + a.n >= 50 GROUP BY a.doc_id, a.k
+  UNION ALL
+  SELECT 1, b.doc_id, max(a.k), b.k FROM l a JOIN l b ON a.doc_id = b.doc_id AND b.k BETWEEN a.k AND a.k + 49 WHERE b.upto - a.upto + a.n >= 50 GROUP BY b.doc_id, b.k
+),
+w AS (
+  SELECT s.kind, s.doc_id, s.i, s.j, min(l.pos) AS start, max(l.pos) AS stop, string_agg(l.line, chr(10) ORDER BY l.pos) AS content
+  FROM spans s JOIN l ON l.doc_id = s.doc_id AND l.k BETWEEN s.i AND s.j GROUP BY s.kind, s.doc_id, s.i, s.j
+),
+later AS (SELECT doc_id, start, stop FROM w QUALIFY row_number() OVER (PARTITION BY kind, content ORDER BY doc_id, start) > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(start, stop + 1)) AS pos FROM later),
+kept AS (
+  SELECT raw.doc_id, string_agg(line, chr(10) ORDER BY raw.pos) FILTER (gone.pos IS NULL) AS text, count(*) AS n_lines, count(gone.pos) AS n_removed
+  FROM raw LEFT JOIN gone ON raw.doc_id = gone.doc_id AND raw.pos = gone.pos GROUP BY raw.doc_id
+)
+SELECT doc_id, CASE WHEN docs.text IS NULL THEN NULL ELSE coalesce(kept.text, '') END AS text,
+  CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed
+FROM docs LEFT JOIN kept USING (doc_id)
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op1_pivots": PIVOTS,
     "op4_decontaminate": DECONTAMINATE,
+    "op7_line_dedup": LINE_DEDUP,
 }
