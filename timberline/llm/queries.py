@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, line_dedup, packing, pii, pivots, suffix_tree, toxicity
+from . import decontaminate, line_dedup, packing, pii, pivots, secrets, suffix_tree, toxicity
 from .common import table
 
 
@@ -45,6 +45,11 @@ def op8_packing(spark: SparkSession, sf_dir: str, tokenizer: str | None = None)
     return packing.packed(table(spark, sf_dir, "documents"), tokenizer)
 
 
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "start", "end", F.sha2("value", 256).alias("value_sha256"), "probability", "is_secret")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
