@@ -66,8 +66,31 @@ SELECT doc_id, CASE WHEN docs.text IS NULL THEN NULL ELSE coalesce(kept.text, ''
 FROM docs LEFT JOIN kept USING (doc_id)
 """
 
+#: Candidates share one of the rarest tenth (and one) of their shingles, which every linked pair does.
+JACCARD_JOIN = rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, CASE WHEN len(w) < 3 THEN array_to_string(w, ' ') ELSE array_to_string(w[i:i + 2], ' ') END AS g
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS i FROM w WHERE len(w) > 0)
+),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+df AS (SELECT g, count(*) AS df FROM s GROUP BY g),
+p AS (
+  SELECT s.doc_id, s.g, n.n FROM s JOIN n USING (doc_id) JOIN df USING (g)
+  QUALIFY row_number() OVER (PARTITION BY s.doc_id ORDER BY df.df, s.g) <= n.n - CAST(ceil(0.9 * n.n - 1e-9) AS BIGINT) + 1
+),
+c AS (SELECT DISTINCT a.doc_id AS a, b.doc_id AS b, a.n AS an, b.n AS bn FROM p a JOIN p b ON a.g = b.g AND a.doc_id < b.doc_id WHERE 100 * least(a.n, b.n) >= 90 * greatest(a.n, b.n)),
+i AS (SELECT c.a, c.b, c.an, c.bn, count(*) AS x FROM c JOIN s sa ON sa.doc_id = c.a JOIN s sb ON sb.doc_id = c.b AND sb.g = sa.g GROUP BY ALL),
+l AS (SELECT a, b FROM i WHERE 100 * x >= 90 * (an + bn - x)),
+e AS (SELECT a AS u, b AS v FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT DISTINCT u AS doc_id, u AS spot FROM e UNION SELECT r.doc_id, e.v FROM r JOIN e ON e.u = r.spot)
+SELECT w.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, coalesce(m.component_id, w.doc_id) AS component_id
+FROM w LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT doc_id, min(spot) AS component_id FROM r GROUP BY doc_id) m USING (doc_id)
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op1_pivots": PIVOTS,
+    "op3_jaccard_join": JACCARD_JOIN,
     "op4_decontaminate": DECONTAMINATE,
     "op7_line_dedup": LINE_DEDUP,
 }
