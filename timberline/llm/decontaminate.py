@@ -14,7 +14,7 @@ Defined cases: a null or wordless text has no words and no hits; a null or
 wordless item has no window; several items may share a window and all count;
 repeated item ids count once; repeated documents are judged row by row; empty
 tables give no rows (documents) or no hits (benchmark); further columns of
-either table are ignored, or kept by ``remove``.
+the documents are ignored, or kept by ``clean``.
 """
 
 from __future__ import annotations
@@ -25,8 +25,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .common import arrow_map, joined_hash, texts, type_of
+from .common import joined_hash, slices, small_batches, texts
 
 WORD_BYTES = bytes(
     c + 32 if 0x41 <= c <= 0x5A else c if c >= 0x80 or 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A else 0x20 for c in range(256)
@@ -111,43 +112,59 @@ def find_hits(docs: list[list[bytes]], block: Windows) -> tuple[np.ndarray, list
     return np.cumsum(cover[:-1]) > 0, found
 
 
-def contamination(
-    documents: DataFrame, benchmark: DataFrame, n: int = 13, share: int = 20, max_windows: int = 2_000_000, doc: str = "doc_id", text: str = "text"
-) -> DataFrame:
-    """A row for each document: n_words, n_hit, n_items, items_sha256, items, contaminated (a hit, and n_hit * share >= n_words)."""
-    spark, id_type = documents.sparkSession, type_of(documents, doc)
-    out = documents.select(F.col(doc).alias("doc_id"), F.col(text).alias("text"), F.lit(b"").alias("hits"), F.array().cast("array<string>").alias("items"))
+def _matched(documents: DataFrame, benchmark: DataFrame, n: int, share: int, max_windows: int, text: str, keep: bool) -> DataFrame:
+    """Each row with its hits: only the clean rows as they are (``keep``), or all rows with their figures, without the text."""
+    spark, columns = documents.sparkSession, documents.schema
+    out = documents.withColumns({"__hits": F.lit(b""), "__items": F.array().cast("array<string>")})
+    middle = out.schema
+    figures = "n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, items array<string>, contaminated boolean"
+    rest = [f for f in columns if f.name != text]
+    ends = columns if keep else StructType([*rest, *StructType.fromDDL(figures)])
     held = [spark.sparkContext.broadcast(block) for block in blocks(benchmark, n, max_windows)] or [spark.sparkContext.broadcast(Windows().seal())]
     for shared in held:
         last = shared is held[-1]
 
-        def make(shared=shared, last=last):
-            def work(batch: pa.RecordBatch) -> dict:
-                docs = [words(t) for t in texts(batch)]
+        def run(batches, shared=shared, last=last):
+            import pyarrow.compute  # noqa: F401
+
+            for batch in slices(batches, text):
+                docs = [words(t) for t in texts(batch, text)]
                 cover, found = find_hits(docs, shared.value)
                 hits, items, at = [], [], 0
-                for own, before, had, more in zip(docs, batch.column(2).to_pylist(), batch.column(3).to_pylist(), found, strict=True):
+                for own, before, had, more in zip(docs, batch.column(len(columns)).to_pylist(), batch.column(len(columns) + 1).to_pylist(), found, strict=True):
                     now = cover[at : at + len(own)]
                     if before:
                         now = now | np.unpackbits(np.frombuffer(before, np.uint8), count=len(own)).astype(bool)
                     hits.append(now)
                     items.append(sorted(more.union(had)))
                     at += len(own) + 1
+                arrays = batch.columns[: len(columns)]
                 if not last:
-                    return {"doc_id": batch.column(0), "text": batch.column(1), "hits": [np.packbits(h).tobytes() if h.any() else b"" for h in hits], "items": pa.array(items, pa.list_(pa.string()))}
+                    more = [pa.array([np.packbits(h).tobytes() if h.any() else b"" for h in hits], pa.binary()), pa.array(items, pa.list_(pa.string()))]
+                    yield pa.RecordBatch.from_arrays([*arrays, *more], batch.schema.names)
+                    continue
                 n_words, n_hit = [len(h) for h in hits], [int(h.sum()) for h in hits]
-                return {
-                    "doc_id": batch.column(0),
-                    "n_words": pa.array(n_words, pa.int64()),
-                    "n_hit": pa.array(n_hit, pa.int64()),
-                    "n_items": pa.array(map(len, items), pa.int64()),
-                    "items_sha256": [joined_hash(x) for x in items],
-                    "items": pa.array(items, pa.list_(pa.string())),
-                    "contaminated": [h > 0 and share * h >= w for w, h in zip(n_words, n_hit, strict=True)],
-                }
-
-            return work
-
-        more = "n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, items array<string>, contaminated boolean"
-        out = arrow_map(out, make, f"doc_id {id_type}, " + (more if last else "text string, hits binary, items array<string>"))
+                bad = [h > 0 and share * h >= w for w, h in zip(n_words, n_hit, strict=True)]
+                if keep:
+                    yield batch.filter(pa.array([not b for b in bad], pa.bool_())).select(range(len(columns)))
+                    continue
+                made = [pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(map(len, items), pa.int64()), pa.array([joined_hash(x) for x in items], pa.string()), pa.array(items, pa.list_(pa.string())), pa.array(bad, pa.bool_())]
+                own = [a for a, f in zip(arrays, columns, strict=True) if f.name != text]
+                yield pa.RecordBatch.from_arrays([*own, *made], [f.name for f in ends])
+
+        small_batches(spark)
+        out = out.mapInArrow(run, ends if last else middle)
     return out
+
+
+def contamination(
+    documents: DataFrame, benchmark: DataFrame, n: int = 13, share: int = 20, max_windows: int = 2_000_000, doc: str = "doc_id", text: str = "text"
+) -> DataFrame:
+    """A row for each document: n_words, n_hit, n_items, items_sha256, items, contaminated (a hit, and n_hit * share >= n_words)."""
+    rows = documents.select(F.col(doc).alias("doc_id"), F.col(text).alias("text"))
+    return _matched(rows, benchmark, n, share, max_windows, "text", keep=False)
+
+
+def clean(documents: DataFrame, benchmark: DataFrame, n: int = 13, share: int = 20, max_windows: int = 2_000_000, text: str = "text") -> DataFrame:
+    """The documents that are not contaminated, with all their columns."""
+    return _matched(documents, benchmark, n, share, max_windows, text, keep=True)

@@ -37,7 +37,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import arrow_map, checkpointed, texts, type_of
@@ -204,8 +204,9 @@ class Join:
 
     def classes(self) -> DataFrame:
         every = checkpointed(self.sets())
-        of_set = every.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.min("th").alias("th"), F.first("n").alias("n"), F.first("w").alias("w"))
-        nodes = checkpointed(of_set.select(F.monotonically_increasing_id().alias("node"), "*", F.col("w")[0].alias("g")))
+        first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("first")
+        of_set = every.where("n > 0").groupBy("fp").agg(first, F.first("n").alias("n"), F.first("w").alias("w"))
+        nodes = checkpointed(of_set.select(F.monotonically_increasing_id().alias("node"), "*", F.col("first.th").alias("th"), F.col("w")[0].alias("g")))
         groups = nodes.groupBy("g").agg(F.min("node").alias("lead"), F.count("*").alias("members")).where("members > 1")
         inside = nodes.select("node", "g", "n", "th", "fp", "w").join(groups.drop("members"), "g")
         opened = checkpointed(self.opened(nodes))
@@ -219,7 +220,7 @@ class Join:
         linked = stars.where("linked").select(F.col("a").alias("node"), F.col("b").alias("lead"), F.col("far").alias("lead_far"))
         # each node's label: its leader if it is linked to it, else itself
         member = checkpointed(
-            nodes.select("node", "doc_id", "fp", "n", "g", "w").join(linked, "node", "left").select("node", "doc_id", "fp", "n", "g", "w", F.coalesce("lead", "node").alias("label"), F.col("lead").isNotNull().alias("tied"), F.coalesce("lead_far", F.lit(0.0)).alias("lead_far"))
+            nodes.select("node", "first", "fp", "n", "g", "w").join(linked, "node", "left").select("node", "first", "fp", "n", "g", "w", F.coalesce("lead", "node").alias("label"), F.col("lead").isNotNull().alias("tied"), F.coalesce("lead_far", F.lit(0.0)).alias("lead_far"))
         )
         heads = groups.select("g", "lead")
         loose = member.where("NOT tied").join(heads, "g").where(F.col("node") != F.col("lead")).select(F.col("node").alias("a"), "g")  # the leader alone is met already
@@ -258,11 +259,18 @@ class Join:
         third = self.verified(untied.select("a", "a_n", "a_w", "b", "b_n", "b_w").unionByName(tied.select("a", "a_n", "a_w", "b", "b_n", "b_w")).where(may), sets)
 
         final = components(known.unionByName(edges(third)))
-        placed = member.select("fp", "doc_id", "label").join(final.withColumnRenamed("id", "label"), "label", "left").withColumn("label", now("label"))
-        least = placed.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-        of_fp = placed.select("fp", "label").join(least, "label").select("fp", "component_id")
-        out = every.select("doc_id", "n", "fp").join(of_fp, "fp", "left")
-        return out.select("doc_id", F.col("n").cast("bigint").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+        placed = member.select("fp", "first", "label").join(final.withColumnRenamed("id", "label"), "label", "left").withColumn("label", now("label"))
+        least = placed.groupBy("label").agg(F.min("first").alias("first"))
+        of_fp = placed.select("fp", "label").join(least, "label").select("fp", "first")
+        out = every.select("doc_id", "th", "n", "fp").join(of_fp, "fp", "left")
+        alone = F.col("n") == 0
+        return out.select(
+            "doc_id",
+            "th",
+            F.col("n").cast("bigint").alias("n_shingles"),
+            F.when(alone, F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("component_id"),
+            (alone | (F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & F.col("th").eqNullSafe(F.col("first.th")))).alias("stays"),
+        )
 
 
 def small(df: DataFrame) -> DataFrame:
@@ -280,4 +288,16 @@ def _exploded(batches):
 
 def joined(documents: DataFrame, size: int = 5, num: int = 80, den: int = 100, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (the least doc_id that links lead to) for each document."""
-    return Join(documents, size, num, den, doc, text).classes()
+    return Join(documents, size, num, den, doc, text).classes().select("doc_id", "n_shingles", "component_id")
+
+
+def representatives(documents: DataFrame, size: int = 5, num: int = 80, den: int = 100, doc: str = "doc_id", text: str = "text") -> DataFrame:
+    """The documents without those that are linked to another one which stays: of each class the row with the least id."""
+    gone = Join(documents, size, num, den, doc, text).classes().where("NOT stays").select(F.col("doc_id").alias("__d"), F.col("th").alias("__t"))
+    keyed = documents.withColumn("__th", F.xxhash64(F.col(text)))
+    same = F.col(doc).eqNullSafe(F.col("__d")) & (F.col("__th") == F.col("__t"))
+    kept = keyed.join(gone.distinct(), same, "left_anti")
+    # of rows that are repeated whole, one stays
+    again = F.row_number().over(Window.partitionBy(F.col(doc), "__th").orderBy(F.lit(0)))
+    blank = ~F.coalesce(F.col(text), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    return kept.withColumn("__again", F.when(blank, 1).otherwise(again)).where("__again = 1").select(*documents.columns)

@@ -90,3 +90,12 @@ def deduplicated(documents: DataFrame, min_words: int = 50, doc: str = "doc_id",
         }
     )
     return out.select(*documents.columns, "__n_lines", "__n_removed")
+
+
+def cleaned(documents: DataFrame, min_words: int = 50, doc: str = "doc_id", text: str = "text", length: str | None = "n_chars") -> DataFrame:
+    """The documents without later repeated runs, and without those of which nothing is left; ``length`` follows the text."""
+    out = deduplicated(documents, min_words, doc, text)
+    out = out.where((F.col("__n_removed") == 0) | F.col(text).rlike(r"[^\x20\x09-\x0D]"))
+    if length in documents.columns:
+        out = out.withColumn(length, F.when(F.col("__n_removed") > 0, F.length(text).cast(documents.schema[length].dataType)).otherwise(F.col(length)))
+    return out.select(*documents.columns)
