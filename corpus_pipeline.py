@@ -1,4 +1,4 @@
-"""The corpus pipeline: each stage takes (spark, docs, sf_dir) and gives the documents it keeps."""
+"""The corpus pipeline: each stage takes (spark, docs, sf_dir) and gives the documents it keeps, the last one packed sequences."""
 
 from __future__ import annotations
 
@@ -6,13 +6,53 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = []
+from timberline.llm import decontaminate, jaccard_join, line_dedup, packing, quality
+from timberline.llm.common import checkpointed, table
+
+
+def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier rejects go."""
+    return quality.kept(docs, table(spark, sf_dir, "labels"))
+
+
+def line_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Later copies of repeated runs of lines go, and documents of which nothing is left."""
+    return line_dedup.cleaned(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays: five-word shingles, a similarity of 0.8 or more."""
+    return jaccard_join.representatives(docs, size=5, num=80, den=100)
+
+
+def benchmark_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents contaminated by benchmark passages go."""
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sequences of at most 4096 tokens."""
+    import public_tokenizers
+
+    return packing.packed(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality", quality_filter),
+    ("line_dedup", line_filter),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", benchmark_filter),
+    ("packing", pack),
+]
+#: Trained and tokenized stages have no SQL; tests compare the stages with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to the documents table in turn."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    """Apply the stages to the documents table in turn, each on what the one before has written."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
+        if name != STAGES[-1][0]:
+            docs = checkpointed(docs)
     return docs
