@@ -19,7 +19,7 @@ occurrence.  Only positions are shuffled, and the texts once, to meet them.
 
 Defined cases: a null text stays null and has no lines; rows with one id and
 text are one place, so none of them is the later one; a null id sorts first;
-blank lines inside a removed run go with it; a text may become empty; other
+blank lines inside a repeated window go with it; a text may become empty; other
 columns are kept whatever their names; an empty table gives no rows.
 """
 
@@ -30,10 +30,11 @@ from pyspark.sql import functions as F
 
 _SPACE = r"[\\x20\\x09-\\x0D]"
 
+_TRIMMED = "btrim(x, concat(' ', char(9), char(10), char(11), char(12), char(13)))"
+
 #: pos: place among all lines; n: words.  Bound once for each text by the outer transform.
 _LINES = rf"""
-filter(transform(split(__text, '\n'), (x, i) -> struct(i AS pos, xxhash64(x) AS h, hash(x) AS g,
-  size(split(regexp_replace(x, '^{_SPACE}+|{_SPACE}+$', ''), '{_SPACE}+')) - if(x RLIKE '^{_SPACE}*$', 1, 0) AS n)), s -> s.n > 0)
+filter(transform(split(__text, '\n'), (x, i) -> struct(i AS pos, xxhash64(x) AS h, hash(x) AS g, if({_TRIMMED} = '', 0, size(split({_TRIMMED}, '{_SPACE}+'))) AS n)), s -> s.n > 0)
 """
 
 
@@ -62,8 +63,11 @@ def repeated(rows: DataFrame, least: int) -> DataFrame:
     places = found.groupBy("low").agg(F.min(F.struct("__doc", "__key", "start")).alias("a"), F.max(F.struct("__doc", "__key", "start")).alias("b"))
     followed = found.join(places.where("a <> b").select("low"), "low", "left_semi")
     content = ["kind", "low", "h", "g", "m"]
-    first = followed.groupBy(*content).agg(F.min(F.struct("__doc", "start")).alias("first"), F.max(F.struct("__doc", "start")).alias("final")).where("first <> final").drop("final")
-    later = followed.join(first, content).where(F.struct("__doc", "start") > F.col("first")).select("__doc", "__key", "start", "stop").distinct()
+    # both sides of the join read the same columns, so that one shuffle of the windows serves both
+    place = F.struct("__doc", "start", "stop", "__key")
+    same = lambda a, b: F.col(f"{a}.__doc").eqNullSafe(F.col(f"{b}.__doc")) & (F.col(f"{a}.start") == F.col(f"{b}.start"))
+    first = followed.groupBy(*content).agg(F.min(place).alias("first"), F.max(place).alias("final")).where(~same("first", "final")).drop("final")
+    later = followed.join(first, content).where(F.struct("__doc", "start") > F.struct("first.__doc", "first.start")).select("__doc", "__key", "start", "stop").distinct()
     order = Window.partitionBy("__doc", "__key").orderBy("start", "stop")
     before = F.max("stop").over(order.rowsBetween(Window.unboundedPreceding, -1))
     islands = later.withColumn("new", (before.isNull() | (F.col("start") > before)).cast("int"))
