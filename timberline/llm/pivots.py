@@ -37,6 +37,9 @@ from pyspark.sql import functions as F
 
 from .common import checkpointed
 
+#: Squares beyond the range of floats are infinite: their bounds rule out nothing.
+np.seterr(over="ignore", invalid="ignore")
+
 EXACT = 2.0**53
 PACK = 256
 
@@ -112,7 +115,7 @@ def top(q: np.ndarray, q_id: int, q_dist: np.ndarray, floor: int, ids: np.ndarra
         rows = rows[ids[rows] != q_id]
         scores = products(q, x[rows], exact)
         good = scores >= floor
-        found = sorted([*found, *zip((-scores[good]).tolist(), ids[rows][good].tolist(), strict=True)])[:k]
+        found = sorted([*found, *zip([-s for s in scores[good].tolist()], ids[rows][good].tolist(), strict=True)])[:k]
         if len(found) == k:
             floor = max(floor, -found[-1][0])
     return [(-s, i) for s, i in found]
