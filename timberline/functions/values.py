@@ -24,16 +24,10 @@ def null_variant() -> Column:
 
 def type_of(value: Column) -> Column:
     """null, boolean, number, string, array or object; SQL NULL for an absent value."""
-    name = F.schema_of_variant(value)
-    return (
-        F.when(value.isNull(), F.lit(None).cast("string"))
-        .when(name == "VOID", "null")
-        .when(name == "STRING", STRING)
-        .when(name == "BOOLEAN", BOOLEAN)
-        .when(name.startswith("ARRAY"), ARRAY)
-        .when(name.startswith("OBJECT"), OBJECT)
-        .otherwise(NUMERIC)
-    )
+    name = F.regexp_extract(F.schema_of_variant(value), "^[A-Z]+", 0)
+    kinds = F.lit(",VOID=null,STRING=string,BOOLEAN=boolean,ARRAY=array,OBJECT=object,")
+    found = F.substring_index(F.substring_index(kinds, F.concat(F.lit(","), name, F.lit("=")), -1), ",", 1)
+    return F.when(name.isin("VOID", "STRING", "BOOLEAN", "ARRAY", "OBJECT"), found).when(name.isNotNull(), F.lit(NUMERIC))
 
 
 def as_string(value: Column) -> Column:
@@ -43,7 +37,8 @@ def as_string(value: Column) -> Column:
 
 def as_number(value: Column) -> Column:
     """The number in it as a double, else NULL; strings and booleans are no numbers."""
-    return F.when(type_of(value) == NUMERIC, F.try_variant_get(value, "$", "double"))
+    name = F.schema_of_variant(value)
+    return F.when(name.isin("BIGINT", "DOUBLE", "FLOAT") | name.startswith("DECIMAL"), F.try_variant_get(value, "$", "double"))
 
 
 def as_boolean(value: Column) -> Column:

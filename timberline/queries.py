@@ -35,7 +35,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     reader.prepare(spark)
-    return spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("level_", F.expr(LEVEL)).withColumn("status", F.expr(STATUS))
+    return spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp")).withColumn("level_", F.expr(LEVEL)).withColumn("status", F.expr(STATUS))
 
 
 def parsed(rows: DataFrame, line: Column, format) -> DataFrame:
