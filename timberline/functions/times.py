@@ -48,6 +48,11 @@ def epoch(seconds: Column, unit: int = 1) -> Column:
     return parts(F.timestamp_micros(second * 1_000_000 + F.floor(nanos / 1000)), nanos, F.lit(0))
 
 
+def epoch_millis(millis: Column) -> Column:
+    """From whole milliseconds, exactly."""
+    return parts(F.timestamp_micros(millis * 1000), F.pmod(millis, F.lit(1000)) * 1_000_000, F.lit(0))
+
+
 def shown(time: Column, offset: Column, pattern: str) -> Column:
     """In the offset it was written in; fractions are cut, not rounded."""
     return F.date_format(F.timestamp_micros(F.unix_micros(time) + F.coalesce(offset, F.lit(0)).cast("bigint") * 1_000_000), pattern)

@@ -64,7 +64,8 @@ class Node:
 
     @property
     def json(self) -> Column:
-        return F.to_json(self.v) if self.v is not None else F.lit(None).cast("string")
+        """Of arrays and objects, else NULL."""
+        return F.when(self.kind.isin("array", "object"), F.to_json(self.v)) if self.v is not None else F.lit(None).cast("string")
 
     def rank(self) -> Column:
         """In jq's order of types and values."""
@@ -319,7 +320,6 @@ def plan(expression: str) -> tuple[object, Column | None]:
 def interpreted(tree) -> Column:
     """The predicate by the interpreter, over Arrow batches."""
 
-    @F.arrow_udf("boolean")
     def matches(records: pa.Array) -> pa.Array:
         out = []
         for r in records.to_pylist():
@@ -327,7 +327,8 @@ def interpreted(tree) -> Column:
             out.append(found and interpreter.truthy(v))
         return pa.array(out, pa.bool_())
 
-    return matches(record_json())
+    # not to be moved into a place where Python cannot run
+    return F.arrow_udf(matches, "boolean").asNondeterministic()(record_json())
 
 
 def predicate(expression: str, native: bool | None = None) -> Column:
@@ -346,7 +347,6 @@ def outputs(expression: str) -> Column:
     tree = parse(expression)
     interpreter.check(tree)
 
-    @F.arrow_udf("array<string>")
     def run(records: pa.Array) -> pa.Array:
         out = []
         for r in records.to_pylist():
@@ -358,8 +358,15 @@ def outputs(expression: str) -> Column:
             out.append(own)
         return pa.array(out, pa.list_(pa.string()))
 
-    return run(record_json())
+    return F.arrow_udf(run, "array<string>").asNondeterministic()(record_json())
 
 
-def where(records: DataFrame, expression: str) -> DataFrame:
-    return records.where(predicate(expression)) if expression.strip() else records
+def where(records: DataFrame, expression: str, native: bool | None = None) -> DataFrame:
+    """The records that match; all of them for an empty expression.  ``native`` as for ``predicate``."""
+    if not expression.strip():
+        return records
+    matches = predicate(expression, native)
+    if native is False or plan(expression)[1] is None:
+        # in a projection of its own, from which Spark always takes Python functions out
+        return records.withColumn("__jq", matches).where("__jq").drop("__jq")
+    return records.where(matches)

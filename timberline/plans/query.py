@@ -41,9 +41,7 @@ class LogQuery:
         if self.quick.strip():
             tests.append(filters.quick(self.quick))
         tests += [filters.shown(c) == key for c, key in zip(self.group, self.expanded, strict=False)]
-        if self.jq.strip():
-            tests.append(jq.predicate(self.jq))
-        return records.where(reduce(Column.__and__, tests)) if tests else records
+        return jq.where(records.where(reduce(Column.__and__, tests)) if tests else records, self.jq)
 
     def order(self) -> list[Column]:
         for column, _ in self.sort:

@@ -92,7 +92,7 @@ def scan_cloudwatch_tail(spark, sf_dir):
     return parsed(events(spark, sf_dir), render.tail_line(F.col("ts"), F.lit("stream-1"), inner), CloudWatchFormat(2024)).select("event_id", "time", "level", "msg", string("log_stream").alias("log_stream"), string("inner_format").alias("inner_format"))
 
 
-@query("SELECT 'e' || event_id AS event_key, epoch_ms(ts) AS ms, 'INFO' AS level, event_type AS msg, 'app' AS log_stream FROM events")
+@query("SELECT 'e' || event_id AS event_key, epoch_us(ts) // 1000 AS ms, 'INFO' AS level, event_type AS msg, 'app' AS log_stream FROM events")
 def scan_cloudwatch_doc(spark, sf_dir):
     message = F.concat(F.lit("level=info msg="), F.col("event_type"), F.lit("\n"))
     event = F.struct(F.lit("app").alias("logStreamName"), (F.floor(F.unix_micros("ts") / 1000)).alias("timestamp"), message.alias("message"), F.concat(F.lit("e"), F.col("event_id")).alias("eventId"))
@@ -173,7 +173,7 @@ def infer_value(spark, sf_dir):
 
 def jq_query(name: str, expression: str, sql: str, native: bool | None = True) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return json_records(spark, sf_dir).where(jq.predicate(expression, native)).select("event_id", "level")
+        return jq.where(json_records(spark, sf_dir), expression, native).select("event_id", "level")
 
     run.__name__ = name
     query(f"SELECT event_id, {{LEVEL}} AS level FROM events WHERE {sql}")(run)
@@ -196,7 +196,7 @@ jq_query("jq_reduce", "reduce range(3) as $i (0; . + $i) == 3 and (.props | to_e
 
 @query("SELECT event_id, CAST(CAST(user_id AS VARCHAR) || '-' || event_type AS VARCHAR) AS out FROM events")
 def jq_outputs(spark, sf_dir):
-    found = json_records(spark, sf_dir).select("event_id", F.explode(jq.outputs('"\\(.user)-\\(.kind)"')).alias("o"))
+    found = json_records(spark, sf_dir).withColumn("o", jq.outputs('"\\(.user)-\\(.kind)"')).select("event_id", F.explode("o").alias("o"))
     return found.select("event_id", F.expr("trim(BOTH '\"' FROM o)").alias("out"))
 
 

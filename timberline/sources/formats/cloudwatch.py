@@ -40,7 +40,7 @@ class CloudWatchFormat:
 
     def event(self, event: Column) -> Column:
         """One event of a document."""
-        stamp = times.epoch(F.when(event["timestamp"] != 0, event["timestamp"]).cast("double"), 1000)
+        stamp = times.epoch_millis(F.when((event["timestamp"] != 0) & (F.abs(event["timestamp"]) < 9_000_000_000_000_000), event["timestamp"]))
         extra = attrs.listed(("log_stream", F.coalesce(event["logStreamName"], F.lit(""))), ("event_id", F.when(event["eventId"] != "", event["eventId"])))
         message = F.coalesce(event["message"], F.lit(""))
         return bound(inner(message, self.formats), lambda x: self.outer(x["r"], stamp, extra, message))

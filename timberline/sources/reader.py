@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .formats import RECORD, CloudWatchFormat, Format, Registry
@@ -62,8 +62,13 @@ class Logs:
         return self.every.agg(F.lit(self.format).alias("format"), F.count_if(F.col("r").isNotNull()).alias("records"), F.count_if(F.col("r").isNull()).alias("skipped"))
 
 
+def once(record: Column) -> Column:
+    """The record, made once a row: a generator is a place that the optimizer copies no expression through."""
+    return F.explode(F.array(record))
+
+
 def parse(lines: DataFrame, format: Format, column: str = "value") -> Logs:
-    return Logs(lines.withColumn("r", format.parse(F.col(column)).cast(RECORD)), format.name)
+    return Logs(lines.select("*", once(format.parse(F.col(column)).cast(RECORD)).alias("r")), format.name)
 
 
 def votes(lines: DataFrame, formats: list[Format], column: str = "value") -> DataFrame:
@@ -97,7 +102,7 @@ def cloudwatch_events(documents: DataFrame, format: CloudWatchFormat) -> Logs:
     parsed = F.from_json("value", DOCUMENT)
     checked = F.when(parsed.isNull() | ~F.col("value").rlike(r"^\s*\{") | F.try_parse_json("value").isNull(), F.raise_error(F.lit("malformed CloudWatch document"))).otherwise(parsed)
     events = documents.select("file", F.posexplode(checked["events"]).alias("line_no", "e"))
-    return Logs(events.select("file", F.col("line_no").cast("long").alias("line_no"), F.col("e.message").alias("value"), format.event(F.col("e")).cast(RECORD).alias("r")), format.name)
+    return Logs(events.select("file", F.col("line_no").cast("long").alias("line_no"), F.col("e.message").alias("value"), once(format.event(F.col("e")).cast(RECORD)).alias("r")), format.name)
 
 
 def is_document(spark: SparkSession, path: str | list[str]) -> bool:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.formats import RECORD, Format, Registry
-from ..sources.reader import prepare, split_lines
+from ..sources.reader import once, prepare, split_lines
 
 
 def read_stream(spark: SparkSession, path: str, format: str | Format, registry: Registry | None = None, **options) -> DataFrame:
@@ -14,7 +14,7 @@ def read_stream(spark: SparkSession, path: str, format: str | Format, registry:
     prepare(spark)
     chosen = (registry or Registry()).need(format) if isinstance(format, str) else format
     lines = split_lines(spark.readStream.options(lineSep="\n", **options).text(path))
-    return lines.withColumn("r", chosen.parse(F.col("value")).cast(RECORD)).where("r IS NOT NULL").select("r.*", F.lit(chosen.name).alias("format"))
+    return lines.select(once(chosen.parse(F.col("value")).cast(RECORD)).alias("r")).where("r IS NOT NULL").select("r.*", F.lit(chosen.name).alias("format"))
 
 
 def level_counts(records: DataFrame, window: str = "1 minute", late: str = "10 minutes") -> DataFrame:
