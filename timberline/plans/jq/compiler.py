@@ -317,7 +317,7 @@ def plan(expression: str) -> tuple[object, Column | None]:
     return tree, F.coalesce(node.ok & (F.lit(True) if node.known == "record" else node.truthy), F.lit(False))
 
 
-def interpreted(tree) -> Column:
+def interpreted(tree, record: Column | None = None) -> Column:
     """The predicate by the interpreter, over Arrow batches."""
 
     def matches(records: pa.Array) -> pa.Array:
@@ -328,7 +328,7 @@ def interpreted(tree) -> Column:
         return pa.array(out, pa.bool_())
 
     # not to be moved into a place where Python cannot run
-    return F.arrow_udf(matches, "boolean").asNondeterministic()(record_json())
+    return F.arrow_udf(matches, "boolean").asNondeterministic()(record_json() if record is None else record)
 
 
 def predicate(expression: str, native: bool | None = None) -> Column:
@@ -342,7 +342,7 @@ def predicate(expression: str, native: bool | None = None) -> Column:
     return interpreted(tree) if column is None or native is False else column
 
 
-def outputs(expression: str) -> Column:
+def outputs(expression: str, record: Column | None = None) -> Column:
     """All outputs of an expression, as an array of JSON texts; an error ends them."""
     tree = parse(expression)
     interpreter.check(tree)
@@ -358,15 +358,26 @@ def outputs(expression: str) -> Column:
             out.append(own)
         return pa.array(out, pa.list_(pa.string()))
 
-    return F.arrow_udf(run, "array<string>").asNondeterministic()(record_json())
+    return F.arrow_udf(run, "array<string>").asNondeterministic()(record_json() if record is None else record)
 
 
 def where(records: DataFrame, expression: str, native: bool | None = None) -> DataFrame:
     """The records that match; all of them for an empty expression.  ``native`` as for ``predicate``."""
     if not expression.strip():
         return records
-    matches = predicate(expression, native)
-    if native is False or plan(expression)[1] is None:
-        # in a projection of its own, from which Spark always takes Python functions out
-        return records.withColumn("__jq", matches).where("__jq").drop("__jq")
-    return records.where(matches)
+    tree, column = plan(expression)
+    if column is not None and native is not False:
+        return records.where(column)
+    if native:
+        raise JqError(f"{expression!r} needs the interpreter")
+    return _with_json(records).withColumn("__jq", interpreted(tree, F.col("__json"))).where("__jq").drop("__jq", "__json")
+
+
+def _with_json(records: DataFrame) -> DataFrame:
+    """Adds the record's JSON as a column made once, so that Python functions get a plain column."""
+    return records.select("*", F.explode(F.array(record_json())).alias("__json"))
+
+
+def with_outputs(records: DataFrame, expression: str, name: str = "outputs") -> DataFrame:
+    """Adds all outputs of an expression, as an array of JSON texts."""
+    return _with_json(records).withColumn(name, outputs(expression, F.col("__json"))).drop("__json")

@@ -196,7 +196,7 @@ jq_query("jq_reduce", "reduce range(3) as $i (0; . + $i) == 3 and (.props | to_e
 
 @query("SELECT event_id, CAST(CAST(user_id AS VARCHAR) || '-' || event_type AS VARCHAR) AS out FROM events")
 def jq_outputs(spark, sf_dir):
-    found = json_records(spark, sf_dir).withColumn("o", jq.outputs('"\\(.user)-\\(.kind)"')).select("event_id", F.explode("o").alias("o"))
+    found = jq.with_outputs(json_records(spark, sf_dir), '"\\(.user)-\\(.kind)"', "o").select("event_id", F.explode("o").alias("o"))
     return found.select("event_id", F.expr("trim(BOTH '\"' FROM o)").alias("out"))
 
 
@@ -309,9 +309,9 @@ def levels_by_hour(spark, sf_dir):
     return found.select(F.col("window.start").alias("hour"), "level", "records")
 
 
-@query("SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') || '+02:00' AS written, ts AS time_text_source FROM events WHERE microsecond(ts) % 1000000 = 0")
+@query("SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') || '+02:00' AS written, date_trunc('second', ts) AS time_text_source FROM events")
 def time_offsets(spark, sf_dir):
-    rows = events(spark, sf_dir).where("unix_micros(ts) % 1000000 = 0").withColumn("written", F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+02:00")))
+    rows = events(spark, sf_dir).withColumn("written", F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+02:00")))
     found = parsed(rows, F.concat(F.lit("a=1 time="), F.col("written")), LogfmtFormat())
     own = times.rfc3339_text(F.col("time"), F.col("time_nanos"), F.col("time_offset_s"))
     return found.select("event_id", own.alias("written"), F.timestamp_micros(F.unix_micros("time") + 7_200_000_000).alias("time_text_source"))
