@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -23,16 +24,23 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
+def checkpointed(df: DataFrame, free: bool = False) -> DataFrame:
     """Write ``df`` to the folder all executors share and go on from there.
 
     The folder is the session's ``spark.checkpoint.dir``; one of our own is set
-    only where the session names none (tests on one machine).
+    only where the session names none (tests on one machine).  ``free``: let
+    Spark's cleaner drop the shuffles that only the way to ``df`` needed, now
+    rather than when the driver happens to collect its garbage.
     """
     context = df.sparkSession.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
         context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints-"))
-    return df.checkpoint()
+    out = df.checkpoint()
+    del df
+    if free:
+        gc.collect()
+        context._jvm.System.gc()
+    return out
 
 
 def ascii_lower(column):

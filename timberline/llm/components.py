@@ -21,18 +21,23 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.where("u <> v").distinct()
 
 
+def _written(edges: DataFrame) -> DataFrame:
+    """As new columns: what a checkpoint still knows of its origin's constraints does not fit the unions here."""
+    return checkpointed(edges).select(F.expr("u + 0L").alias("u"), F.expr("v + 0L").alias("v"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """id, component (its least id) for each node of the edges (u, v), by alternating large and small stars.
 
     Each round is written to the shared folder, so a lost executor costs a part
     of one round; the number of rounds grows with the logarithm of the graph.
     """
-    edges = checkpointed(edges.where("u <> v").distinct())
+    edges = _written(edges.where("u <> v").distinct())
     before = None
     while True:
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).head()
         if state == before or not state[0]:
             break
         before = state
-        edges = checkpointed(_star(_star(edges, True), False))
+        edges = _written(_star(_star(edges, True), False))
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())

@@ -13,7 +13,7 @@
 4. In an opened group the query meets its leader first.  Linked nodes share a
    label, and pairs with one label need no comparison.  Other members are met only
    if sizes, the overlap of their least hashes and the triangle inequality of the
-   Jaccard distance by way of the leader allow a link.
+   Jaccard distance by way of the leader allow a link.  Crowded groups are met block by block with matrix products.
 5. Components of the links give the classes.
 
 No link between different sets is lost: each bound is a necessary condition, and
@@ -22,7 +22,7 @@ skipped pairs are in one class already.  Pairs within a class are never listed.
 Scale: one pass over the texts, a second over the texts of nodes that may have
 links; shuffles are of hashes, pre-aggregated.  Large groups are met by way of
 their leader.  Needed ids and common tokens are broadcast only up to
-``BROADCAST`` rows, else joined.
+``BROADCAST`` bytes, else joined.
 
 Defined cases: a null, empty or blank text has an empty set, is linked with
 nothing and is its own component; a text of fewer words than a shingle has one;
@@ -43,8 +43,10 @@ from pyspark.sql import functions as F
 from .common import arrow_map, checkpointed, texts, type_of
 from .components import components
 
-#: Rows of two longs, at most 32 MB.
-BROADCAST = 1_000_000
+#: Bytes up to which a table is broadcast.
+BROADCAST = 16 << 20
+#: Pairs of one group from which it is met in blocks, and the bytes of a block's hashes.
+PAIRS, BLOCK = 2048, 4 << 20
 #: Groups that hold a token before it counts as common (out of 64 buckets of groups, those met).
 COMMON = 40
 _M1, _M2, _M3 = (np.uint64(x) for x in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x9E3779B97F4A7C15))
@@ -123,7 +125,7 @@ class Join:
             def work(batch: pa.RecordBatch) -> dict:
                 sets = shingle_sets(texts(batch), size)
                 n = [len(s) for s in sets]
-                least = [(3 * (m - -(-num * m // den) + 3)) // 2 + 8 for m in n]
+                least = [(5 * (m - -(-num * m // den) + 3)) // 4 + 6 for m in n]
                 return {"doc_id": batch.column(0), "th": batch.column(2), "n": pa.array(n, pa.int32()), "fp": pa.array(map(fingerprint, sets), pa.binary()), "w": pa.array([s[:k] for s, k in zip(sets, least, strict=True)], pa.list_(pa.int64()))}
 
             return work
@@ -131,21 +133,19 @@ class Join:
         return arrow_map(self.rows, make, f"doc_id {self.id_type}, th bigint, n int, fp binary, w array<bigint>")
 
     def whole_sets(self, wanted: DataFrame) -> DataFrame:
-        """node, set: all hashes (8 bytes each) of the nodes of ``wanted`` (node, th, fp)."""
+        """node, set: all hashes (8 bytes each) of the nodes of ``wanted`` (node, first), read from the first text of each."""
         size = self.size
 
         def make():
             def work(batch: pa.RecordBatch) -> dict:
-                sets = shingle_sets(texts(batch), size)
-                return {"f": pa.array(map(fingerprint, sets), pa.binary()), "set": pa.array([s.tobytes() for s in sets], pa.binary())}
+                return {"node": batch.column(0), "set": pa.array([s.tobytes() for s in shingle_sets(texts(batch), size)], pa.binary())}
 
             return work
 
-        few = small(wanted.select("th").distinct())
-        read = arrow_map(self.rows.join(few, "th", "left_semi").select("text"), make, "f binary, set binary")
-        return read.join(wanted.select("node", "fp"), F.col("f") == F.col("fp")).groupBy("node").agg(F.first("set").alias("set"))
+        few = small(wanted.select("node", F.col("first.doc_id").alias("d"), F.col("first.th").alias("t")))
+        return arrow_map(self.rows.join(few, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t"))).select("node", "text"), make, "node bigint, set binary")
 
-    def verified(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    def verified(self, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
         """a, b and far, the Jaccard distance, of pairs (a, b); linked says whether it is within the threshold."""
         num, den = self.num, self.den
 
@@ -163,10 +163,48 @@ class Join:
                     linked.append(both > 0 and den * both >= num * union)
                 yield pa.RecordBatch.from_pydict({"a": batch.column(0), "b": batch.column(1), "far": pa.array(far, pa.float64()), "linked": pa.array(linked, pa.bool_())})
 
+        pairs = checkpointed(pairs.select("a", "b").distinct())
+        ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+        sets = small(self.whole_sets(nodes.select("node", "first").join(small(ends), "node", "left_semi")), F.octet_length("set") + 16)
         left, right = sets.toDF("a", "left"), sets.toDF("b", "right")
-        met = pairs.select("a", "b").distinct().join(right, "b").join(left, "a").select("a", "b", "left", "right")
+        met = pairs.join(right, "b").join(left, "a").select("a", "b", "left", "right")
         return checkpointed(met.mapInArrow(compare, "a bigint, b bigint, far double, linked boolean"))
 
+    def in_blocks(self, ask: DataFrame, body: DataFrame, nodes: DataFrame) -> DataFrame:
+        """u, v: labels that links join, between the queries and the members of the same groups.
+
+        Both sides are dealt to blocks of about ``BLOCK`` bytes of hashes; each block
+        of queries meets each block of members in a task of its own.
+        """
+        num, den = self.num, self.den
+        sides = {
+            "q": ask.select("g", F.col("a").alias("node"), F.col("a_label").alias("label"), F.col("a_n").alias("n"), F.explode(F.when(F.col("q_linked"), F.array(F.lit(False))).otherwise(F.array(F.lit(False), F.lit(True)))).alias("tied")),
+            "m": body.select("g", F.col("b").alias("node"), F.col("b_label").alias("label"), F.col("b_n").alias("n"), "tied"),
+        }
+        ends = sides["q"].select("node").unionByName(sides["m"].select("node")).distinct()
+        sets = checkpointed(self.whole_sets(nodes.select("node", "first").join(small(ends), "node", "left_semi")))
+
+        def blocks(side: str) -> tuple[DataFrame, DataFrame]:
+            rows = checkpointed(sides[side].distinct())
+            counts = rows.groupBy("g", "tied").agg(F.ceil(F.sum(8 * F.col("n") + 64) / BLOCK).cast("int").alias("of"))
+            dealt = rows.join(counts, ["g", "tied"]).withColumn("block", F.pmod(F.xxhash64("node"), "of").cast("int")).join(sets, "node")
+            packed = dealt.groupBy("g", "tied", "block").agg(F.collect_list(F.struct("label", "set")).alias(side))
+            return packed, counts
+
+        queries, parts = blocks("q")
+        members, _ = blocks("m")
+        spread = members.withColumnRenamed("block", "m_block").join(parts, ["g", "tied"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("of") - 1))).drop("of")
+
+        def compare(batches):
+            for batch in batches:
+                for left, right in zip(batch.column(0), batch.column(1), strict=True):
+                    left, right = left.as_py(), right.as_py()
+                    found = joined_labels(*([r["label"] for r in side] for side in (left, right)), *([np.frombuffer(r["set"], np.int64) for r in side] for side in (left, right)), num, den)
+                    yield pa.RecordBatch.from_pydict({"u": pa.array([u for u, _ in found], pa.int64()), "v": pa.array([v for _, v in found], pa.int64())})
+
+        met = queries.join(spread, ["g", "tied", "block"]).select("q", "m")
+        return checkpointed(met.mapInArrow(compare, "u bigint, v bigint"))
+
     # --- the matrix ---
 
     def prefixes(self, nodes: DataFrame) -> DataFrame:
@@ -174,15 +212,14 @@ class Join:
         n, w = F.col("n"), F.col("w")
         tokens = nodes.select("node", "g", F.explode("w").alias("token"))
         met = F.bit_or(F.expr("shiftleft(1L, int(pmod(xxhash64(g), 64)))"))
-        common = checkpointed(tokens.groupBy("token").agg(met.alias("met")).where(F.bit_count("met") > COMMON).select("token"))
-        common = small(common)
-        hits = tokens.join(common, "token").groupBy("node").agg(F.collect_list("token").alias("common"))
+        common = small(tokens.groupBy("token").agg(met.alias("met")).where(F.bit_count("met") > COMMON).select("token"))
+        hits = small(tokens.join(common, "token").groupBy("node").agg(F.collect_list("token").alias("common")), 8 * F.size("common") + 32)
         length = (n - self.least_overlap(n) + self.at_least(n)).cast("int")
         known = nodes.join(hits, "node", "left").withColumn("common", F.coalesce("common", F.array().cast("array<bigint>")))
         known = known.withColumn("rare", F.when(F.size("common") > 0, F.array_except(w, "common")).otherwise(w))
         short = (F.size("rare") < length) & (F.size(w) < n)
         plain = known.where(~short).select("node", "n", "g", F.explode(F.slice(F.concat("rare", F.array_sort("common")), F.lit(1), length)).alias("token"))
-        far = checkpointed(known.where(short).select("node", "n", "g", "th", "fp"))
+        far = checkpointed(known.where(short).select("node", "n", "g", "first"))
         if far.isEmpty():
             return plain
         whole = self.whole_sets(far).mapInArrow(_exploded, "node bigint, token bigint")
@@ -192,9 +229,9 @@ class Join:
 
     def opened(self, nodes: DataFrame) -> DataFrame:
         """a, g: query nodes and the groups before their own that they have to meet."""
-        prefix = checkpointed(self.prefixes(nodes))
+        prefix = self.prefixes(nodes)
         shared = small(prefix.groupBy("token").agg(F.min("g").alias("p"), F.max("g").alias("q")).where("p <> q").select("token"))
-        own = prefix.join(shared, "token")
+        own = checkpointed(prefix.join(shared, "token").select("token", "node", "n", "g"), free=True)
         matrix = own.select("token", F.col("g").alias("other")).distinct()
         met = own.join(matrix, (own.token == matrix.token) & (F.col("other") < F.col("g"))).groupBy(F.col("node").alias("a"), "other").agg(F.count("*").alias("k"), F.first("n").alias("n"))
         sure = self.at_least(F.col("n") * F.lit(self.num) / F.lit(self.den))
@@ -206,60 +243,67 @@ class Join:
         every = checkpointed(self.sets())
         first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("first")
         of_set = every.where("n > 0").groupBy("fp").agg(first, F.first("n").alias("n"), F.first("w").alias("w"))
-        nodes = checkpointed(of_set.select(F.monotonically_increasing_id().alias("node"), "*", F.col("first.th").alias("th"), F.col("w")[0].alias("g")))
-        groups = nodes.groupBy("g").agg(F.min("node").alias("lead"), F.count("*").alias("members")).where("members > 1")
-        inside = nodes.select("node", "g", "n", "th", "fp", "w").join(groups.drop("members"), "g")
-        opened = checkpointed(self.opened(nodes))
-        wanted = inside.select("node").unionByName(opened.select(F.col("a").alias("node"))).unionByName(nodes.join(opened.select("g").distinct(), "g", "left_semi").select("node")).distinct()
-        sets = checkpointed(self.whole_sets(nodes.select("node", "th", "fp").join(wanted, "node", "left_semi")))
-
-        leaders = nodes.select(F.col("node").alias("lead"), F.col("n").alias("lead_n"), F.col("w").alias("lead_w"))
-        first = inside.join(leaders, "lead").where(F.col("node") != F.col("lead"))
-        first = first.where(self.may_link(F.col("n"), F.col("w"), F.col("lead_n"), F.col("lead_w"))).select(F.col("node").alias("a"), F.col("lead").alias("b"))
-        stars = self.verified(first, sets)
-        linked = stars.where("linked").select(F.col("a").alias("node"), F.col("b").alias("lead"), F.col("far").alias("lead_far"))
+        nodes = checkpointed(of_set.select(F.monotonically_increasing_id().alias("node"), "*", F.col("w")[0].alias("g")), free=True)
+        del of_set
+        slim = nodes.select("node", "n", "g")
+
+        def by_hashes(pairs: DataFrame) -> DataFrame:
+            """Of pairs (a, b) those whose least hashes leave a link possible."""
+            pairs = checkpointed(pairs.select("a", "b").distinct())
+            ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+            known = small(nodes.select("node", "n", "w").join(small(ends), "node", "left_semi"), 8 * F.size("w") + 32)
+            met = pairs.join(known.toDF("b", "nb", "wb"), "b").join(known.toDF("a", "na", "wa"), "a")
+            return met.where(self.may_link(F.col("na"), F.col("wa"), F.col("nb"), F.col("wb"))).select("a", "b")
+
+        # every node and the leader of its own group
+        groups = slim.groupBy("g").agg(F.min(F.struct("node", "n")).alias("l"), F.count("*").alias("members"))
+        heads = checkpointed(groups.select("g", F.col("l.node").alias("lead"), F.col("l.n").alias("lead_n"), "members"))
+        several = heads.where("members > 1")
+        first = slim.join(several, "g").where((F.col("node") != F.col("lead")) & self.fits(F.col("n"), F.col("lead_n")))
+        stars = self.verified(by_hashes(first.select(F.col("node").alias("a"), F.col("lead").alias("b"))), nodes)
+        linked = stars.where("linked").select(F.col("a").alias("node"), F.col("b").alias("label"), F.col("far").alias("lead_far"))
         # each node's label: its leader if it is linked to it, else itself
-        member = checkpointed(
-            nodes.select("node", "first", "fp", "n", "g", "w").join(linked, "node", "left").select("node", "first", "fp", "n", "g", "w", F.coalesce("lead", "node").alias("label"), F.col("lead").isNotNull().alias("tied"), F.coalesce("lead_far", F.lit(0.0)).alias("lead_far"))
-        )
-        heads = groups.select("g", "lead")
-        loose = member.where("NOT tied").join(heads, "g").where(F.col("node") != F.col("lead")).select(F.col("node").alias("a"), "g")  # the leader alone is met already
-        lone = nodes.groupBy("g").agg(F.min("node").alias("lead"))
-        asked = opened.join(lone, "g").select("a", "g", "lead")
-        leads = member.select(F.col("node").alias("lead"), F.col("n").alias("lead_n"), F.col("w").alias("lead_w"), F.col("label").alias("lead_label"))
-        query = member.select(F.col("node").alias("a"), F.col("n").alias("a_n"), F.col("w").alias("a_w"), F.col("label").alias("a_label"))
-        meets = asked.join(query, "a").join(leads, "lead").where(self.fits(F.col("a_n"), F.col("lead_n")))
-        second = self.verified(meets.where(self.may_link(F.col("a_n"), F.col("a_w"), F.col("lead_n"), F.col("lead_w"))).select("a", F.col("lead").alias("b")), sets)
-        label_of = member.select(F.col("node").alias("x"), F.col("label").alias("l"))
+        member = slim.join(linked, "node", "left")
+        member = checkpointed(member.select("node", "n", "g", F.coalesce("label", "node").alias("label"), F.col("label").isNotNull().alias("tied"), F.coalesce("lead_far", F.lit(0.0)).alias("lead_far")))
+        label_of = member.select("node", "label")
 
         def edges(links: DataFrame) -> DataFrame:
             ends = links.where("linked").select("a", "b")
-            ends = ends.join(label_of.toDF("a", "u"), "a").join(label_of.toDF("b", "v"), "b")
-            return ends.select("u", "v")
+            return ends.join(label_of.toDF("a", "u"), "a").join(label_of.toDF("b", "v"), "b").select("u", "v")
 
+        # queries of other groups and the leaders of the groups they open
+        query = member.select(F.col("node").alias("a"), F.col("n").alias("a_n"), F.col("label").alias("a_label"))
+        asked = checkpointed(self.opened(nodes).join(heads.drop("members"), "g").join(query, "a"))
+        second = self.verified(by_hashes(asked.where(self.fits(F.col("a_n"), F.col("lead_n"))).select("a", F.col("lead").alias("b"))), nodes)
         known = edges(second)
         merged = checkpointed(components(known))
-        now = lambda c: F.coalesce("component", c)
 
         def relabelled(df: DataFrame, label: str) -> DataFrame:
-            return df.join(merged.withColumnRenamed("id", label), label, "left").withColumn(label, now(label)).drop("component")
+            return df.join(merged.toDF(label, "to"), label, "left").withColumn(label, F.coalesce("to", label)).drop("to")
 
         # whom a query still has to meet: members with another label, tied ones only if the way by the leader is short enough
-        met = second.select("a", F.col("b").alias("lead"), F.col("far").alias("q_far"), F.col("linked").alias("q_linked"))
-        again = asked.join(met, ["a", "lead"], "left").select("a", "g", "lead", "q_far", F.coalesce("q_linked", F.lit(False)).alias("q_linked"))
-        own = loose.join(heads, "g").join(stars.select("a", F.col("far").alias("q_far")), "a", "left").select("a", "g", "lead", "q_far", F.lit(False).alias("q_linked"))
-        ask = relabelled(again.unionByName(own).join(query, "a"), "a_label")
-        body = relabelled(member.select(F.col("node").alias("b"), F.col("n").alias("b_n"), F.col("w").alias("b_w"), F.col("g"), F.col("label").alias("b_label"), "tied", "lead_far"), "b_label")
+        met = second.select("a", F.col("b").alias("lead"), F.col("far").alias("q_far"), "linked")
+        again = asked.join(met, ["a", "lead"], "left").select("a", "a_n", "a_label", "g", "lead", "q_far", F.coalesce("linked", F.lit(False)).alias("q_linked"))
+        loose = member.where("NOT tied").join(several, "g").where(F.col("node") != F.col("lead")).select(F.col("node").alias("a"), F.col("n").alias("a_n"), F.col("label").alias("a_label"), "g", "lead")
+        own = loose.join(stars.select("a", F.col("far").alias("q_far")), "a", "left").select("a", "a_n", "a_label", "g", "lead", "q_far", F.lit(False).alias("q_linked"))
+        ask = checkpointed(relabelled(again.unionByName(own), "a_label"))
+        body = member.join(ask.select("g").distinct(), "g", "left_semi").select(F.col("node").alias("b"), F.col("n").alias("b_n"), "g", F.col("label").alias("b_label"), "tied", "lead_far")
+        body = checkpointed(relabelled(body, "b_label"))
         differ = (F.col("a") != F.col("b")) & (F.col("a_label") != F.col("b_label")) & (F.col("b") != F.col("lead")) & self.fits(F.col("a_n"), F.col("b_n"))
-        may = self.may_link(F.col("a_n"), F.col("a_w"), F.col("b_n"), F.col("b_w"))
         slack = 1 - self.num / self.den + 1e-9
-        ask, body = checkpointed(ask), checkpointed(body)
+        # groups with many pairs are met in blocks of sets, which give one link for each class they join
+        many = ask.groupBy("g").agg(F.count("*").alias("q")).join(body.groupBy("g").agg(F.count("*").alias("m")), "g").where(F.col("q") * F.col("m") > PAIRS).select("g")
+        many = small(many)
+        crowds = self.in_blocks(ask.join(many, "g", "left_semi"), body.join(many, "g", "left_semi"), nodes)
+        ask, body = ask.join(many, "g", "left_anti"), body.join(many, "g", "left_anti")
         untied = ask.join(body.where("NOT tied"), "g").where(differ)
         tied = ask.where("NOT q_linked").join(body.where("tied"), "g").where(differ & (F.col("q_far").isNull() | (F.col("q_far") - F.col("lead_far") <= slack)))
-        third = self.verified(untied.select("a", "a_n", "a_w", "b", "b_n", "b_w").unionByName(tied.select("a", "a_n", "a_w", "b", "b_n", "b_w")).where(may), sets)
+        third = self.verified(by_hashes(untied.select("a", "b").unionByName(tied.select("a", "b"))), nodes)
 
-        final = components(known.unionByName(edges(third)))
-        placed = member.select("fp", "first", "label").join(final.withColumnRenamed("id", "label"), "label", "left").withColumn("label", now("label"))
+        # as new columns: what a checkpoint still knows of its origin does not fit a union
+        fresh = [links.select(F.expr("u + 0L").alias("u"), F.expr("v + 0L").alias("v")) for links in (known, edges(third), crowds)]
+        final = components(fresh[0].unionByName(fresh[1]).unionByName(fresh[2]))
+        placed = nodes.select("node", "fp", "first").join(label_of, "node").join(final.toDF("label", "to"), "label", "left").withColumn("label", F.coalesce("to", "label"))
         least = placed.groupBy("label").agg(F.min("first").alias("first"))
         of_fp = placed.select("fp", "label").join(least, "label").select("fp", "first")
         out = every.select("doc_id", "th", "n", "fp").join(of_fp, "fp", "left")
@@ -273,10 +317,55 @@ class Join:
         )
 
 
-def small(df: DataFrame) -> DataFrame:
-    """The table, to be broadcast if it is within ``BROADCAST`` rows."""
-    df = checkpointed(df)
-    return F.broadcast(df) if df.count() <= BROADCAST else df
+def joined_labels(left_labels: list[int], right_labels: list[int], left: list[np.ndarray], right: list[np.ndarray], num: int, den: int, step: int = 4096) -> list[tuple[int, int]]:
+    """Pairs of labels that links between two lists of sets join; no more than a spanning forest of them."""
+    size_l, size_r = np.array([len(x) for x in left]), np.array([len(x) for x in right])
+    token_l, token_r = np.concatenate(left), np.concatenate(right)
+    shared = np.intersect1d(token_l, token_r)
+    both = np.zeros((len(left), len(right)), np.float32)  # whole numbers, exact below 2^24
+
+    def placed(tokens: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.minimum(np.searchsorted(shared, tokens), max(0, len(shared) - 1))
+        good = shared[at] == tokens if len(shared) else np.zeros(len(tokens), bool)
+        row, column = np.repeat(np.arange(len(sizes)), sizes)[good], at[good]
+        order = np.argsort(column, kind="stable")
+        return row[order], column[order]
+
+    (row_l, col_l), (row_r, col_r) = placed(token_l, size_l), placed(token_r, size_r)
+    for low in range(0, len(shared), step):
+        high = min(low + step, len(shared))
+        parts = []
+        for row, col, n in ((row_l, col_l, len(left)), (row_r, col_r, len(right))):
+            a, b = np.searchsorted(col, [low, high])
+            dense = np.zeros((n, high - low), np.float32)
+            dense[row[a:b], col[a:b] - low] = 1
+            parts.append(dense)
+        both += parts[0] @ parts[1].T
+    label_l, label_r = np.array(left_labels), np.array(right_labels)
+    parent: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (y := parent.get(x, x)) != x:
+            parent[x] = x = parent.get(y, y)
+        return x
+
+    out = []
+    for i in range(len(left)):
+        union = size_l[i] + size_r - both[i]
+        linked = (both[i] > 0) & (den * both[i].astype(np.int64) >= num * union.astype(np.int64)) & (label_r != label_l[i])
+        for v in np.unique(label_r[linked]).tolist():
+            a, b = find(left_labels[i]), find(v)
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+                out.append((left_labels[i], v))
+    return out
+
+
+def small(df: DataFrame, size=None) -> DataFrame:
+    """The table, to be broadcast if it is within ``BROADCAST`` bytes; ``size``: of a row, of 32 bytes if not given."""
+    out = checkpointed(df, free=True)
+    held = out.agg(F.sum(F.lit(32) if size is None else size)).head()[0] or 0
+    return F.broadcast(out) if held <= BROADCAST else out
 
 
 def _exploded(batches):
