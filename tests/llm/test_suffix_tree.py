@@ -109,3 +109,32 @@ def test_probabilities_sum_to_one():
     outside = sum((k + 1) for w, k in c.items() if w not in words) + 1
     factor = 10 ** model.score(model.word_ids([[*context, b"never"]]))[1][2]
     assert p[at].sum() + factor * outside / (sum(c.values()) + len(c) + 1) == pytest.approx(1.0)
+
+
+@pytest.mark.parametrize(("depth", "least", "test", "cached"), [(1, 0.0, 2.0, 0.01), (2, 0.0, 1.0, 0.01), (3, 0.0, 0.5, 1.0), (2, 0.004, 1.0, 0.0)])
+def test_tables_against_definition(spark, monkeypatch, depth, least, test, cached):
+    monkeypatch.setattr(suffix_tree, "WHOLE", 0)
+    monkeypatch.setattr(suffix_tree, "CACHED", cached)
+    rows = rows_of()
+    df = spark.createDataFrame([(d, t, "x") for d, t in rows], "doc_id long, text string, word string").repartition(3)
+    got = suffix_tree.scored(df, F.crc32(F.col("doc_id").cast("string")) % 7 != 2, depth, least, test, 4.0).collect()
+    want, states = brute(rows, depth, least, test, 4.0)
+    assert states
+    key = lambda r: (str(r[0]), r[1:5])
+    for g, w in zip(sorted(map(tuple, got), key=key), sorted(want, key=key), strict=True):
+        assert g[:5] == w[:5]
+        assert g[5:] == pytest.approx(w[5:], abs=1e-9)
+
+
+def test_rare_sequences_count_in_a_large_corpus(spark):
+    """A pair seen three times among 1.6 million tokens is a context and its continuation."""
+    filler = spark.range(1600).select(F.col("id").alias("doc_id"), F.expr("repeat('the cat sat on a mat and ran away ', 111)").alias("text"))
+    rare = spark.createDataFrame([(10000 + i, f"w{i} qx qy") for i in range(3)] + [(-1, "qx qy")], "doc_id long, text string")
+    got = {r.doc_id: r for r in suffix_tree.scored(filler.unionByName(rare), F.col("doc_id") >= 0).where("doc_id < 0 OR doc_id >= 10000").collect()}
+    total = got[-1].train_tokens
+    distinct = 9 + 1 + 2 + 3  # nine filler words, the end, qx, qy, w0 to w2
+    root = lambda c: (c + 1) / (total + distinct + 1)
+    assert total > 1_000_000 and got[-1].base_score == pytest.approx(2 * math.log10(root(3)) + math.log10(root(1603)))
+    after_qx = 3 / 11 + 8 / 11 * root(3)
+    after_qy = 3 / 11 + 8 / 11 * root(1603)
+    assert got[-1].score == pytest.approx(math.log10(root(3)) + math.log10(after_qx) + math.log10(after_qy), abs=1e-9)

@@ -3,26 +3,27 @@
 Symbols are words (ASCII white space apart, A-Z lower-cased) and one end per
 text.  The root of the tree is the add-one unigram distribution over all
 training words.  A context of up to ``depth`` words is a candidate state if it
-makes up at least ``least`` of all training tokens; it becomes a state if the
-divergence test holds: the log-likelihood ratio of its next symbols against
-those of its longest retained suffix is at least ``test`` nats.  A state's
-distribution keeps the counts of its frequent next symbols and gives all other
-mass, and ``prior`` pseudo-counts, to the distribution of its longest retained
-suffix:
+occurs twice or more; it becomes a state if the divergence test holds: the
+log-likelihood ratio of its next symbols against those of its longest retained
+suffix is at least ``test`` nats.  A state's distribution keeps the counts of the
+next symbols that follow it twice or more and gives all other mass, and ``prior``
+pseudo-counts, to the distribution of its longest retained suffix:
 
     P(w | s) = c(s, w) / (c(s) + prior) + (c(s) - sum of kept c(s, .) + prior) / (c(s) + prior) * P(w | parent of s)
 
 which sums to one.  A text's tokens are scored by the longest suffix state of
-what stands before them.
-
-Scale: relative frequency bounds the model.  No more than 1 / ``least`` words,
-contexts or transitions of one length can reach the threshold, whatever the
-corpus, so the frequent part is a few sorted arrays of proven size, broadcast to
-the workers.  It is found level by level: a sequence can be frequent only if
-both its parts are, so only those are counted.  The other words, without bound in
-number, never leave the cluster: their counts stay in a table that is joined to
-the few tokens of each text that are not frequent.  Counts cover all training
-texts.
+what stands before them.  ``least`` asks in addition that a word or sequence
+makes up that share of all training tokens; it is 0 if not given, so that the
+model grows with the corpus and thresholds are the same at every size.
+
+Scale: a model that cannot hold more than ``WHOLE`` sequences of one length is
+a few sorted arrays, broadcast to the workers (``broadcast_scores``).  Any other
+stays in tables (``table_scores``): each sequence of the texts gets a row with
+its count, and the probability of its last word after the words before it, level
+by level, as that of a sequence follows from that of its suffix and from its
+context's state.  Token positions are joined to these rows.  Only the sequences
+that make up ``CACHED`` of the tokens are broadcast, to spare them the join.
+Sequences are known by 64-bit hashes there.
 
 Defined cases: a null text is empty (one token, the end); a null id belongs to
 the training part; no training text at all gives every token the probability of
@@ -44,11 +45,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_map, checkpointed, slices, small_batches, texts, type_of
+from .jaccard_join import _M3, _mixed
 
 END = b"\n"
 BITS = 20
 #: Distinct words or sequences that a task counts before it hands them on.
 HELD = 300_000
+#: Sequences of one length up to which the model is broadcast whole.
+WHOLE = 500_000
+#: Share of all tokens from which a sequence's row is broadcast besides its table.
+CACHED = 4e-6
 
 
 def tokens(text: bytes) -> list[bytes]:
@@ -205,22 +211,171 @@ def sequence_counts(documents: DataFrame, model) -> DataFrame:
     return documents.select("text").mapInArrow(run, "code bigint, c bigint").groupBy("code").agg(F.sum("c").alias("c"))
 
 
-def scored(documents: DataFrame, train, depth: int = 2, least: float = 2e-6, test: float = 12.0, prior: float = 8.0, doc: str = "doc_id", text: str = "text") -> DataFrame:
+def hashed(docs: list[list[bytes]], depth: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """For n up to depth + 1, the hash of the n words that end at each token; and the token's place in its text."""
+    import xxhash
+
+    lengths = np.array([len(d) for d in docs])
+    words = np.fromiter(map(xxhash.xxh3_64_intdigest, chain.from_iterable(docs)), np.uint64, int(lengths.sum()))
+    keys = [_mixed(words + _M3)]
+    for _ in range(depth):
+        longer = np.zeros(len(words), np.uint64)
+        longer[1:] = _mixed(keys[-1][:-1] + words[1:] + _M3)
+        keys.append(longer)
+    return [k.view(np.int64) for k in keys], np.arange(len(words)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+
+
+def every_sequence(rows: DataFrame, depth: int) -> DataFrame:
+    """n, g, context, suffix, c: the sequences of n words of all texts, and how often they occur in training texts."""
+
+    def run(batches):
+        import pyarrow.compute  # noqa: F401
+
+        held: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] * 4 for _ in range(depth + 1)]
+
+        def merged(n, parts):
+            g, context, suffix, c = (np.concatenate(x) for x in zip(held[n], *parts, strict=True))
+            unique, first, at = np.unique(g, return_index=True, return_inverse=True)
+            return [unique, context[first], suffix[first], np.bincount(at, c, len(unique)).astype(np.int64)]
+
+        def out(n):
+            g, context, suffix, c = held[n]
+            return pa.RecordBatch.from_pydict({"n": pa.array(np.full(len(g), n + 1), pa.int32()), "g": g, "context": context, "suffix": suffix, "c": c})
+
+        for piece in slices(batches):
+            docs = [tokens(t) for t in texts(piece)]
+            keys, place = hashed(docs, depth)
+            train = np.repeat(np.array(piece.column(2).to_pylist(), np.int64), [len(d) for d in docs])
+            for n, g in enumerate(keys):
+                at = np.flatnonzero(place >= n)
+                below = keys[n - 1] if n else np.zeros(len(g), np.int64)
+                held[n] = merged(n, [[g[at], below[at - 1], below[at], train[at]]])
+                if len(held[n][0]) > 4 * HELD:
+                    yield out(n)
+                    held[n] = [np.zeros(0, np.int64)] * 4
+        for n in range(depth + 1):
+            if len(held[n][0]):
+                yield out(n)
+
+    small_batches(rows.sparkSession)
+    found = rows.select("doc_id", "text", "train").mapInArrow(run, "n int, g bigint, context bigint, suffix bigint, c bigint")
+    return found.groupBy("n", "g").agg(F.max("context").alias("context"), F.max("suffix").alias("suffix"), F.sum("c").alias("c"))
+
+
+def probabilities(rows: DataFrame, depth: int, floor: int, total: int, distinct: int, test: float, prior: float) -> DataFrame:
+    """g, c, base, tree, known: of each sequence the log10 of the root's and of the tree's probability of its last word."""
+    every = checkpointed(every_sequence(rows, depth), free=True)
+    root = (F.col("c") + 1) / F.lit(float(total + distinct + 1))
+    below = every.where("n = 1").select("g", "c", root.alias("p"), F.log10(root).alias("base"), (F.col("c") > 0).alias("known"))
+    levels = [below]
+    often = F.col("c") >= max(2, floor)
+    for n in range(2, depth + 2):
+        parent = below.select(F.col("g").alias("suffix"), F.col("p").alias("parent"), "base", "known")
+        met = every.where(F.col("n") == n).select("g", "context", "suffix", "c").join(parent, "suffix")
+        after = met.where(often).groupBy("context").agg(F.sum("c").alias("kept"), F.sum("parent").alias("share"), F.sum(F.col("c") * F.log(F.col("c") / F.col("parent"))).alias("gain"))
+        of = below.select(F.col("g").alias("context"), F.col("c").alias("of"))
+        rest = 1 - F.col("kept") / F.col("of")
+        left = F.when(rest > 1e-9, F.col("of") * rest * F.log(F.greatest(rest, F.lit(1e-12)) / F.greatest(1 - F.col("share"), F.lit(1e-12)))).otherwise(0.0)
+        states = after.join(of, "context").where(F.col("gain") - F.col("kept") * F.log("of") + left >= test).select("context", "of", "kept")
+        whole = F.col("of") + prior
+        own = F.when(often, F.col("c")).otherwise(0) / whole + (whole - F.col("kept")) / whole * F.col("parent")
+        p = F.when(F.col("of").isNull(), F.col("parent")).otherwise(own)
+        below = checkpointed(met.join(states, "context", "left").select("g", "c", p.alias("p"), "base", "known"), free=True)
+        levels.append(below)
+    # as new columns: what a checkpoint still knows of its origin does not fit a union
+    fresh = [x.select(F.expr("g + 0L").alias("g"), F.expr("c + 0L").alias("c"), (F.col("base") + 0.0).alias("base"), F.log10("p").alias("tree"), F.col("known").cast("int").alias("known")) for x in levels]
+    out = fresh[0]
+    for x in fresh[1:]:
+        out = out.unionByName(x)
+    return out
+
+
+def table_scores(rows: DataFrame, id_type: str, depth: int, floor: int, total: int, distinct: int, test: float, prior: float) -> DataFrame:
+    """The scores by a model of any size, which never leaves the cluster."""
+    known = probabilities(rows, depth, floor, total, distinct, test, prior)
+    frequent = known.where(F.col("c") >= max(1, math.ceil(CACHED * total))).drop("c").orderBy("g").toArrow()  # at most 1 / CACHED of each length
+    shared = rows.sparkSession.sparkContext.broadcast([frequent[c].to_numpy() for c in ("g", "base", "tree", "known")])
+
+    def make():
+        part, place = TaskContext.get().partitionId() << 33, 0
+
+        def work(batch: pa.RecordBatch) -> dict:
+            nonlocal place
+            cached, *values = shared.value
+            docs = [tokens(t) for t in texts(batch)]
+            keys, inside = hashed(docs, depth)
+            g = np.choose(np.minimum(inside, depth), keys)
+            lengths = np.array([len(d) for d in docs])
+            at = np.minimum(np.searchsorted(cached, g), max(0, len(cached) - 1))
+            here = cached[at] == g if len(cached) else np.zeros(len(g), bool)
+            starts = np.cumsum(lengths) - lengths
+            base, tree, seen = [np.add.reduceat(np.where(here, v[at] if len(v) else 0, 0), starts) for v in values]
+            row = np.arange(part + place, part + place + len(docs))
+            place += len(docs)
+            m = int((~here).sum())
+
+            def column(values, kind):
+                return pa.concat_arrays([pa.array(values, kind), pa.nulls(m, kind)])
+
+            return {
+                "row": pa.array(np.concatenate([row, np.repeat(row, lengths)[~here]])),
+                "doc_id": pa.concat_arrays([batch.column(0), pa.nulls(m, batch.column(0).type)]),
+                "held_out": pa.concat_arrays([pa.compute.invert(batch.column(2)), pa.nulls(m, pa.bool_())]),
+                "n_tokens": column(lengths, pa.int64()),
+                "n_known": column(seen, pa.int64()),
+                "own_base": column(base, pa.float64()),
+                "own_tree": column(tree, pa.float64()),
+                # a document's own row has a place of its own in the shuffle and counts nothing that it meets
+                "g": pa.array(np.concatenate([_mixed(row.astype(np.uint64)).view(np.int64), g[~here]])),
+            }
+
+        return work
+
+    flat = arrow_map(rows, make, f"row bigint, doc_id {id_type}, held_out boolean, n_tokens bigint, n_known bigint, own_base double, own_tree double, g bigint")
+    met = flat.join(known.drop("c"), "g", "left")
+    token = F.col("n_tokens").isNull()
+
+    def both(own: str, found: str):
+        return F.sum(F.when(token, F.col(found)).otherwise(F.col(own)))
+
+    return (
+        met.groupBy("row")
+        .agg(
+            F.max("doc_id").alias("doc_id"),
+            F.bool_or("held_out").alias("held_out"),
+            F.sum("n_tokens").alias("n_tokens"),
+            both("n_known", "known").alias("n_known"),
+            F.lit(total).cast("bigint").alias("train_tokens"),
+            both("own_base", "base").alias("base_score"),
+            both("own_tree", "tree").alias("score"),
+        )
+        .drop("row")
+    )
+
+
+def scored(documents: DataFrame, train, depth: int = 2, least: float = 0.0, test: float = 12.0, prior: float = 8.0, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """A row for each document: n_tokens, n_known, train_tokens, base_score and score (log10), held_out.
 
     ``train``: a condition on the table's columns; texts for which it is false are held out.
     """
-    spark, id_type = documents.sparkSession, type_of(documents, doc)
+    id_type = type_of(documents, doc)
     rows = documents.select(F.col(doc).alias("doc_id"), F.col(text).alias("text"), F.coalesce(train, F.lit(True)).alias("train"))
-    learn = rows.where("train")
-    counts = checkpointed(word_counts(learn))
+    counts = checkpointed(word_counts(rows.where("train")))
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).head()
     floor = max(1, math.ceil(least * total))
-    frequent = counts.where(F.col("c") >= floor).orderBy(F.desc("c"), "word").collect()  # at most 1 / least
+    if total / floor > WHOLE:
+        return table_scores(rows, id_type, depth, floor, total, distinct, test, prior)
+    return broadcast_scores(rows, counts, id_type, depth, floor, total, distinct, test, prior)
+
+
+def broadcast_scores(rows: DataFrame, counts: DataFrame, id_type: str, depth: int, floor: int, total: int, distinct: int, test: float, prior: float) -> DataFrame:
+    """The scores by a model of at most ``WHOLE`` sequences of each length."""
+    spark, learn = rows.sparkSession, rows.where("train")
+    frequent = counts.where(F.col("c") >= floor).orderBy(F.desc("c"), "word").collect()  # at most WHOLE
     model = Model([w.word.encode() for w in frequent], [w.c for w in frequent])
     for _ in range(depth):
         shared = spark.sparkContext.broadcast(model)
-        found = sequence_counts(learn, shared).where(F.col("c") >= max(2, floor)).toArrow()  # at most 1 / least
+        found = sequence_counts(learn, shared).where(F.col("c") >= max(2, floor)).toArrow()  # at most WHOLE
         shared.unpersist()
         model.add(found["code"].to_numpy(), found["c"].to_numpy())
     model.grow(total, distinct, test, prior)
