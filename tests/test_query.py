@@ -86,3 +86,20 @@ def test_registered(spark):
     names = __spark_entry__.queries()
     assert set(__spark_entry__.oracle_sql()) <= set(names)
     assert __spark_entry__.entry(spark).count() == 1000
+
+
+def test_detail_of_all_events(spark):
+    import json
+
+    import __spark_entry__
+
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet").collect()
+    levels = {"error": "ERROR", "purchase": "WARN", "signup": "DEBUG"}
+    want = set()
+    for e in events:
+        number = str(int(e.value)) if e.value == int(e.value) else repr(e.value)
+        time = f"{e.ts:%Y-%m-%d %H:%M:%S}.{e.ts.microsecond // 1000:03d} UTC"
+        fields = {"time": time, "level": levels.get(e.event_type, "INFO"), "msg": f"event {e.event_type}", "event_id": str(e.event_id), "user": str(e.user_id), "value": number, "kind": e.event_type, "props": json.dumps(json.loads(e.props), separators=(",", ":"))}
+        want |= {(e.event_id, k, v) for k, v in fields.items()}
+    got = [tuple(r) for r in __spark_entry__.queries()["detail_all_fields"](spark, "/root/testdata/sf0.001").collect()]
+    assert len(got) == 8 * len(events) and set(got) == want
