@@ -104,3 +104,39 @@ def test_components(spark):
             changed |= parent[a] != m or parent[b] != m
             parent[a] = parent[b] = m
     assert got == {x: c for x, c in parent.items() if any(x in e for e in edges if e[0] != e[1])}
+
+
+@pytest.mark.parametrize("repeats", [1, 40])
+def test_whole_sets_of_repeated_rows(spark, repeats):
+    """A node has one set, however often its first row is repeated."""
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(400)}" for _ in range(60)]
+    near = [*base[:-1], "other"]
+    rows = [(1, " ".join(base))] * repeats + [(2, " ".join(near)), (None, "a b c d")] + [(None, "a b c d")] * repeats
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    join = jaccard_join.Join(df, 3, 90, 100, "doc_id", "text")
+    key = lambda r: tuple(str(x) for x in r)
+    got = join.classes().select("doc_id", "n_shingles", "component_id").collect()
+    assert sorted(map(tuple, got), key=key) == sorted(brute(rows, 3, 90, 100), key=key)
+    first = [(7, (1, " ".join(base))), (8, (2, " ".join(near))), (9, (None, "a b c d"))]
+    wanted = spark.createDataFrame([(n, d, x) for n, (d, x) in first], "node long, doc_id long, text string")
+    from pyspark.sql import functions as F
+
+    nodes = wanted.select("node", F.struct("doc_id", F.xxhash64("text").alias("th")).alias("first"))
+    join.repeated = nodes.select("node")
+    assert sorted(r.node for r in join.whole_sets(nodes).collect()) == [7, 8, 9]
+
+
+def test_repeated_rows_with_common_passages(spark, monkeypatch):
+    """Prefixes of common tokens are made of different tokens, however often a row is repeated."""
+    monkeypatch.setattr(jaccard_join, "COMMON", 3)
+    rng = random.Random(9)
+    passages = [[f"p{rng.randrange(200)}" for _ in range(60)] for _ in range(2)]
+    rows = []
+    for i in range(60):
+        own = passages[0] + passages[1] + [f"r{rng.randrange(10**6)}" for _ in range(rng.choice([2, 3, 4, 30]))]
+        rows += [(i, " ".join(own))] * rng.choice([1, 25, 40])
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    key = lambda r: tuple(str(x) for x in r)
+    assert sorted(map(tuple, jaccard_join.joined(df, 3, 90, 100).collect()), key=key) == sorted(brute(rows, 3, 90, 100), key=key)

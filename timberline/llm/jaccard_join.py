@@ -97,6 +97,8 @@ class Join:
         self.size, self.num, self.den = size, num, den
         self.id_type = type_of(documents, doc)
         self.rows = documents.select(F.col(doc).alias("doc_id"), F.col(text).alias("text")).withColumn("th", F.xxhash64("text"))
+        #: The nodes whose first row is repeated whole, if there are any.
+        self.repeated: DataFrame | None = None
 
     # --- numbers that follow from a set's size n, as Columns ---
 
@@ -143,7 +145,11 @@ class Join:
             return work
 
         few = small(wanted.select("node", F.col("first.doc_id").alias("d"), F.col("first.th").alias("t")))
-        return arrow_map(self.rows.join(few, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t"))).select("node", "text"), make, "node bigint, set binary")
+        found = self.rows.join(few, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t"))).select("node", "text")
+        if self.repeated is not None:  # one row a node; only the texts of repeated rows are shuffled for it
+            once = found.join(self.repeated, "node", "left_semi").dropDuplicates(["node"])
+            found = found.join(self.repeated, "node", "left_anti").unionByName(once)
+        return arrow_map(found, make, "node bigint, set binary")
 
     def verified(self, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
         """a, b and far, the Jaccard distance, of pairs (a, b); linked says whether it is within the threshold."""
@@ -245,6 +251,9 @@ class Join:
         of_set = every.where("n > 0").groupBy("fp").agg(first, F.first("n").alias("n"), F.first("w").alias("w"))
         nodes = checkpointed(of_set.select(F.monotonically_increasing_id().alias("node"), "*", F.col("w")[0].alias("g")), free=True)
         del of_set
+        again = every.where("n > 0").groupBy("doc_id", "th").count().where("count > 1").select(F.col("doc_id").alias("d"), F.col("th").alias("t"))
+        repeated = small(nodes.join(again, F.col("first.doc_id").eqNullSafe(F.col("d")) & (F.col("first.th") == F.col("t"))).select("node"))
+        self.repeated = None if repeated.isEmpty() else repeated
         slim = nodes.select("node", "n", "g")
 
         def by_hashes(pairs: DataFrame) -> DataFrame:
