@@ -103,3 +103,21 @@ def test_detail_of_all_events(spark):
         want |= {(e.event_id, k, v) for k, v in fields.items()}
     got = [tuple(r) for r in __spark_entry__.queries()["detail_all_fields"](spark, "/root/testdata/sf0.001").collect()]
     assert len(got) == 8 * len(events) and set(got) == want
+
+
+def test_whole_order(spark):
+    import __spark_entry__
+
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet").collect()
+    levels = {"error": "ERROR", "purchase": "WARN", "signup": "DEBUG"}
+    by_time = sorted(sorted(events, key=lambda e: e.event_id), key=lambda e: e.ts, reverse=True)
+    by_msg = sorted(sorted(events, key=lambda e: e.event_id), key=lambda e: e.event_type, reverse=True)
+    by_level = sorted(by_msg, key=lambda e: levels.get(e.event_type, "INFO"))
+    for name, want in (("sort_time_rank", by_time), ("sort_level_msg_rank", by_level)):
+        got = {r.event_id: r["rank"] for r in __spark_entry__.queries()[name](spark, "/root/testdata/sf0.001").collect()}
+        assert got == {e.event_id: i for i, e in enumerate(want, 1)}
+
+
+def test_ranks_of_a_window(records):
+    assert sorted((r["rank"], r.msg) for r in LogQuery(start=1, end=3).ranked(records).select("rank", "msg").collect()) == [(2, "Started"), (3, "no time")]
+    assert LogQuery(quick="none such").ranked(records).collect() == []

@@ -67,6 +67,18 @@ class LogQuery:
             rows = rows.limit(self.end)
         return rows.offset(self.start) if self.start else rows
 
+    def ranked(self, records: DataFrame) -> DataFrame:
+        """The rows and ``rank``, their number in the order from 1 on; counted by partition, so that no task holds all rows."""
+        spark = records.sparkSession
+        # kept, so that counts and ranks see the same partitions
+        rows = self.run(records).withColumn("_at", F.monotonically_increasing_id()).localCheckpoint()
+        part, before, offsets = F.shiftrightunsigned("_at", 33), self.start, []
+        for r in rows.groupBy(part.alias("part")).agg(F.count("*").alias("n")).orderBy("part").collect():
+            offsets.append((r.part, before))
+            before += r.n
+        placed = rows.join(F.broadcast(spark.createDataFrame(offsets, "_part bigint, _before bigint")), part == F.col("_part"))
+        return placed.withColumn("rank", F.col("_before") + F.col("_at").bitwiseAND((1 << 33) - 1) + 1).drop("_at", "_part", "_before")
+
     def page(self, number: int, size: int = 100) -> LogQuery:
         return replace(self, start=number * size, end=(number + 1) * size)
 

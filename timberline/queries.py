@@ -240,6 +240,18 @@ def sort_level_msg(spark, sf_dir):
     return LogQuery(sort=(("level", False), ("msg", True)), end=200, place=("event_id",)).run(json_records(spark, sf_dir)).select("event_id", "level", "msg")
 
 
+@query("SELECT event_id, ts AS time, row_number() OVER (ORDER BY ts DESC, event_id) AS rank FROM events")
+def sort_time_rank(spark, sf_dir):
+    """The whole order of which ``sort_time`` shows the first rows."""
+    return LogQuery(sort=(("time", True),), place=("event_id",)).ranked(json_records(spark, sf_dir).select("event_id", "time"))
+
+
+@query("SELECT event_id, {LEVEL} AS level, 'event ' || event_type AS msg, row_number() OVER (ORDER BY {LEVEL}, event_type DESC, event_id) AS rank FROM events")
+def sort_level_msg_rank(spark, sf_dir):
+    """The whole order of which ``sort_level_msg`` shows the first rows."""
+    return LogQuery(sort=(("level", False), ("msg", True)), place=("event_id",)).ranked(json_records(spark, sf_dir).select("event_id", "level", "msg"))
+
+
 @query("SELECT event_id FROM events ORDER BY event_id LIMIT 50 OFFSET 150")
 def page_window(spark, sf_dir):
     return LogQuery(place=("event_id",)).page(3, 50).run(json_records(spark, sf_dir)).select("event_id")
