@@ -52,10 +52,11 @@ def families(seed, copies, length, edits, common=0.5):
 
 @pytest.mark.parametrize(("seed", "size", "num", "copies", "length", "edits", "common"), [(1, 3, 90, 12, 120, 4, 40), (2, 5, 80, 12, 80, 3, 40), (3, 3, 90, 25, 200, 9, 3), (4, 5, 80, 25, 60, 3, 1), (5, 2, 50, 10, 30, 8, 0)])
 def test_against_all_pairs(spark, monkeypatch, seed, size, num, copies, length, edits, common):
-    monkeypatch.setattr(jaccard_join, "COMMON", common)
+    monkeypatch.setattr(jaccard_join, "WHOLE", common)  # most sets show a share of their tokens only
+    monkeypatch.setattr(jaccard_join, "HELD", 500)
     if seed % 2:  # all groups in blocks of a few sets
-        monkeypatch.setattr(jaccard_join, "PAIRS", 1)
-        monkeypatch.setattr(jaccard_join, "BLOCK", 4000)
+        monkeypatch.setattr(jaccard_join, "ROWS", 3)
+        monkeypatch.setattr(jaccard_join, "BYTES", 4000)
     rows = families(seed, copies, length, edits)
     df = spark.createDataFrame([(d, t, "x", 1) for d, t in rows], "doc_id long, text string, node string, n int").repartition(3)
     got = jaccard_join.joined(df, size, num, 100).collect()
@@ -65,7 +66,7 @@ def test_against_all_pairs(spark, monkeypatch, seed, size, num, copies, length,
 
 def test_without_broadcasts(spark, monkeypatch):
     monkeypatch.setattr(jaccard_join, "BROADCAST", -1)
-    monkeypatch.setattr(jaccard_join, "COMMON", 2)
+    monkeypatch.setattr(jaccard_join, "WHOLE", 2)
     rows = families(6, 20, 100, 5)
     df = spark.createDataFrame(rows, "doc_id long, text string")
     key = lambda r: tuple(str(x) for x in r)
@@ -122,14 +123,13 @@ def test_whole_sets_of_repeated_rows(spark, repeats):
     wanted = spark.createDataFrame([(n, d, x) for n, (d, x) in first], "node long, doc_id long, text string")
     from pyspark.sql import functions as F
 
-    nodes = wanted.select("node", F.struct("doc_id", F.xxhash64("text").alias("th")).alias("first"))
-    join.repeated = nodes.select("node")
+    nodes = wanted.select("node", F.struct("doc_id", F.xxhash64("text").alias("th")).alias("first"), F.lit(2).alias("copies"))
     assert sorted(r.node for r in join.whole_sets(nodes).collect()) == [7, 8, 9]
 
 
 def test_repeated_rows_with_common_passages(spark, monkeypatch):
     """Prefixes of common tokens are made of different tokens, however often a row is repeated."""
-    monkeypatch.setattr(jaccard_join, "COMMON", 3)
+    monkeypatch.setattr(jaccard_join, "WHOLE", 3)
     rng = random.Random(9)
     passages = [[f"p{rng.randrange(200)}" for _ in range(60)] for _ in range(2)]
     rows = []

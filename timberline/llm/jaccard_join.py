@@ -2,53 +2,57 @@
 
 1. Each text becomes its set of shingle hashes.  Equal sets are one node, however
    many documents share it.
-2. Nodes are partitioned into groups of similar sets: those with the same least
-   hash.  The first node of a group leads it.
-3. The matrix holds the union of the tokens of each group, a row for each (token,
-   group).  Two sets within the threshold share at least k of their first
-   n - ceil(t n) + k tokens in any common order, so only those are kept, and the
-   order puts tokens last that many groups hold.  A query set's overlap with a
-   group's union is thus bounded from below by k where a link is possible; no
-   other group is opened.
-4. In an opened group the query meets its leader first.  Linked nodes share a
-   label, and pairs with one label need no comparison.  Other members are met only
-   if sizes, the overlap of their least hashes and the triangle inequality of the
-   Jaccard distance by way of the leader allow a link.  Crowded groups are met block by block with matrix products.
-5. Components of the links give the classes.
-
-No link between different sets is lost: each bound is a necessary condition, and
-skipped pairs are in one class already.  Pairs within a class are never listed.
-
-Scale: one pass over the texts, a second over the texts of nodes that may have
-links; shuffles are of hashes, pre-aggregated.  Large groups are met by way of
-their leader.  Needed ids and common tokens are broadcast only up to
-``BROADCAST`` bytes, else joined.
+2. A node that can be linked to another shares most of its tokens with others.
+   The tokens that a single node holds are counted for each node; where they are
+   more than a link may miss, no group can hold enough of the node's tokens, and
+   it is settled alone.  Few nodes stay open.
+3. Open nodes are partitioned into groups of similar sets: those with the same
+   least hash among the more frequent half of their tokens, in parts of bounded size.
+4. The matrix holds each group's token union, a row for each (token, group).  Two
+   sets within the threshold share at least k of their first n - ceil(t n) + k
+   tokens in any common order; the order is by frequency, rarest first, and only
+   those tokens are kept.  The overlap of a node's first tokens with a group's
+   union bounds what it can share with a member; with sizes it rules groups out.
+5. Only the groups left are opened: their sets and the sets that ask for them meet
+   in blocks of bounded size, where overlaps are counted by token lists.
+6. Components of the links give the classes.
+
+No link between different sets is lost: each bound is a necessary condition.
+Pairs within a class are never listed: a block gives a spanning forest.
+
+Scale: two passes over the texts, and one over the texts of open nodes.  Tokens
+travel as packed arrays, a token that a task has met twice only once; hot tokens
+cost a place for each task.  Groups are cut by rows and bytes, so that a block
+fits into a task whatever its size.  Needed keys are broadcast only up to
+``BROADCAST`` bytes, else joined.  Sets are told apart by 128 bits, shingles and
+the holders of a token by 64.
 
 Defined cases: a null, empty or blank text has an empty set, is linked with
 nothing and is its own component; a text of fewer words than a shingle has one;
 repeated rows are linked to each other; null ids count as no id (a component of
 nothing else has a null id); an empty table gives no rows; further columns are
-ignored, whatever their names.
+ignored, or kept by ``representatives``, whatever their names.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_map, checkpointed, texts, type_of
+from .common import arrow_map, checkpointed, parallel, slices, small_batches, texts, type_of
 from .components import components
 
 #: Bytes up to which a table is broadcast.
 BROADCAST = 16 << 20
-#: Pairs of one group from which it is met in blocks, and the bytes of a block's hashes.
-PAIRS, BLOCK = 2048, 4 << 20
-#: Groups that hold a token before it counts as common (out of 64 buckets of groups, those met).
-COMMON = 40
+#: Sets and bytes of hashes of one part of a group, and of the sets that ask for it in one block.
+ROWS, BYTES = 4096, 8 << 20
+#: Sets up to this size show all their tokens to the count of holders, larger ones a share of them.
+WHOLE = 128
+#: Tokens that a task gathers before it hands them on, and tokens of a bucket.
+HELD = 1 << 20
 _M1, _M2, _M3 = (np.uint64(x) for x in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x9E3779B97F4A7C15))
 
 
@@ -65,6 +69,7 @@ def shingle_sets(docs: list[bytes], size: int) -> list[np.ndarray]:
     own = [d.lower().split() for d in docs]
     lengths = [len(w) for w in own]
     hashes = np.fromiter((h for w in own for h in map(xxhash.xxh3_64_intdigest, w)), np.uint64, sum(lengths))
+    del own
     rolled = np.zeros(len(hashes), np.uint64)
     for j in range(size):  # the order of the words counts
         rolled[: len(hashes) - j] = _mixed(rolled[: len(hashes) - j] + hashes[j:] + _M3)
@@ -90,15 +95,51 @@ def fingerprint(hashes: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(hashes.tobytes())
 
 
+class Shown:
+    """Which tokens of a set count for its being open.
+
+    Sets of at most ``WHOLE`` tokens show all, larger ones those whose hash is
+    divisible by ``share``.  A set whose partners may be larger is judged by the
+    divisible ones alone, as its partners may show no others; bit 0 of its key
+    says so.
+    """
+
+    def __init__(self, num: int, den: int) -> None:
+        self.num, self.den, self.whole = num, den, WHOLE
+        self.share = max(1, int(den / (2.5 * max(1, den - num))))
+
+    def sampled(self, n: int) -> bool:
+        return self.share > 1 and n * self.den > self.num * self.whole
+
+    def key(self, fp: bytes, n: int) -> int:
+        """63 bits of the fingerprint and the flag; never 0."""
+        return (int.from_bytes(fp[:8], "little", signed=True) & ~1 | self.sampled(n)) or 2
+
+    def tokens(self, hashes: np.ndarray) -> np.ndarray:
+        return hashes if len(hashes) <= self.whole or self.share == 1 else hashes[hashes % self.share == 0]
+
+    def judged(self, hashes: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        return ((keys & 1) == 0) | (hashes % self.share == 0)
+
+    def count(self, hashes: np.ndarray) -> int:
+        """How many tokens the set is judged by."""
+        return int((hashes % self.share == 0).sum()) if self.sampled(len(hashes)) else len(hashes)
+
+
+def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and sizes of the runs of equal values."""
+    starts = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if len(values) else np.zeros(0, np.int64)
+    return starts, np.diff(np.append(starts, len(values)))
+
+
 class Join:
     """Linked if den * intersection >= num * union."""
 
     def __init__(self, documents: DataFrame, size: int, num: int, den: int, doc: str, text: str) -> None:
         self.size, self.num, self.den = size, num, den
+        self.shown = Shown(num, den)
         self.id_type = type_of(documents, doc)
         self.rows = documents.select(F.col(doc).alias("doc_id"), F.col(text).alias("text")).withColumn("th", F.xxhash64("text"))
-        #: The nodes whose first row is repeated whole, if there are any.
-        self.repeated: DataFrame | None = None
 
     # --- numbers that follow from a set's size n, as Columns ---
 
@@ -109,33 +150,100 @@ class Join:
         """k: shared tokens asked for."""
         return F.when(n * self.num >= 30 * self.den, 3).otherwise(1)
 
-    def fits(self, a, b):
-        return self.den * F.least(a, b) >= self.num * F.greatest(a, b)
-
-    def may_link(self, na, wa, nb, wb):
-        """By the overlap of the least hashes of two sets."""
-        need = F.least(F.size(wa) - (na - self.least_overlap(na)), F.size(wb) - (nb - self.least_overlap(nb)))
-        return self.fits(na, nb) & (F.size(F.array_intersect(wa, wb)) >= need)
+    def sure(self, n):
+        """The k that a set and any set linked to it both meet."""
+        return self.at_least(n * F.lit(self.num) / F.lit(self.den))
 
     # --- sets ---
 
     def sets(self) -> DataFrame:
-        """doc_id, th, n, fp, w: of each document its set's size, fingerprint and least hashes."""
-        size, num, den = self.size, self.num, self.den
+        """doc_id, th, n, fp, key, judged: of each document its set's size, fingerprint, key, and how many tokens it is judged by."""
+        size, shown = self.size, self.shown
 
         def make():
             def work(batch: pa.RecordBatch) -> dict:
                 sets = shingle_sets(texts(batch), size)
-                n = [len(s) for s in sets]
-                least = [(5 * (m - -(-num * m // den) + 3)) // 4 + 6 for m in n]
-                return {"doc_id": batch.column(0), "th": batch.column(2), "n": pa.array(n, pa.int32()), "fp": pa.array(map(fingerprint, sets), pa.binary()), "w": pa.array([s[:k] for s, k in zip(sets, least, strict=True)], pa.list_(pa.int64()))}
+                fps = [fingerprint(s) for s in sets]
+                return {
+                    "doc_id": batch.column(0),
+                    "th": batch.column(2),
+                    "n": pa.array([len(s) for s in sets], pa.int32()),
+                    "fp": pa.array(fps, pa.binary()),
+                    "key": pa.array([shown.key(f, len(s)) for f, s in zip(fps, sets, strict=True)], pa.int64()),
+                    "judged": pa.array([shown.count(s) for s in sets], pa.int32()),
+                }
 
             return work
 
-        return arrow_map(self.rows, make, f"doc_id {self.id_type}, th bigint, n int, fp binary, w array<bigint>")
+        return arrow_map(self.rows, make, f"doc_id {self.id_type}, th bigint, n int, fp binary, key bigint, judged int")
+
+    def shared(self, tokens: int) -> DataFrame:
+        """key, shared: how many of the tokens a set is judged by other sets hold as well; ``tokens``: how many there are in all, about."""
+        size, shown = self.size, self.shown
+        buckets = max(parallel(self.rows.sparkSession), -(-tokens // shown.share // HELD))
+        names = ["bucket", "tokens", "keys"]
+
+        def gather(batches):
+            import pyarrow.compute  # noqa: F401
+
+            own = buckets + TaskContext.get().partitionId()
+            held: list[np.ndarray] = []
+            keys: list[int] = []
+            met: set[int] = set()
+
+            def out():
+                """Each token once, with its holder, or 0 if there are more; those holders are counted here."""
+                token = np.concatenate(held).view(np.uint64)
+                key = np.repeat(np.array(keys, np.int64), [len(h) for h in held])
+                order = np.argsort(token, kind="stable")
+                token, key = token[order], key[order]
+                starts, sizes = _runs(token)
+                several = sizes > 1
+                again = np.repeat(several, sizes)
+                known, count = np.unique(key[again][shown.judged(token[again].view(np.int64), key[again])], return_counts=True)
+                once, holder = token[starts], np.where(several, 0, key[starts])
+                cut = np.searchsorted(((once >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32), np.arange(buckets + 1))
+                some = np.flatnonzero(cut[1:] > cut[:-1]).tolist()
+                rows = [(b, once[cut[b] : cut[b + 1]].tobytes(), holder[cut[b] : cut[b + 1]].tobytes()) for b in some] + [(own, known.tobytes(), count.astype(np.int64).tobytes())]
+                for at in range(0, len(rows), 4096):
+                    b, t, k = zip(*rows[at : at + 4096], strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(b, pa.int64()), pa.array(t, pa.binary()), pa.array(k, pa.binary())], names)
+                held.clear(), keys.clear()
+                if len(met) > HELD:
+                    met.clear()
+
+            many = 0
+            for piece in slices(batches):
+                for s in shingle_sets(texts(piece), size):
+                    if len(s) and (key := shown.key(fingerprint(s), len(s))) not in met:
+                        met.add(key)
+                        held.append(shown.tokens(s))
+                        keys.append(key)
+                        many += len(held[-1])
+                if many > HELD:
+                    yield from out()
+                    many = 0
+            if many:
+                yield from out()
+
+        def count(group: pa.Table) -> pa.Table:
+            first, second = (np.frombuffer(b"".join(group[c].to_pylist()), np.int64) for c in ("tokens", "keys"))
+            if group["bucket"][0].as_py() >= buckets:  # counted already
+                return pa.table({"key": first, "shared": second})
+            order = np.argsort(first, kind="stable")
+            token, key = first[order], second[order]
+            starts, sizes = _runs(token)
+            several = (np.minimum.reduceat(key, starts) != np.maximum.reduceat(key, starts)) | np.logical_or.reduceat(key == 0, starts)
+            token, key = (x[np.repeat(several, sizes)] for x in (token, key))
+            known, times = np.unique(key[(key != 0) & shown.judged(token, key)], return_counts=True)
+            return pa.table({"key": known, "shared": times.astype(np.int64)})
+
+        small_batches(self.rows.sparkSession)
+        packed = self.rows.select("text").mapInArrow(gather, "bucket bigint, tokens binary, keys binary")
+        return packed.groupBy("bucket").applyInArrow(count, "key bigint, shared bigint").groupBy("key").agg(F.sum("shared").alias("shared"))
 
     def whole_sets(self, wanted: DataFrame) -> DataFrame:
-        """node, set: all hashes (8 bytes each) of the nodes of ``wanted`` (node, first), read from the first text of each."""
+        """node, set: all hashes (8 bytes each) of the nodes of ``wanted`` (node, first, copies), read from the first text of each."""
         size = self.size
 
         def make():
@@ -144,237 +252,127 @@ class Join:
 
             return work
 
-        few = small(wanted.select("node", F.col("first.doc_id").alias("d"), F.col("first.th").alias("t")))
-        found = self.rows.join(few, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t"))).select("node", "text")
-        if self.repeated is not None:  # one row a node; only the texts of repeated rows are shuffled for it
-            once = found.join(self.repeated, "node", "left_semi").dropDuplicates(["node"])
-            found = found.join(self.repeated, "node", "left_anti").unionByName(once)
-        return arrow_map(found, make, "node bigint, set binary")
+        few = small(wanted.select("node", F.col("first.doc_id").alias("d"), F.col("first.th").alias("t"), (F.col("copies") > 1).alias("several")))
+        found = self.rows.join(few, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t"))).select("node", "text", "several")
+        # a row may be repeated whole: one set a node
+        made = arrow_map(found.where("NOT several").select("node", "text"), make, "node bigint, set binary")
+        return made.unionByName(arrow_map(found.where("several").select("node", "text"), make, "node bigint, set binary").dropDuplicates(["node"]))
 
-    def verified(self, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-        """a, b and far, the Jaccard distance, of pairs (a, b); linked says whether it is within the threshold."""
-        num, den = self.num, self.den
+    # --- the matrix ---
 
-        def compare(batches):
-            for batch in batches:
-                left, right = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-                far, linked = [], []
-                for x, y in zip(left, right, strict=True):
-                    x, y = np.frombuffer(x, np.int64), np.frombuffer(y, np.int64)
-                    if len(x) > len(y):
-                        x, y = y, x
-                    both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum()) if len(x) else 0
-                    union = len(x) + len(y) - both
-                    far.append(1 - both / max(1, union))
-                    linked.append(both > 0 and den * both >= num * union)
-                yield pa.RecordBatch.from_pydict({"a": batch.column(0), "b": batch.column(1), "far": pa.array(far, pa.float64()), "linked": pa.array(linked, pa.bool_())})
-
-        pairs = checkpointed(pairs.select("a", "b").distinct())
-        ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-        sets = small(self.whole_sets(nodes.select("node", "first").join(small(ends), "node", "left_semi")), F.octet_length("set") + 16)
-        left, right = sets.toDF("a", "left"), sets.toDF("b", "right")
-        met = pairs.join(right, "b").join(left, "a").select("a", "b", "left", "right")
-        return checkpointed(met.mapInArrow(compare, "a bigint, b bigint, far double, linked boolean"))
-
-    def in_blocks(self, ask: DataFrame, body: DataFrame, nodes: DataFrame) -> DataFrame:
-        """u, v: labels that links join, between the queries and the members of the same groups.
-
-        Both sides are dealt to blocks of about ``BLOCK`` bytes of hashes; each block
-        of queries meets each block of members in a task of its own.
-        """
+    def placed(self, nodes: DataFrame, sets: DataFrame) -> DataFrame:
+        """node, n, g, part, p: of each open node its group and its first shared tokens, rarest first."""
+        n = F.col("n")
+        tokens = sets.mapInArrow(_exploded, "node bigint, token bigint")
+        held = tokens.groupBy("token").agg(F.count("*").alias("c")).where("c > 1")
+        lists = tokens.join(held, "token").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("c", "token"))).alias("t"))
+        # the tokens of this node alone come first in the order
+        length = n - self.least_overlap(n) + self.at_least(n) - (n - F.size("t"))
+        known = lists.join(nodes.select("node", "n"), "node").withColumn("length", length.cast("int")).where(F.least("length", F.size("t")) >= self.sure(n))
+        token = lambda part: F.transform(part, lambda x: x.token)
+        half = (F.size("t") / 2).cast("int")
+        group = F.array_min(token(F.slice("t", half + 1, F.size("t"))))
+        known = checkpointed(known.select("node", "n", group.alias("g"), token(F.slice("t", F.lit(1), F.col("length"))).alias("p")))
+        parts = F.greatest(F.ceil(F.sum(8 * n + 64) / BYTES), F.ceil(F.count("*") / ROWS))
+        sizes = small(known.groupBy("g").agg(parts.cast("int").alias("parts")))
+        return checkpointed(known.join(sizes, "g").select("node", "n", "g", F.pmod(F.xxhash64("node"), "parts").cast("int").alias("part"), "p"))
+
+    def opened(self, placed: DataFrame) -> DataFrame:
+        """g, part, node: the groups before their own that nodes have to meet."""
+        prefix = placed.select("node", "n", F.struct("g", "part").alias("own"), F.explode("p").alias("token"))
+        matrix = prefix.groupBy("token", F.col("own").alias("other")).agg(F.min("n").alias("low"), F.max("n").alias("high"))
+        fits = (self.den * F.col("high") >= self.num * F.col("n")) & (self.num * F.col("low") <= self.den * F.col("n"))
+        met = prefix.join(matrix, "token").where((F.col("other") < F.col("own")) & fits)
+        met = met.groupBy("node", "other").agg(F.count("*").alias("k"), F.first("n").alias("n"))
+        return met.where(F.col("k") >= self.sure(F.col("n"))).select("other.g", "other.part", "node")
+
+    def links(self, placed: DataFrame, sets: DataFrame) -> DataFrame:
+        """u, v: links that join what is linked; a spanning forest of each block."""
         num, den = self.num, self.den
-        sides = {
-            "q": ask.select("g", F.col("a").alias("node"), F.col("a_label").alias("label"), F.col("a_n").alias("n"), F.explode(F.when(F.col("q_linked"), F.array(F.lit(False))).otherwise(F.array(F.lit(False), F.lit(True)))).alias("tied")),
-            "m": body.select("g", F.col("b").alias("node"), F.col("b_label").alias("label"), F.col("b_n").alias("n"), "tied"),
-        }
-        ends = sides["q"].select("node").unionByName(sides["m"].select("node")).distinct()
-        sets = checkpointed(self.whole_sets(nodes.select("node", "first").join(small(ends), "node", "left_semi")))
-
-        def blocks(side: str) -> tuple[DataFrame, DataFrame]:
-            rows = checkpointed(sides[side].distinct())
-            counts = rows.groupBy("g", "tied").agg(F.ceil(F.sum(8 * F.col("n") + 64) / BLOCK).cast("int").alias("of"))
-            dealt = rows.join(counts, ["g", "tied"]).withColumn("block", F.pmod(F.xxhash64("node"), "of").cast("int")).join(sets, "node")
-            packed = dealt.groupBy("g", "tied", "block").agg(F.collect_list(F.struct("label", "set")).alias(side))
-            return packed, counts
-
-        queries, parts = blocks("q")
-        members, _ = blocks("m")
-        spread = members.withColumnRenamed("block", "m_block").join(parts, ["g", "tied"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("of") - 1))).drop("of")
+        ask = checkpointed(self.opened(placed).join(placed.select("node", "n"), "node"))
+        # as many blocks of a group as the sets that ask for it need
+        blocks = ask.groupBy("g", "part").agg(F.greatest(F.ceil(F.sum(8 * F.col("n") + 64) / BYTES), F.ceil(F.count("*") / ROWS)).cast("int").alias("blocks"))
+        inside = placed.groupBy("g", "part").agg(F.count("*").alias("members"))
+        groups = checkpointed(inside.join(blocks, ["g", "part"], "left").where("members > 1 OR blocks > 0").select("g", "part", F.coalesce("blocks", F.lit(1)).alias("blocks")))
+        body = placed.join(groups, ["g", "part"]).select("g", "part", "node", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+        asked = ask.join(groups, ["g", "part"]).select("g", "part", "node", F.pmod(F.xxhash64("node", F.lit(7)), "blocks").cast("int").alias("block"))
+        rows = body.withColumn("asks", F.lit(False)).unionByName(asked.withColumn("asks", F.lit(True)))
+        met = rows.join(sets, "node").groupBy("g", "part", "block").agg(F.collect_list(F.struct("node", "asks", "set")).alias("rows"))
 
         def compare(batches):
             for batch in batches:
-                for left, right in zip(batch.column(0), batch.column(1), strict=True):
-                    left, right = left.as_py(), right.as_py()
-                    found = joined_labels(*([r["label"] for r in side] for side in (left, right)), *([np.frombuffer(r["set"], np.int64) for r in side] for side in (left, right)), num, den)
+                for block, rows in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                    own = rows.as_py()
+                    found = spanning_links([r["node"] for r in own], [r["asks"] for r in own], [np.frombuffer(r["set"], np.int64) for r in own], num, den, block == 0)
                     yield pa.RecordBatch.from_pydict({"u": pa.array([u for u, _ in found], pa.int64()), "v": pa.array([v for _, v in found], pa.int64())})
 
-        met = queries.join(spread, ["g", "tied", "block"]).select("q", "m")
-        return checkpointed(met.mapInArrow(compare, "u bigint, v bigint"))
-
-    # --- the matrix ---
+        small_batches(self.rows.sparkSession)
+        return met.select("block", "rows").mapInArrow(compare, "u bigint, v bigint")
 
-    def prefixes(self, nodes: DataFrame) -> DataFrame:
-        """node, n, g, token: the first tokens of each set, common ones last in the order."""
-        n, w = F.col("n"), F.col("w")
-        tokens = nodes.select("node", "g", F.explode("w").alias("token"))
-        met = F.bit_or(F.expr("shiftleft(1L, int(pmod(xxhash64(g), 64)))"))
-        common = small(tokens.groupBy("token").agg(met.alias("met")).where(F.bit_count("met") > COMMON).select("token"))
-        hits = small(tokens.join(common, "token").groupBy("node").agg(F.collect_list("token").alias("common")), 8 * F.size("common") + 32)
-        length = (n - self.least_overlap(n) + self.at_least(n)).cast("int")
-        known = nodes.join(hits, "node", "left").withColumn("common", F.coalesce("common", F.array().cast("array<bigint>")))
-        known = known.withColumn("rare", F.when(F.size("common") > 0, F.array_except(w, "common")).otherwise(w))
-        short = (F.size("rare") < length) & (F.size(w) < n)
-        plain = known.where(~short).select("node", "n", "g", F.explode(F.slice(F.concat("rare", F.array_sort("common")), F.lit(1), length)).alias("token"))
-        far = checkpointed(known.where(short).select("node", "n", "g", "first"))
-        if far.isEmpty():
-            return plain
-        whole = self.whole_sets(far).mapInArrow(_exploded, "node bigint, token bigint")
-        ordered = whole.join(common.withColumn("c", F.lit(1)), "token", "left").groupBy("node").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("c", F.lit(0)).alias("c"), "token"))).alias("t"))
-        rest = far.join(ordered, "node").select("node", "n", "g", F.explode(F.slice(F.transform("t", lambda x: x.token), F.lit(1), length)).alias("token"))
-        return plain.unionByName(rest)
-
-    def opened(self, nodes: DataFrame) -> DataFrame:
-        """a, g: query nodes and the groups before their own that they have to meet."""
-        prefix = self.prefixes(nodes)
-        shared = small(prefix.groupBy("token").agg(F.min("g").alias("p"), F.max("g").alias("q")).where("p <> q").select("token"))
-        own = checkpointed(prefix.join(shared, "token").select("token", "node", "n", "g"), free=True)
-        matrix = own.select("token", F.col("g").alias("other")).distinct()
-        met = own.join(matrix, (own.token == matrix.token) & (F.col("other") < F.col("g"))).groupBy(F.col("node").alias("a"), "other").agg(F.count("*").alias("k"), F.first("n").alias("n"))
-        sure = self.at_least(F.col("n") * F.lit(self.num) / F.lit(self.den))
-        return met.where(F.col("k") >= sure).select("a", F.col("other").alias("g"))
-
-    # --- links ---
+    # --- classes ---
 
     def classes(self) -> DataFrame:
         every = checkpointed(self.sets())
+        some = every.where("n > 0")
         first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("first")
-        of_set = every.where("n > 0").groupBy("fp").agg(first, F.first("n").alias("n"), F.first("w").alias("w"))
-        nodes = checkpointed(of_set.select(F.monotonically_increasing_id().alias("node"), "*", F.col("w")[0].alias("g")), free=True)
-        del of_set
-        again = every.where("n > 0").groupBy("doc_id", "th").count().where("count > 1").select(F.col("doc_id").alias("d"), F.col("th").alias("t"))
-        repeated = small(nodes.join(again, F.col("first.doc_id").eqNullSafe(F.col("d")) & (F.col("first.th") == F.col("t"))).select("node"))
-        self.repeated = None if repeated.isEmpty() else repeated
-        slim = nodes.select("node", "n", "g")
-
-        def by_hashes(pairs: DataFrame) -> DataFrame:
-            """Of pairs (a, b) those whose least hashes leave a link possible."""
-            pairs = checkpointed(pairs.select("a", "b").distinct())
-            ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-            known = small(nodes.select("node", "n", "w").join(small(ends), "node", "left_semi"), 8 * F.size("w") + 32)
-            met = pairs.join(known.toDF("b", "nb", "wb"), "b").join(known.toDF("a", "na", "wa"), "a")
-            return met.where(self.may_link(F.col("na"), F.col("wa"), F.col("nb"), F.col("wb"))).select("a", "b")
-
-        # every node and the leader of its own group
-        groups = slim.groupBy("g").agg(F.min(F.struct("node", "n")).alias("l"), F.count("*").alias("members"))
-        heads = checkpointed(groups.select("g", F.col("l.node").alias("lead"), F.col("l.n").alias("lead_n"), "members"))
-        several = heads.where("members > 1")
-        first = slim.join(several, "g").where((F.col("node") != F.col("lead")) & self.fits(F.col("n"), F.col("lead_n")))
-        stars = self.verified(by_hashes(first.select(F.col("node").alias("a"), F.col("lead").alias("b"))), nodes)
-        linked = stars.where("linked").select(F.col("a").alias("node"), F.col("b").alias("label"), F.col("far").alias("lead_far"))
-        # each node's label: its leader if it is linked to it, else itself
-        member = slim.join(linked, "node", "left")
-        member = checkpointed(member.select("node", "n", "g", F.coalesce("label", "node").alias("label"), F.col("label").isNotNull().alias("tied"), F.coalesce("lead_far", F.lit(0.0)).alias("lead_far")))
-        label_of = member.select("node", "label")
-
-        def edges(links: DataFrame) -> DataFrame:
-            ends = links.where("linked").select("a", "b")
-            return ends.join(label_of.toDF("a", "u"), "a").join(label_of.toDF("b", "v"), "b").select("u", "v")
-
-        # queries of other groups and the leaders of the groups they open
-        query = member.select(F.col("node").alias("a"), F.col("n").alias("a_n"), F.col("label").alias("a_label"))
-        asked = checkpointed(self.opened(nodes).join(heads.drop("members"), "g").join(query, "a"))
-        second = self.verified(by_hashes(asked.where(self.fits(F.col("a_n"), F.col("lead_n"))).select("a", F.col("lead").alias("b"))), nodes)
-        known = edges(second)
-        merged = checkpointed(components(known))
-
-        def relabelled(df: DataFrame, label: str) -> DataFrame:
-            return df.join(merged.toDF(label, "to"), label, "left").withColumn(label, F.coalesce("to", label)).drop("to")
-
-        # whom a query still has to meet: members with another label, tied ones only if the way by the leader is short enough
-        met = second.select("a", F.col("b").alias("lead"), F.col("far").alias("q_far"), "linked")
-        again = asked.join(met, ["a", "lead"], "left").select("a", "a_n", "a_label", "g", "lead", "q_far", F.coalesce("linked", F.lit(False)).alias("q_linked"))
-        loose = member.where("NOT tied").join(several, "g").where(F.col("node") != F.col("lead")).select(F.col("node").alias("a"), F.col("n").alias("a_n"), F.col("label").alias("a_label"), "g", "lead")
-        own = loose.join(stars.select("a", F.col("far").alias("q_far")), "a", "left").select("a", "a_n", "a_label", "g", "lead", "q_far", F.lit(False).alias("q_linked"))
-        ask = checkpointed(relabelled(again.unionByName(own), "a_label"))
-        body = member.join(ask.select("g").distinct(), "g", "left_semi").select(F.col("node").alias("b"), F.col("n").alias("b_n"), "g", F.col("label").alias("b_label"), "tied", "lead_far")
-        body = checkpointed(relabelled(body, "b_label"))
-        differ = (F.col("a") != F.col("b")) & (F.col("a_label") != F.col("b_label")) & (F.col("b") != F.col("lead")) & self.fits(F.col("a_n"), F.col("b_n"))
-        slack = 1 - self.num / self.den + 1e-9
-        # groups with many pairs are met in blocks of sets, which give one link for each class they join
-        many = ask.groupBy("g").agg(F.count("*").alias("q")).join(body.groupBy("g").agg(F.count("*").alias("m")), "g").where(F.col("q") * F.col("m") > PAIRS).select("g")
-        many = small(many)
-        crowds = self.in_blocks(ask.join(many, "g", "left_semi"), body.join(many, "g", "left_semi"), nodes)
-        ask, body = ask.join(many, "g", "left_anti"), body.join(many, "g", "left_anti")
-        untied = ask.join(body.where("NOT tied"), "g").where(differ)
-        tied = ask.where("NOT q_linked").join(body.where("tied"), "g").where(differ & (F.col("q_far").isNull() | (F.col("q_far") - F.col("lead_far") <= slack)))
-        third = self.verified(by_hashes(untied.select("a", "b").unionByName(tied.select("a", "b"))), nodes)
-
-        # as new columns: what a checkpoint still knows of its origin does not fit a union
-        fresh = [links.select(F.expr("u + 0L").alias("u"), F.expr("v + 0L").alias("v")) for links in (known, edges(third), crowds)]
-        final = components(fresh[0].unionByName(fresh[1]).unionByName(fresh[2]))
-        placed = nodes.select("node", "fp", "first").join(label_of, "node").join(final.toDF("label", "to"), "label", "left").withColumn("label", F.coalesce("to", "label"))
-        least = placed.groupBy("label").agg(F.min("first").alias("first"))
-        of_fp = placed.select("fp", "label").join(least, "label").select("fp", "first")
+        nodes = checkpointed(some.groupBy("fp").agg(first, F.count("*").alias("copies"), *(F.first(c).alias(c) for c in ("n", "key", "judged"))))
+        tokens = nodes.agg(F.coalesce(F.sum("n"), F.lit(0))).head()[0]
+        alone = F.col("judged") - F.coalesce("shared", F.lit(0))
+        may_miss = F.col("n") - self.least_overlap(F.col("n"))
+        still = nodes.join(self.shared(tokens), "key", "left").where(alone <= may_miss)
+        open_nodes = checkpointed(still.select(F.monotonically_increasing_id().alias("node"), "fp", "first", "copies", "n"))
+        sets = checkpointed(self.whole_sets(open_nodes))
+        final = components(self.links(self.placed(open_nodes, sets), sets))
+
+        joined = open_nodes.join(final, F.col("node") == F.col("id")).select("fp", "first", "component")
+        least = joined.groupBy("component").agg(F.min("first").alias("least"))
+        moved = joined.join(least, "component").select("fp", "least")
+        of_fp = nodes.select("fp", "first").join(moved, "fp", "left").select("fp", F.coalesce("least", "first").alias("first"))
         out = every.select("doc_id", "th", "n", "fp").join(of_fp, "fp", "left")
-        alone = F.col("n") == 0
+        empty = F.col("n") == 0
         return out.select(
             "doc_id",
             "th",
             F.col("n").cast("bigint").alias("n_shingles"),
-            F.when(alone, F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("component_id"),
-            (alone | (F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & F.col("th").eqNullSafe(F.col("first.th")))).alias("stays"),
+            F.when(empty, F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("component_id"),
+            (empty | (F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & F.col("th").eqNullSafe(F.col("first.th")))).alias("stays"),
         )
 
 
-def joined_labels(left_labels: list[int], right_labels: list[int], left: list[np.ndarray], right: list[np.ndarray], num: int, den: int, step: int = 4096) -> list[tuple[int, int]]:
-    """Pairs of labels that links between two lists of sets join; no more than a spanning forest of them."""
-    size_l, size_r = np.array([len(x) for x in left]), np.array([len(x) for x in right])
-    token_l, token_r = np.concatenate(left), np.concatenate(right)
-    shared = np.intersect1d(token_l, token_r)
-    both = np.zeros((len(left), len(right)), np.float32)  # whole numbers, exact below 2^24
-
-    def placed(tokens: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = np.minimum(np.searchsorted(shared, tokens), max(0, len(shared) - 1))
-        good = shared[at] == tokens if len(shared) else np.zeros(len(tokens), bool)
-        row, column = np.repeat(np.arange(len(sizes)), sizes)[good], at[good]
-        order = np.argsort(column, kind="stable")
-        return row[order], column[order]
-
-    (row_l, col_l), (row_r, col_r) = placed(token_l, size_l), placed(token_r, size_r)
-    for low in range(0, len(shared), step):
-        high = min(low + step, len(shared))
-        parts = []
-        for row, col, n in ((row_l, col_l, len(left)), (row_r, col_r, len(right))):
-            a, b = np.searchsorted(col, [low, high])
-            dense = np.zeros((n, high - low), np.float32)
-            dense[row[a:b], col[a:b] - low] = 1
-            parts.append(dense)
-        both += parts[0] @ parts[1].T
-    label_l, label_r = np.array(left_labels), np.array(right_labels)
-    parent: dict[int, int] = {}
-
-    def find(x: int) -> int:
-        while (y := parent.get(x, x)) != x:
-            parent[x] = x = parent.get(y, y)
-        return x
-
-    out = []
-    for i in range(len(left)):
-        union = size_l[i] + size_r - both[i]
-        linked = (both[i] > 0) & (den * both[i].astype(np.int64) >= num * union.astype(np.int64)) & (label_r != label_l[i])
-        for v in np.unique(label_r[linked]).tolist():
-            a, b = find(left_labels[i]), find(v)
-            if a != b:
-                parent[max(a, b)] = min(a, b)
-                out.append((left_labels[i], v))
+def spanning_links(nodes: list[int], asks: list[bool], sets: list[np.ndarray], num: int, den: int, within: bool) -> list[tuple[int, int]]:
+    """Links between the sets that ask and the others, and among the others if ``within``; a spanning forest of them."""
+    sizes = np.array([len(s) for s in sets])
+    token, local = np.unique(np.concatenate(sets), return_inverse=True)
+    starts = np.cumsum(sizes) - sizes
+    body = np.flatnonzero(~np.array(asks))
+    # the members that hold each token
+    entry = np.concatenate([local[starts[i] : starts[i] + sizes[i]] for i in body]) if len(body) else np.zeros(0, np.int64)
+    order = np.argsort(entry, kind="stable")
+    holder = np.repeat(np.arange(len(body)), sizes[body])[order]
+    first = np.searchsorted(entry[order], np.arange(len(token) + 1))
+    held = np.diff(first)
+    label, out = np.arange(len(nodes)), []
+    # sets whose tokens are common in the block first: they link most, and those after them find one label
+    weight = np.array([held[local[a : a + n]].sum() / max(1, n) for a, n in zip(starts, sizes, strict=True)])
+    for i in np.argsort(-weight, kind="stable").tolist():
+        if not (asks[i] or within) or (label[body] == label[i]).all():
+            continue
+        own = local[starts[i] : starts[i] + sizes[i]]
+        many = held[own]
+        at = np.repeat(first[own] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+        both = np.bincount(holder[at], minlength=len(body))
+        linked = (both > 0) & (den * both >= num * (sizes[i] + sizes[body] - both))
+        for other in np.unique(label[body[linked]]).tolist():
+            if other != label[i]:
+                out.append((nodes[i], nodes[other]))
+                label[label == other] = label[i]
     return out
 
 
-def small(df: DataFrame, size=None) -> DataFrame:
-    """The table, to be broadcast if it is within ``BROADCAST`` bytes; ``size``: of a row, of 32 bytes if not given."""
-    out = checkpointed(df, free=True)
-    held = out.agg(F.sum(F.lit(32) if size is None else size)).head()[0] or 0
-    return F.broadcast(out) if held <= BROADCAST else out
+def small(df: DataFrame) -> DataFrame:
+    """The table, written, to be broadcast if it is within ``BROADCAST`` bytes at 32 bytes a row."""
+    out = checkpointed(df)
+    return F.broadcast(out) if 32 * out.count() <= BROADCAST else out
 
 
 def _exploded(batches):
@@ -391,11 +389,12 @@ def joined(documents: DataFrame, size: int = 5, num: int = 80, den: int = 100, d
 
 def representatives(documents: DataFrame, size: int = 5, num: int = 80, den: int = 100, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents without those that are linked to another one which stays: of each class the row with the least id."""
-    gone = Join(documents, size, num, den, doc, text).classes().where("NOT stays").select(F.col("doc_id").alias("__d"), F.col("th").alias("__t"))
-    keyed = documents.withColumn("__th", F.xxhash64(F.col(text)))
-    same = F.col(doc).eqNullSafe(F.col("__d")) & (F.col("__th") == F.col("__t"))
-    kept = keyed.join(gone.distinct(), same, "left_anti")
+    classes = checkpointed(Join(documents, size, num, den, doc, text).classes().select("doc_id", "th", "n_shingles", "stays"))
+    gone = small(classes.where("NOT stays").select("doc_id", "th").distinct())
     # of rows that are repeated whole, one stays
-    again = F.row_number().over(Window.partitionBy(F.col(doc), "__th").orderBy(F.lit(0)))
-    blank = ~F.coalesce(F.col(text), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    return kept.withColumn("__again", F.when(blank, 1).otherwise(again)).where("__again = 1").select(*documents.columns)
+    repeated = small(classes.where("stays AND n_shingles > 0").groupBy("doc_id", "th").count().where("count > 1").select("doc_id", "th"))
+    keyed = documents.select(F.col(doc).alias("k"), F.xxhash64(F.col(text)).alias("t"), F.struct(*documents.columns).alias("row"))
+    same = F.col("k").eqNullSafe(F.col("doc_id")) & (F.col("t") == F.col("th"))
+    kept = keyed.join(gone, same, "left_anti")
+    once = kept.join(repeated, same, "left_semi").withColumn("place", F.row_number().over(Window.partitionBy("k", "t").orderBy(F.lit(0)))).where("place = 1")
+    return kept.join(repeated, same, "left_anti").select("row.*").unionByName(once.select("row.*"))
