@@ -21,8 +21,8 @@ No link between different sets is lost: each bound is a necessary condition.
 Pairs within a class are never listed: a block gives a spanning forest.
 
 Scale: two passes over the texts, and one over the texts of open nodes.  Tokens
-travel as packed arrays, a token that a task has met twice only once; hot tokens
-cost a place for each task.  Groups are cut by rows and bytes, so that a block
+travel as packed arrays; a token that more than ``FEW`` sets of a task hold costs
+one place a task.  Groups are cut by rows and bytes, so that a block
 fits into a task whatever its size.  Needed keys are broadcast only up to
 ``BROADCAST`` bytes, else joined.  Sets are told apart by 128 bits, shingles and
 the holders of a token by 64.
@@ -53,6 +53,8 @@ ROWS, BYTES = 4096, 8 << 20
 WHOLE = 128
 #: Tokens that a task gathers before it hands them on, and tokens of a bucket.
 HELD = 1 << 20
+#: Holders of a token that a task hands on; more are counted where they are, so that no bucket grows with a hot token.
+FEW = 16
 _M1, _M2, _M3 = (np.uint64(x) for x in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x9E3779B97F4A7C15))
 
 
@@ -192,19 +194,21 @@ class Join:
             met: set[int] = set()
 
             def out():
-                """Each token once, with its holder, or 0 if there are more; those holders are counted here."""
+                """Each token with its holders; with 0 where there are more than ``FEW``, which are counted here."""
                 token = np.concatenate(held).view(np.uint64)
                 key = np.repeat(np.array(keys, np.int64), [len(h) for h in held])
                 order = np.argsort(token, kind="stable")
                 token, key = token[order], key[order]
                 starts, sizes = _runs(token)
-                several = sizes > 1
-                again = np.repeat(several, sizes)
-                known, count = np.unique(key[again][shown.judged(token[again].view(np.int64), key[again])], return_counts=True)
-                once, holder = token[starts], np.where(several, 0, key[starts])
-                cut = np.searchsorted(((once >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32), np.arange(buckets + 1))
+                hot = np.repeat(sizes > FEW, sizes)
+                known, count = np.unique(key[hot][shown.judged(token[hot].view(np.int64), key[hot])], return_counts=True)
+                first = np.zeros(len(token), bool)
+                first[starts] = True
+                key = np.where(hot, 0, key)[~hot | first]
+                token = token[~hot | first]
+                cut = np.searchsorted(((token >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32), np.arange(buckets + 1))
                 some = np.flatnonzero(cut[1:] > cut[:-1]).tolist()
-                rows = [(b, once[cut[b] : cut[b + 1]].tobytes(), holder[cut[b] : cut[b + 1]].tobytes()) for b in some] + [(own, known.tobytes(), count.astype(np.int64).tobytes())]
+                rows = [(b, token[cut[b] : cut[b + 1]].tobytes(), key[cut[b] : cut[b + 1]].tobytes()) for b in some] + [(own, known.tobytes(), count.astype(np.int64).tobytes())]
                 for at in range(0, len(rows), 4096):
                     b, t, k = zip(*rows[at : at + 4096], strict=True)
                     yield pa.RecordBatch.from_arrays([pa.array(b, pa.int64()), pa.array(t, pa.binary()), pa.array(k, pa.binary())], names)
@@ -226,21 +230,40 @@ class Join:
             if many:
                 yield from out()
 
+        def both(group: pa.Table, *columns: str) -> list[np.ndarray]:
+            return [np.frombuffer(b"".join(group[c].to_pylist()), np.int64) for c in columns]
+
         def count(group: pa.Table) -> pa.Table:
-            first, second = (np.frombuffer(b"".join(group[c].to_pylist()), np.int64) for c in ("tokens", "keys"))
-            if group["bucket"][0].as_py() >= buckets:  # counted already
-                return pa.table({"key": first, "shared": second})
-            order = np.argsort(first, kind="stable")
-            token, key = first[order], second[order]
-            starts, sizes = _runs(token)
-            several = (np.minimum.reduceat(key, starts) != np.maximum.reduceat(key, starts)) | np.logical_or.reduceat(key == 0, starts)
-            token, key = (x[np.repeat(several, sizes)] for x in (token, key))
-            known, times = np.unique(key[(key != 0) & shown.judged(token, key)], return_counts=True)
-            return pa.table({"key": known, "shared": times.astype(np.int64)})
+            """How many shared tokens each key has in a bucket, packed by slots of keys."""
+            token, key = both(group, "tokens", "keys")
+            if group["bucket"][0].as_py() < buckets:
+                order = np.argsort(token, kind="stable")
+                token, key = token[order], key[order]
+                starts, sizes = _runs(token)
+                several = np.repeat(np.minimum.reduceat(key, starts) != np.maximum.reduceat(key, starts), sizes) & (key != 0)
+                token, key = token[several], key[several]
+                mine = shown.judged(token, key)
+                token, key = token[mine], key[mine]
+                order = np.lexsort((token, key))  # tasks with copies of a set show it each
+                token, key = token[order], key[order]
+                new = np.concatenate([[True], (key[1:] != key[:-1]) | (token[1:] != token[:-1])])[: len(key)]
+                token, key = np.unique(key[new], return_counts=True)
+            order = np.argsort(token.view(np.uint64) % np.uint64(buckets), kind="stable")
+            known, times = token[order], key[order]
+            starts, sizes = _runs(known.view(np.uint64) % np.uint64(buckets))
+            slot = (known[starts].view(np.uint64) % np.uint64(buckets)).astype(np.int64)
+            pack = lambda x: pa.array([x[a : a + n].astype(np.int64).tobytes() for a, n in zip(starts, sizes, strict=True)], pa.binary())
+            return pa.table({"slot": slot, "keys": pack(known), "counts": pack(times)})
+
+        def total(group: pa.Table) -> pa.Table:
+            known, times = both(group, "keys", "counts")
+            unique, at = np.unique(known, return_inverse=True)
+            return pa.table({"key": unique, "shared": np.bincount(at, times, len(unique)).astype(np.int64)})
 
         small_batches(self.rows.sparkSession)
         packed = self.rows.select("text").mapInArrow(gather, "bucket bigint, tokens binary, keys binary")
-        return packed.groupBy("bucket").applyInArrow(count, "key bigint, shared bigint").groupBy("key").agg(F.sum("shared").alias("shared"))
+        counted = packed.groupBy("bucket").applyInArrow(count, "slot bigint, keys binary, counts binary")
+        return counted.groupBy("slot").applyInArrow(total, "key bigint, shared bigint")
 
     def whole_sets(self, wanted: DataFrame) -> DataFrame:
         """node, set: all hashes (8 bytes each) of the nodes of ``wanted`` (node, first, copies), read from the first text of each."""
