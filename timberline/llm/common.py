@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import gc
+import re
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -24,23 +24,27 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
 
 
-def checkpointed(df: DataFrame, free: bool = False) -> DataFrame:
+def checkpointed(df: DataFrame) -> DataFrame:
     """Write ``df`` to the folder all executors share and go on from there.
 
-    The folder is the session's ``spark.checkpoint.dir``; one of our own is set
-    only where the session names none (tests on one machine).  ``free``: let
-    Spark's cleaner drop the shuffles that only the way to ``df`` needed, now
-    rather than when the driver happens to collect its garbage.
+    The folder is the session's ``spark.checkpoint.dir``.  Where the session names
+    none, a temporary one is set, but only if all runs on one machine.
     """
     context = df.sparkSession.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints-"))
-    out = df.checkpoint()
-    del df
-    if free:
-        gc.collect()
-        context._jvm.System.gc()
-    return out
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if folder is None and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
+    return df.checkpoint()
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name like ``name`` that ``df`` does not have, in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def ascii_lower(column):

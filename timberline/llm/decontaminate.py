@@ -6,9 +6,10 @@ of fewer words, but not none, is one window.  A document word inside any
 occurrence of a window is hit.
 
 The set is broadcast in blocks of at most ``max_windows`` windows.  A benchmark
-within the bound is one block and one pass; a larger one is matched block after
-block over the same rows, each pass adding to the hits found so far, so that
-neither the driver nor a worker ever holds more than one block at once.
+within the bound is one block and one Python worker a task; a larger one is matched
+block after block over the same rows, by a worker for each block, each adding to
+the hits found so far.  The driver and each worker hold one block; a machine
+holds as many as there are, so its memory bounds the benchmark, not the documents.
 
 Defined cases: a null or wordless text has no words and no hits; a null or
 wordless item has no window; several items may share a window and all count;
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import joined_hash, slices, small_batches, texts
+from .common import fresh, joined_hash, slices, small_batches, texts
 
 WORD_BYTES = bytes(
     c + 32 if 0x41 <= c <= 0x5A else c if c >= 0x80 or 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A else 0x20 for c in range(256)
@@ -115,7 +116,7 @@ def find_hits(docs: list[list[bytes]], block: Windows) -> tuple[np.ndarray, list
 def _matched(documents: DataFrame, benchmark: DataFrame, n: int, share: int, max_windows: int, text: str, keep: bool) -> DataFrame:
     """Each row with its hits: only the clean rows as they are (``keep``), or all rows with their figures, without the text."""
     spark, columns = documents.sparkSession, documents.schema
-    out = documents.withColumns({"__hits": F.lit(b""), "__items": F.array().cast("array<string>")})
+    out = documents.withColumns({fresh(documents, "hits"): F.lit(b""), fresh(documents, "items"): F.array().cast("array<string>")})
     middle = out.schema
     figures = "n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, items array<string>, contaminated boolean"
     rest = [f for f in columns if f.name != text]

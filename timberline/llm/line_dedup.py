@@ -76,9 +76,9 @@ def repeated(rows: DataFrame, least: int) -> DataFrame:
     return merged.groupBy("__doc", "__key").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("__runs"))
 
 
-def deduplicated(documents: DataFrame, min_words: int = 50, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents with later repeated runs removed from ``text``, and __n_lines and __n_removed."""
-    keyed = documents.withColumns({"__doc": F.col(doc), "__key": F.xxhash64(F.col(text)), "__text": F.col(text)})
+def _without_runs(documents: DataFrame, min_words: int, doc: str, text: str) -> DataFrame:
+    """row (all columns of a document), left (its text without later repeated runs), n_lines, n_removed."""
+    keyed = documents.select(F.struct(*documents.columns).alias("row"), F.col(doc).alias("__doc"), F.xxhash64(F.col(text)).alias("__key"), F.col(text).alias("__text"))
     runs = repeated(keyed.select("__doc", "__key", "__text"), min_words).withColumnsRenamed({"__doc": "__d", "__key": "__k"})
     joined = keyed.join(runs, F.col("__doc").eqNullSafe(F.col("__d")) & (F.col("__key") == F.col("__k")), "left")
     kept = F.expr(
@@ -86,20 +86,28 @@ def deduplicated(documents: DataFrame, min_words: int = 50, doc: str = "doc_id",
           slice(lines, if(i = 0, 0, __runs[i - 1].stop + 1) + 1, if(i = size(__runs), size(lines), __runs[i].start) - if(i = 0, 0, __runs[i - 1].stop + 1)))))[0]"""
     )
     removed = F.expr("aggregate(__runs, 0L, (a, r) -> a + r.stop - r.start + 1)")
-    out = joined.withColumns(
-        {
-            text: F.when(F.col("__runs").isNull(), F.col("__text")).otherwise(F.array_join(kept, "\n")),
-            "__n_lines": F.coalesce(F.size(F.split("__text", "\n")), F.lit(0)).cast("bigint"),
-            "__n_removed": F.coalesce(removed, F.lit(0)).cast("bigint"),
-        }
+    return joined.select(
+        "row",
+        F.when(F.col("__runs").isNull(), F.col("__text")).otherwise(F.array_join(kept, "\n")).alias("left"),
+        F.coalesce(F.size(F.split("__text", "\n")), F.lit(0)).cast("bigint").alias("n_lines"),
+        F.coalesce(removed, F.lit(0)).cast("bigint").alias("n_removed"),
     )
-    return out.select(*documents.columns, "__n_lines", "__n_removed")
+
+
+def _columns(documents: DataFrame, changed: dict) -> list:
+    return [changed.get(c, F.col("row").getField(c)).alias(c) for c in documents.columns]
+
+
+def deduplicated(documents: DataFrame, min_words: int = 50, doc: str = "doc_id", text: str = "text") -> DataFrame:
+    """The documents with later repeated runs removed from ``text``, and __n_lines and __n_removed."""
+    out = _without_runs(documents, min_words, doc, text)
+    return out.select(*_columns(documents, {text: F.col("left")}), F.col("n_lines").alias("__n_lines"), F.col("n_removed").alias("__n_removed"))
 
 
 def cleaned(documents: DataFrame, min_words: int = 50, doc: str = "doc_id", text: str = "text", length: str | None = "n_chars") -> DataFrame:
     """The documents without later repeated runs, and without those of which nothing is left; ``length`` follows the text."""
-    out = deduplicated(documents, min_words, doc, text)
-    out = out.where((F.col("__n_removed") == 0) | F.col(text).rlike(r"[^\x20\x09-\x0D]"))
+    out = _without_runs(documents, min_words, doc, text).where((F.col("n_removed") == 0) | F.col("left").rlike(r"[^\x20\x09-\x0D]"))
+    changed = {text: F.col("left")}
     if length in documents.columns:
-        out = out.withColumn(length, F.when(F.col("__n_removed") > 0, F.length(text).cast(documents.schema[length].dataType)).otherwise(F.col(length)))
-    return out.select(*documents.columns)
+        changed[length] = F.when(F.col("n_removed") > 0, F.length("left").cast(documents.schema[length].dataType)).otherwise(F.col("row").getField(length))
+    return out.select(*_columns(documents, changed))

@@ -44,7 +44,7 @@ from .common import slices, small_batches, texts, type_of
 SIZE = 4096
 END_ID = 2
 #: Distinct white-space-separated chunks whose ids a worker remembers before it starts anew.
-CACHE = 600_000
+CACHE = 100_000
 PIECES = "start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
 
 
@@ -105,12 +105,20 @@ class Encoder(dict):
         return b"".join(map(self.__getitem__, text.split()))
 
     def sentence_ends(self) -> np.ndarray:
-        return np.unique([i for mark in (".", "!", "?", "。", "！", "？") for i in self.ids(mark)[-1:]]).astype("<u4")
+        """Of every id of the vocabulary, and of the end id, whether it ends a sentence."""
+        out = np.zeros(max(self.tokenizer.get_vocab_size(), END_ID + 1), bool)
+        out[[i for mark in (".", "!", "?", "。", "！", "？") for i in self.ids(mark)[-1:]]] = True
+        return out
+
+    def forget(self) -> None:
+        """Drop what is remembered, as a worker process outlives its task."""
+        self.clear()
+        self.pieces.clear()
 
 
 @functools.cache
 def encoder_of(path: str) -> Encoder:
-    """One for each worker process, so that later tasks find its pieces."""
+    """One for each worker process; reading the vocabulary takes long."""
     return Encoder(path)
 
 
@@ -171,8 +179,7 @@ class Packer:
     """
 
     def __init__(self, ends: np.ndarray, size: int = SIZE, grid: int = 32, sentence: float = 8.0, hard: float = 64.0, flush: int = 1 << 20) -> None:
-        self.ends = np.zeros(1 << 17, bool)
-        self.ends[ends] = True
+        self.ends = ends
         self.size, self.grid, self.sentence, self.hard, self.flush = size, min(grid, max(1, size // 4)), sentence, hard, flush
         self.docs: deque[list] = deque()  # key, all its ids, tokens of them emitted
         self.position, self.penalty = np.zeros(0, np.int64), np.zeros(0)
@@ -245,6 +252,7 @@ def packed(documents: DataFrame, tokenizer: str, doc: str = "doc_id", text: str
                 yield batch(rows)
         if rows := list(packer.pack()):
             yield batch(rows)
+        encoder.forget()
 
     small_batches(documents.sparkSession)
     return documents.select(F.col(doc).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, f"doc_id {id_type}, {PIECES}")

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, slices, small_batches, texts, type_of
+from .common import arrow_map, fresh, slices, small_batches, texts, type_of
 from .learn import Logistic, labelled_sample, sigmoid
 
 #: Bytes of each kind become one of these letters: upper, lower, digit, space, line end, sentence mark, other ASCII sign, non-ASCII.
@@ -180,16 +180,16 @@ def kept(documents: DataFrame, labels: DataFrame, threshold: float = 0.5, doc: s
     spark, schema = documents.sparkSession, documents.schema
     model = train(documents.select(F.col(doc).alias("doc_id"), "text", "lang", "source", F.col("n_chars").cast("bigint").alias("n_chars")), labels, F.lit(True), **training)
     shared = spark.sparkContext.broadcast(model)
-    n = F.col("n_chars").cast("bigint")
+    n = fresh(documents, "n")
 
     def run(batches):
         import pyarrow.compute  # noqa: F401
 
         for batch in slices(batches):
             x = np.array([content(t) for t in texts(batch)]).reshape(batch.num_rows, -1)
-            lang, source, n_chars = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("lang", "source", "__n"))
+            lang, source, n_chars = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("lang", "source", n))
             z = np.array([metadata(*m) for m in zip(lang, source, n_chars, strict=True)]).reshape(batch.num_rows, -1)
             yield batch.filter(pa.array(shared.value.scores(x, z)[2] >= threshold)).select(range(batch.num_columns - 1))
 
     small_batches(spark)
-    return documents.withColumn("__n", n).mapInArrow(run, schema)
+    return documents.withColumn(n, F.col("n_chars").cast("bigint")).mapInArrow(run, schema)

@@ -264,7 +264,7 @@ def every_sequence(rows: DataFrame, depth: int) -> DataFrame:
 
 def probabilities(rows: DataFrame, depth: int, floor: int, total: int, distinct: int, test: float, prior: float) -> DataFrame:
     """g, c, base, tree, known: of each sequence the log10 of the root's and of the tree's probability of its last word."""
-    every = checkpointed(every_sequence(rows, depth), free=True)
+    every = checkpointed(every_sequence(rows, depth))
     root = (F.col("c") + 1) / F.lit(float(total + distinct + 1))
     below = every.where("n = 1").select("g", "c", root.alias("p"), F.log10(root).alias("base"), (F.col("c") > 0).alias("known"))
     levels = [below]
@@ -280,7 +280,7 @@ def probabilities(rows: DataFrame, depth: int, floor: int, total: int, distinct:
         whole = F.col("of") + prior
         own = F.when(often, F.col("c")).otherwise(0) / whole + (whole - F.col("kept")) / whole * F.col("parent")
         p = F.when(F.col("of").isNull(), F.col("parent")).otherwise(own)
-        below = checkpointed(met.join(states, "context", "left").select("g", "c", p.alias("p"), "base", "known"), free=True)
+        below = checkpointed(met.join(states, "context", "left").select("g", "c", p.alias("p"), "base", "known"))
         levels.append(below)
     # as new columns: what a checkpoint still knows of its origin does not fit a union
     fresh = [x.select(F.expr("g + 0L").alias("g"), F.expr("c + 0L").alias("c"), (F.col("base") + 0.0).alias("base"), F.log10("p").alias("tree"), F.col("known").cast("int").alias("known")) for x in levels]
