@@ -82,8 +82,9 @@ def test_compiled_as_interpreted(spark):
     records = reader.load_lines(spark, LINES, "json").records
     for at in range(0, len(COMPILED), 13):
         part = COMPILED[at : at + 13]
-        native = records.select("line_no", *(jq.predicate(e, True).alias(f"c{i}") for i, e in enumerate(part))).orderBy("line_no").collect()
-        plain = records.select("line_no", *(jq.predicate(e, False).alias(f"c{i}") for i, e in enumerate(part))).orderBy("line_no").collect()
+        named = {f"c{i}": e for i, e in enumerate(part)}
+        native = jq.with_matches(records, named, True).orderBy("line_no").collect()
+        plain = jq.with_matches(records, named, False).orderBy("line_no").collect()
         for i, e in enumerate(part):
             assert [r[f"c{i}"] for r in native] == [r[f"c{i}"] for r in plain], e
 
@@ -92,7 +93,7 @@ def test_attributes_come_first(spark):
     records = reader.load_lines(spark, LINES, "json").records
     assert jq.where(records, '.msg == "again"').count() == 1
     assert jq.where(records, "").count() == 4
-    assert sorted(r.o[0] for r in records.select(jq.outputs(".level").alias("o")).collect()) == ['""', '"ERROR"', '"INFO"', '"late"']
+    assert sorted(r.o[0] for r in jq.with_outputs(records, ".level", "o").collect()) == ['""', '"ERROR"', '"INFO"', '"late"']
 
 
 def test_completion():

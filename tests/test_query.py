@@ -121,3 +121,24 @@ def test_whole_order(spark):
 def test_ranks_of_a_window(records):
     assert sorted((r["rank"], r.msg) for r in LogQuery(start=1, end=3).ranked(records).select("rank", "msg").collect()) == [(2, "Started"), (3, "no time")]
     assert LogQuery(quick="none such").ranked(records).collect() == []
+
+
+def test_command(spark, tmp_path, capsys):
+    from timberline.__main__ import main
+
+    path = tmp_path / "a.log"
+    path.write_text('{"level":"info","msg":"b","n":1}\r\n\n{"level":"error","msg":"a","n":2}\nnothing\n{"level":"warn","msg":"c","n":3}\n')
+    assert main([str(path), "--jq", ".n > 1", "--sort", "msg:desc", "--plugins", str(tmp_path)]) == 0
+    shown = capsys.readouterr()
+    assert [x.split('"msg":"')[1][0] for x in shown.out.splitlines()] == ["c", "a"]
+    assert "records=3" in shown.err and "skipped=1" in shown.err
+    assert main([str(path), "--format", "none"]) == 1
+
+
+def test_files_of_several_formats(spark, tmp_path):
+    for name, text in {"a": '{"a":1}\n{"a":2}\n', "b": "a=1 b=2\n", "c": '{"b":1}\n'}.items():
+        (tmp_path / name).write_text(text)
+    logs = reader.read_logs(spark, [str(tmp_path / n) for n in "abc"])
+    assert logs.format == "json,logfmt"
+    assert logs.records.groupBy("format").count().count() == 2
+    assert logs.records.count() == 4

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .values import bound
+
 ATTR = "struct<key:string,value:variant>"
 ATTRS = f"array<{ATTR}>"
 
@@ -19,15 +21,19 @@ def attr(key: Column | str, value: Column) -> Column:
 
 def listed(*pairs: tuple[str, Column]) -> Column:
     """Those pairs whose value is not NULL, in order."""
-    made = F.array(*(F.when(value.isNotNull(), attr(key, value)) for key, value in pairs)).cast(ATTRS)
-    return F.filter(made, lambda a: a.isNotNull())
+    return F.filter(F.array(*(attr(key, value) for key, value in pairs)).cast(ATTRS), lambda a: a["value"].isNotNull())
 
 
 def folded(attrs: Column) -> Column:
     """Each key once: at its first place, with its last value."""
-    keys = F.transform(attrs, lambda a: a["key"])
-    once = F.transform(F.array_distinct(keys), lambda k: F.struct(k.alias("key"), F.element_at(F.filter(attrs, lambda a: a["key"] == k), -1)["value"].alias("value")))
-    return F.when(F.size(F.array_distinct(keys)) == F.size(keys), attrs).otherwise(once)
+
+
+    def use(attrs: Column) -> Column:
+        keys = F.array_distinct(F.transform(attrs, lambda a: a["key"]))
+        once = F.transform(keys, lambda k: F.struct(k.alias("key"), F.element_at(F.filter(attrs, lambda a: a["key"] == k), -1)["value"].alias("value")))
+        return F.when(F.size(keys) == F.size(attrs), attrs).otherwise(once)
+
+    return bound(attrs, use)
 
 
 def get(attrs: Column, key: str) -> Column:

@@ -29,7 +29,7 @@ def status_level(status: Column) -> Column:
 def unquoted(token: Column) -> Column:
     """The text in double quotes: a backslash goes and the next character stays; without a closing quote, all of the rest."""
     inner = F.regexp_replace(token, r'(?s)^"((?:[^"\\]|\\.|\\$)*)"?$', "$1")
-    return F.regexp_replace(inner, r"(?s)\\(.)", "$1")
+    return F.when(token.contains("\\"), F.regexp_replace(inner, r"(?s)\\(.)", "$1")).otherwise(F.replace(token, F.lit('"'), F.lit("")))
 
 
 def contains_fold(text: Column, part: Column) -> Column:

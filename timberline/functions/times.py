@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .values import bound
+
 #: What parsers return: an instant, the fraction of its second, and its zone offset.
 TIME = "struct<time:timestamp,nanos:int,offset:int>"
 RFC3339 = r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d([.,]\d+)?(Z|[+-]\d\d:\d\d)$"
@@ -17,7 +19,7 @@ def no_time() -> Column:
 
 
 def parts(time: Column, nanos: Column, offset: Column) -> Column:
-    return F.when(time.isNotNull(), F.struct(time.cast("timestamp").alias("time"), nanos.cast("int").alias("nanos"), offset.cast("int").alias("offset")))
+    return bound(time.cast("timestamp"), lambda t: F.when(t.isNotNull(), F.struct(t.alias("time"), nanos.cast("int").alias("nanos"), offset.cast("int").alias("offset"))))
 
 
 def fraction_nanos(digits: Column) -> Column:
@@ -34,8 +36,13 @@ def offset_seconds(zone: Column) -> Column:
 
 def rfc3339(text: Column) -> Column:
     """Date, ``T``, time and zone are all needed; anything else is no time."""
-    clean = F.when(text.rlike(RFC3339), F.replace(text, F.lit(","), F.lit(".")))
-    return parts(clean.try_cast("timestamp"), fraction_nanos(F.regexp_extract(clean, r"\.(\d+)", 1)), offset_seconds(F.regexp_extract(clean, r"(Z|[+-]\d\d:\d\d)$", 1)))
+
+    def use(x: Column) -> Column:
+        utc = x.endswith("Z")
+        digits = F.substr(x, F.lit(21), F.length(x) - F.when(utc, 21).otherwise(26))  # behind the point, before the zone
+        return parts(x.try_cast("timestamp"), F.when(F.length(x) > 25, fraction_nanos(digits)).when(utc & (F.length(x) > 20), fraction_nanos(digits)).otherwise(0), F.when(utc, 0).otherwise(offset_seconds(F.right(x, F.lit(6)))))
+
+    return bound(F.when(text.rlike(RFC3339), F.replace(text, F.lit(","), F.lit("."))), use)
 
 
 def epoch(seconds: Column, unit: int = 1) -> Column:

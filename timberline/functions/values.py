@@ -11,6 +11,17 @@ HEX_NUMBER = r"^[+-]?0[xX]([0-9a-fA-F]+\.?[0-9a-fA-F]*|\.[0-9a-fA-F]+)[pP][+-]?[
 SIGNED_INFINITY = r"^[+-](?i:inf|infinity)$"
 
 STRING, BOOLEAN, NUMERIC, ARRAY, OBJECT = "string", "boolean", "number", "array", "object"
+#: The types by the first two letters of a value's schema.
+_TAGS = {"VO": "null", "ST": STRING, "BO": BOOLEAN, "AR": ARRAY, "OB": OBJECT, "BI": NUMERIC, "DO": NUMERIC, "DE": NUMERIC, "FL": NUMERIC}
+
+
+def bound(value: Column, use) -> Column:
+    """``use(value)`` with value worked out once for each row."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def tag(value: Column) -> Column:
+    return F.substring(F.schema_of_variant(value), 1, 2)
 
 
 def variant(column: Column) -> Column:
@@ -24,44 +35,46 @@ def null_variant() -> Column:
 
 def type_of(value: Column) -> Column:
     """null, boolean, number, string, array or object; SQL NULL for an absent value."""
-    name = F.regexp_extract(F.schema_of_variant(value), "^[A-Z]+", 0)
-    return F.when(name == "VOID", "null").when(name.isin("STRING", "BOOLEAN", "ARRAY", "OBJECT"), F.lower(name)).when(name.isNotNull(), NUMERIC)
+    return F.try_element_at(F.create_map(*(F.lit(x) for pair in _TAGS.items() for x in pair)), tag(value))
 
 
 def as_string(value: Column) -> Column:
     """The string in it, else NULL; nothing is converted."""
-    return F.when(F.schema_of_variant(value) == "STRING", F.try_variant_get(value, "$", "string"))
+    return F.when(tag(value) == "ST", F.try_variant_get(value, "$", "string"))
 
 
 def as_number(value: Column) -> Column:
     """The number in it as a double, else NULL; strings and booleans are no numbers."""
-    name = F.schema_of_variant(value)
-    return F.when(name.isin("BIGINT", "DOUBLE", "FLOAT") | name.startswith("DECIMAL"), F.try_variant_get(value, "$", "double"))
+    return F.when(tag(value).isin("BI", "DO", "FL", "DE"), F.try_variant_get(value, "$", "double"))
 
 
 def as_boolean(value: Column) -> Column:
-    return F.when(F.schema_of_variant(value) == "BOOLEAN", F.try_variant_get(value, "$", "boolean"))
+    return F.when(tag(value) == "BO", F.try_variant_get(value, "$", "boolean"))
 
 
 def doubled(value: Column) -> Column:
     """Numbers as doubles, anything else as it is: all numbers of a record are 64-bit floats."""
-    number = as_number(value)
-    return F.when(number.isNotNull(), variant(number)).otherwise(value)
+    return F.when(tag(value).isin("BI", "DO", "FL", "DE"), variant(F.try_variant_get(value, "$", "double"))).otherwise(value)
 
 
 def inferred(text: Column) -> Column:
     """A typed value from text: true and false exactly, numbers, else the text.  A number beyond the range of doubles stays text."""
-    parsed = text.try_cast("double")
-    finite = F.abs(parsed) < float("inf")
-    number = F.when((text.rlike(NUMBER) | text.rlike(HEX_NUMBER)) & finite, parsed).when(text.rlike(SIGNED_INFINITY), parsed)
+    finite = (text.rlike(NUMBER) | text.rlike(HEX_NUMBER)) & (F.abs(text.try_cast("double")) < float("inf"))
+    number = F.when(F.substring(text, 1, 1).between("+", "9"), F.when(finite | text.rlike(SIGNED_INFINITY), text.try_cast("double")))
     return (
         F.when(text == "true", variant(F.lit(True)))
         .when(text == "false", variant(F.lit(False)))
-        .when(number.isNotNull(), variant(number))
-        .otherwise(variant(text))
+        .otherwise(F.coalesce(variant(number), variant(text)))
     )
 
 
+def parsed_float(text: Column) -> Column:
+    """The number that a text holds in decimal or hexadecimal form, or as a name; NULL if it is none or beyond the range of doubles."""
+    named = F.lower(text).rlike(r"^[+-]?(inf|infinity)$|^nan$")
+    value = F.when(text.rlike(NUMBER) | text.rlike(HEX_NUMBER), text.try_cast("double"))
+    return F.when(named, text.try_cast("double")).when(F.abs(value) < float("inf"), value)
+
+
 def general_text(number: Column) -> Column:
     """A double in shortest ``%g`` form: with an exponent (of at least two digits) from 1e6 on and below 1e-4."""
     written, size = number.cast("string"), F.abs(number)
@@ -84,26 +97,33 @@ def general_text(number: Column) -> Column:
 
 def display_text(value: Column) -> Column:
     """A value in a list of attributes: strings as they are, numbers in ``%g`` form, ``<nil>``, nested values as ``map[k:v]`` or ``[a b]`` one level deep and JSON below."""
-    kind = type_of(value)
 
-    def inner(v: Column) -> Column:
-        k = type_of(v)
-        return F.when(k == STRING, as_string(v)).when(k == NUMERIC, general_text(as_number(v))).when(k == BOOLEAN, as_boolean(v).cast("string")).when(k == "null", "<nil>").otherwise(F.to_json(v))
+    def plain(x: Column) -> Column:
+        text, number = F.try_variant_get(x["v"], "$", "string"), F.try_variant_get(x["v"], "$", "double")
+        return F.when(x["t"] == "ST", text).when(x["t"].isin("BI", "DO", "FL", "DE"), bound(number, general_text)).when(x["t"] == "BO", text).when(x["t"] == "VO", "<nil>").otherwise(F.to_json(x["v"]))
+
+    def typed(v: Column) -> Column:
+        return F.struct(v.alias("v"), tag(v).alias("t"))
 
-    entries = F.map_entries(F.try_variant_get(value, "$", "map<string,variant>"))  # in key order
-    as_map = F.concat(F.lit("map["), F.array_join(F.transform(entries, lambda e: F.concat(e["key"], F.lit(":"), inner(e["value"]))), " "), F.lit("]"))
-    as_list = F.concat(F.lit("["), F.array_join(F.transform(F.try_variant_get(value, "$", "array<variant>"), inner), " "), F.lit("]"))
-    return F.when(kind == OBJECT, as_map).when(kind == ARRAY, as_list).otherwise(inner(value))
+    def whole(x: Column) -> Column:
+        entries = F.map_entries(F.try_variant_get(x["v"], "$", "map<string,variant>"))  # in key order
+        as_map = F.concat(F.lit("map["), F.array_join(F.transform(entries, lambda e: F.concat(e["key"], F.lit(":"), bound(typed(e["value"]), plain))), " "), F.lit("]"))
+        as_list = F.concat(F.lit("["), F.array_join(F.transform(F.try_variant_get(x["v"], "$", "array<variant>"), lambda v: bound(typed(v), plain)), " "), F.lit("]"))
+        return F.when(x["t"] == "OB", as_map).when(x["t"] == "AR", as_list).otherwise(plain(x))
+
+    return bound(typed(value), whole)
 
 
 def detail_text(value: Column) -> Column:
     """A value in the detail view: integral numbers without a fraction, ``null``, nested values as JSON."""
-    kind, number = type_of(value), as_number(value)
-    whole = (number == F.floor(number)) & (F.abs(number) < 9.2e18)
-    return (
-        F.when(kind == STRING, as_string(value))
-        .when(kind == NUMERIC, F.when(whole, number.cast("bigint").cast("string")).otherwise(general_text(number)))
-        .when(kind == BOOLEAN, as_boolean(value).cast("string"))
-        .when(kind == "null", "null")
-        .otherwise(F.to_json(value))
-    )
+
+
+    def number_text(n: Column) -> Column:
+        return F.when((n == F.floor(n)) & (F.abs(n) < 9.2e18), n.cast("bigint").cast("string")).otherwise(general_text(n))
+
+    def use(x: Column) -> Column:
+        text = F.try_variant_get(x["v"], "$", "string")
+        number = F.try_variant_get(x["v"], "$", "double")
+        return F.when(x["t"].isin("ST", "BO"), text).when(x["t"].isin("BI", "DO", "FL", "DE"), bound(number, number_text)).when(x["t"] == "VO", "null").otherwise(F.to_json(x["v"]))
+
+    return bound(F.struct(value.alias("v"), tag(value).alias("t")), use)

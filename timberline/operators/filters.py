@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions import text, times, values
+from ..functions import times, values
 
 CLOCK = "HH:mm:ss.SSS"
 COLUMNS = ("time", "level", "msg", "attrs")
@@ -34,12 +34,11 @@ def shown(column: str) -> Column:
 def quick(words: str) -> Column:
     """Every word occurs, in any case, in the time, level, message, or an attribute's key or value."""
 
-    def found(word: str) -> Column:
-        w = F.lit(word)
-        inside = F.exists("attrs", lambda a: text.contains_fold(a["key"], w) | text.contains_fold(values.display_text(a["value"]), w))
-        return text.contains_fold(time_text(), w) | text.contains_fold(F.col("level"), w) | text.contains_fold(F.col("msg"), w) | inside
-
-    return reduce(Column.__and__, map(found, words.split()), F.lit(True))
+    own = F.transform("attrs", lambda a: F.lower(a["key"])), F.transform("attrs", lambda a: F.lower(values.display_text(a["value"])))
+    # every text once, for all words
+    every = F.concat(F.array(F.lower("msg"), F.lower("level"), F.lower(time_text())), *own)
+    wanted = F.array(*(F.lower(F.lit(w)) for w in words.split())).cast("array<string>")
+    return values.bound(every, lambda texts: F.forall(wanted, lambda w: F.exists(texts, lambda t: F.contains(t, w))))
 
 
 def time_filter(after: dt.datetime | str | None = None, before: dt.datetime | str | None = None, equals: dt.datetime | str | None = None) -> Column:

@@ -25,6 +25,8 @@ from . import interpreter
 from .parser import JqError, parse
 
 CORE = ("time", "level", "msg")
+#: Column that holds a record as JSON for the interpreter.
+JSON = "__record_json"
 RANKS = ("null", "boolean", "number", "string", "array", "object")
 
 
@@ -141,6 +143,9 @@ class Compiler:
 
     def c_pipe(self, t, x):
         left = self.compile(t[1], x)
+        if isinstance(left, Node) and left.known == "record":  # the record that a select has let through
+            right = self.compile(t[2], Root())
+            return left if isinstance(right, Root) else self.after(left, right)
         right = self.compile(t[2], left)
         return right if isinstance(left, Root) or isinstance(right, Root) else self.after(left, right)
 
@@ -317,52 +322,62 @@ def plan(expression: str) -> tuple[object, Column | None]:
     return tree, F.coalesce(node.ok & (F.lit(True) if node.known == "record" else node.truthy), F.lit(False))
 
 
-def interpreted(tree, record: Column | None = None) -> Column:
-    """The predicate by the interpreter, over Arrow batches."""
+def _function(kind: str, run):
+    """An Arrow function over the record's JSON; not to be moved into a place where Python cannot run."""
+    return F.arrow_udf(lambda records: pa.array([run(json.loads(r)) for r in records.to_pylist()], pa.bool_() if kind == "boolean" else pa.list_(pa.string())), kind).asNondeterministic()
 
-    def matches(records: pa.Array) -> pa.Array:
+
+def _matches(tree):
+    def run(record):
+        found, v = interpreter.first(tree, record)
+        return found and interpreter.truthy(v)
+
+    return run
+
+
+def _outputs(tree):
+    def run(record):
         out = []
-        for r in records.to_pylist():
-            found, v = interpreter.first(tree, json.loads(r))
-            out.append(found and interpreter.truthy(v))
-        return pa.array(out, pa.bool_())
+        try:
+            out.extend(interpreter.dump(v) for v in interpreter.Interpreter(tree)(record))
+        except (interpreter.Failure, interpreter.Break, RecursionError, TypeError, ValueError):
+            pass
+        return out
 
-    # not to be moved into a place where Python cannot run
-    return F.arrow_udf(matches, "boolean").asNondeterministic()(record_json() if record is None else record)
+    return run
 
 
-def predicate(expression: str, native: bool | None = None) -> Column:
-    """Whether a record matches: its first output decides; null and false do not match, errors and no output neither.
+def predicate(expression: str) -> Column:
+    """Whether a record matches, as a Column: its first output decides; null and false do not match, errors and no output neither.
 
-    ``native``: None takes the compiled form where there is one; True insists on it, False on the interpreter.
+    Raises JqError for an expression that needs the interpreter; ``where`` and ``with_matches`` run those as well.
     """
-    tree, column = plan(expression)
-    if native and column is None:
+    _, column = plan(expression)
+    if column is None:
         raise JqError(f"{expression!r} needs the interpreter")
-    return interpreted(tree) if column is None or native is False else column
-
+    return column
 
-def outputs(expression: str, record: Column | None = None) -> Column:
-    """All outputs of an expression, as an array of JSON texts; an error ends them."""
-    tree = parse(expression)
-    interpreter.check(tree)
 
-    def run(records: pa.Array) -> pa.Array:
-        out = []
-        for r in records.to_pylist():
-            own = []
-            try:
-                own.extend(interpreter.dump(v) for v in interpreter.Interpreter(tree)(json.loads(r)))
-            except (interpreter.Failure, interpreter.Break, RecursionError, TypeError, ValueError):
-                pass
-            out.append(own)
-        return pa.array(out, pa.list_(pa.string()))
+def with_matches(records: DataFrame, expressions: dict[str, str], native: bool | None = None) -> DataFrame:
+    """Adds a boolean for each named expression.
 
-    return F.arrow_udf(run, "array<string>").asNondeterministic()(record_json() if record is None else record)
+    ``native``: None takes the compiled form where there is one; True insists on it, False on the interpreter.
+    """
+    plans = {name: plan(e) for name, e in expressions.items()}
+    if native and (left := [expressions[n] for n, (_, column) in plans.items() if column is None]):
+        raise JqError(f"{left[0]!r} needs the interpreter")
+    compiled = {n: c for n, (_, c) in plans.items() if c is not None and native is not False}
+    out = records.select("*", *(c.alias(n) for n, c in compiled.items()))
+    if len(compiled) < len(plans):
+        out = _with_json(out)
+        for n, (tree, _) in plans.items():
+            if n not in compiled:
+                out = out.withColumn(n, _function("boolean", _matches(tree))(F.col(JSON)))
+    return out.select(*records.columns, *plans)
 
 
 def where(records: DataFrame, expression: str, native: bool | None = None) -> DataFrame:
-    """The records that match; all of them for an empty expression.  ``native`` as for ``predicate``."""
+    """The records that match; all of them for an empty expression.  ``native`` as for ``with_matches``."""
     if not expression.strip():
         return records
     tree, column = plan(expression)
@@ -370,14 +385,16 @@ def where(records: DataFrame, expression: str, native: bool | None = None) -> Da
         return records.where(column)
     if native:
         raise JqError(f"{expression!r} needs the interpreter")
-    return _with_json(records).withColumn("__jq", interpreted(tree, F.col("__json"))).where("__jq").drop("__jq", "__json")
+    return _with_json(records).where(_function("boolean", _matches(tree))(F.col(JSON))).drop(JSON)
 
 
 def _with_json(records: DataFrame) -> DataFrame:
     """Adds the record's JSON as a column made once, so that Python functions get a plain column."""
-    return records.select("*", F.explode(F.array(record_json())).alias("__json"))
+    return records.select("*", F.explode(F.array(record_json())).alias(JSON))
 
 
 def with_outputs(records: DataFrame, expression: str, name: str = "outputs") -> DataFrame:
-    """Adds all outputs of an expression, as an array of JSON texts."""
-    return _with_json(records).withColumn(name, outputs(expression, F.col("__json"))).drop("__json")
+    """Adds all outputs of an expression, as an array of JSON texts; an error ends them."""
+    tree = parse(expression)
+    interpreter.check(tree)
+    return _with_json(records).withColumn(name, _function("array<string>", _outputs(tree))(F.col(JSON))).drop(JSON)

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import filters
+from ..session import written
 from . import jq
 
 SORTABLE = ("time", "level", "msg")
@@ -71,7 +72,7 @@ class LogQuery:
         """The rows and ``rank``, their number in the order from 1 on; counted by partition, so that no task holds all rows."""
         spark = records.sparkSession
         # kept, so that counts and ranks see the same partitions
-        rows = self.run(records).withColumn("_at", F.monotonically_increasing_id()).localCheckpoint()
+        rows = written(self.run(records).withColumn("_at", F.monotonically_increasing_id()))
         part, before, offsets = F.shiftrightunsigned("_at", 33), self.start, []
         for r in rows.groupBy(part.alias("part")).agg(F.count("*").alias("n")).orderBy("part").collect():
             offsets.append((r.part, before))

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import session
 from .functions import attrs, text, times, values
 from .operators import detail, filters, shape
 from .plans import jq
@@ -35,7 +37,11 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     reader.prepare(spark)
-    return spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp")).withColumn("level_", F.expr(LEVEL)).withColumn("status", F.expr(STATUS))
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if rows.rdd.getNumPartitions() < cores:  # a table of one row group is one task, however many cores there are
+        rows = rows.repartition(cores)
+    return rows.withColumn("ts", F.col("ts").cast("timestamp")).withColumn("level_", F.expr(LEVEL)).withColumn("status", F.expr(STATUS))
 
 
 def parsed(rows: DataFrame, line: Column, format) -> DataFrame:
@@ -153,7 +159,7 @@ def level_from_status(spark, sf_dir):
     return events(spark, sf_dir).groupBy("status", text.status_level(F.col("status")).alias("level")).agg(F.count("*").alias("n"))
 
 
-@query(r"SELECT page_id, regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1) AS path, NULLIF(regexp_extract(url, '[?&]page=([^&#]*)', 1), '') AS page, NULLIF(regexp_extract(url, '[?&]utm_source=([^&#]*)', 1), '') AS source FROM pages")
+@query(r"SELECT page_id, regexp_extract(url, '^https?://[^/?]*([^?]*)', 1) AS path, NULLIF(regexp_extract(url, '[?&]page=([^&]*)', 1), '') AS page, NULLIF(regexp_extract(url, '[?&]utm_source=([^&]*)', 1), '') AS source FROM pages")
 def query_params(spark, sf_dir):
     from .sources.formats.clf import request_attrs
 
@@ -230,25 +236,25 @@ def all_filters(spark, sf_dir):
     return query.matching(json_records(spark, sf_dir)).select("event_id", "level")
 
 
-@query("SELECT event_id, ts AS time FROM events ORDER BY ts DESC, event_id LIMIT 100")
+@query("SELECT event_id, ts AS time FROM events ORDER BY ts DESC, event_id")
 def sort_time(spark, sf_dir):
-    return LogQuery(sort=(("time", True),), end=100, place=("event_id",)).run(json_records(spark, sf_dir)).select("event_id", "time")
+    return LogQuery(sort=(("time", True),), place=("event_id",)).run(json_records(spark, sf_dir)).select("event_id", "time")
 
 
-@query("SELECT event_id, {LEVEL} AS level, 'event ' || event_type AS msg FROM events ORDER BY level, msg DESC, event_id LIMIT 200")
+@query("SELECT event_id, {LEVEL} AS level, 'event ' || event_type AS msg FROM events ORDER BY level, msg DESC, event_id")
 def sort_level_msg(spark, sf_dir):
-    return LogQuery(sort=(("level", False), ("msg", True)), end=200, place=("event_id",)).run(json_records(spark, sf_dir)).select("event_id", "level", "msg")
+    return LogQuery(sort=(("level", False), ("msg", True)), place=("event_id",)).run(json_records(spark, sf_dir)).select("event_id", "level", "msg")
 
 
 @query("SELECT event_id, ts AS time, row_number() OVER (ORDER BY ts DESC, event_id) AS rank FROM events")
 def sort_time_rank(spark, sf_dir):
-    """The whole order of which ``sort_time`` shows the first rows."""
+    """The order of ``sort_time`` as ranks."""
     return LogQuery(sort=(("time", True),), place=("event_id",)).ranked(json_records(spark, sf_dir).select("event_id", "time"))
 
 
 @query("SELECT event_id, {LEVEL} AS level, 'event ' || event_type AS msg, row_number() OVER (ORDER BY {LEVEL}, event_type DESC, event_id) AS rank FROM events")
 def sort_level_msg_rank(spark, sf_dir):
-    """The whole order of which ``sort_level_msg`` shows the first rows."""
+    """The order of ``sort_level_msg`` as ranks."""
     return LogQuery(sort=(("level", False), ("msg", True)), place=("event_id",)).ranked(json_records(spark, sf_dir).select("event_id", "level", "msg"))
 
 
@@ -277,9 +283,12 @@ def group_leaf(spark, sf_dir):
     return LogQuery(group=("level", "msg"), expanded=("ERROR", "event error"), place=("event_id",)).run(json_records(spark, sf_dir)).select("event_id")
 
 
-@query("SELECT event_id, unnest(['event_id', 'user', 'kind']) AS key, unnest([CAST(event_id AS VARCHAR), CAST(user_id AS VARCHAR), event_type]) AS value FROM events")
+_VALUE = "CASE WHEN value = floor(value) THEN CAST(CAST(value AS BIGINT) AS VARCHAR) ELSE CAST(value AS VARCHAR) END"
+
+
+@query(f"SELECT event_id, unnest(['event_id', 'user', 'value', 'kind', 'props']) AS key, unnest([CAST(event_id AS VARCHAR), CAST(user_id AS VARCHAR), {_VALUE}, event_type, replace(props, ' ', '')]) AS value FROM events")
 def attrs_explode(spark, sf_dir):
-    each = json_records(spark, sf_dir).select("event_id", F.explode("attrs").alias("a")).where(F.col("a.key").isin("event_id", "user", "kind"))
+    each = json_records(spark, sf_dir).select("event_id", F.explode("attrs").alias("a"))
     return each.select("event_id", F.col("a.key").alias("key"), values.detail_text(F.col("a.value")).alias("value"))
 
 
@@ -290,18 +299,17 @@ def attrs_text(spark, sf_dir):
     return parsed(rows, line, JsonFormat()).select("event_id", filters.attrs_text().alias("attrs_text"), filters.time_text().alias("time_text"))
 
 
-@query("SELECT event_id, unnest(['time', 'level', 'msg', 'user', 'props']) AS key, unnest([strftime(ts, '%Y-%m-%d %H:%M:%S.%g') || ' UTC', {LEVEL}, 'event ' || event_type, CAST(user_id AS VARCHAR), replace(props, ' ', '')]) AS value FROM events WHERE event_id % 10 = 3")
-def detail_fields(spark, sf_dir):
-    found = detail.fields(json_records(spark, sf_dir).where("event_id % 10 = 3"))
-    return found.where(~F.col("key").isin("event_id", "value", "kind")).select(F.col("line_no").alias("event_id"), "key", "value")
+_FIELDS = f"unnest(['time', 'level', 'msg', 'event_id', 'user', 'value', 'kind', 'props']) AS key, unnest([strftime(ts, '%Y-%m-%d %H:%M:%S.%g') || ' UTC', {{LEVEL}}, 'event ' || event_type, CAST(event_id AS VARCHAR), CAST(user_id AS VARCHAR), {_VALUE}, event_type, replace(props, ' ', '')]) AS value"
 
 
-_VALUE = "CASE WHEN value = floor(value) THEN CAST(CAST(value AS BIGINT) AS VARCHAR) ELSE CAST(value AS VARCHAR) END"
+@query(f"SELECT event_id, unnest(range(0, 8)) AS i, {_FIELDS} FROM events")
+def detail_fields(spark, sf_dir):
+    """The fields of each record with their places."""
+    return detail.fields(json_records(spark, sf_dir)).select(F.col("line_no").alias("event_id"), F.col("i").cast("bigint").alias("i"), "key", "value")
 
 
-@query(f"SELECT event_id, unnest(['time', 'level', 'msg', 'event_id', 'user', 'value', 'kind', 'props']) AS key, unnest([strftime(ts, '%Y-%m-%d %H:%M:%S.%g') || ' UTC', {{LEVEL}}, 'event ' || event_type, CAST(event_id AS VARCHAR), CAST(user_id AS VARCHAR), {_VALUE}, event_type, replace(props, ' ', '')]) AS value FROM events")
+@query(f"SELECT event_id, {_FIELDS} FROM events")
 def detail_all_fields(spark, sf_dir):
-    """Every field of every event; ``detail_fields`` shows some of a tenth of them."""
     return detail.fields(json_records(spark, sf_dir)).select(F.col("line_no").alias("event_id"), "key", "value")
 
 
@@ -336,3 +344,106 @@ def time_offsets(spark, sf_dir):
     found = parsed(rows, F.concat(F.lit("a=1 time="), F.col("written")), LogfmtFormat())
     own = times.rfc3339_text(F.col("time"), F.col("time_nanos"), F.col("time_offset_s"))
     return found.select("event_id", own.alias("written"), F.timestamp_micros(F.unix_micros("time") + 7_200_000_000).alias("time_text_source"))
+
+
+def written_lines(rows: DataFrame, line: Column) -> str:
+    """Write lines as text files: every second one ends with a carriage return as well, and behind every fifth stands an empty one."""
+    path = session.new_folder(rows.sparkSession)
+    ended = F.concat(line, F.when(F.col("event_id") % 2 == 0, "\r").otherwise(""), F.when(F.col("event_id") % 5 == 0, "\n").otherwise(""))
+    rows.sortWithinPartitions("event_id").select(ended.alias("value")).write.text(path)
+    return path
+
+
+def short_json(rows: DataFrame) -> Column:
+    return render.json_line(F.col("ts"), F.col("level_"), F.col("event_type"), event_id=F.col("event_id"), user=F.col("user_id"))
+
+
+@query("SELECT event_id, ts AS time, {LEVEL} AS level, event_type AS msg, user_id, 'json' AS format FROM events")
+def read_files(spark, sf_dir):
+    """Text files, their format detected."""
+    rows = events(spark, sf_dir)
+    found = reader.read_logs(spark, written_lines(rows, short_json(rows))).records
+    return found.select(number("event_id").cast("bigint").alias("event_id"), "time", "level", "msg", number("user").cast("bigint").alias("user_id"), "format")
+
+
+@query("SELECT 'logfmt' AS format, count(*) FILTER (event_id < 100 OR event_id % 3 <> 0) AS records, count(*) FILTER (event_id >= 100 AND event_id % 3 = 0) AS skipped FROM events")
+def read_files_summary(spark, sf_dir):
+    """What is no record is counted; empty lines are not."""
+    rows = events(spark, sf_dir)
+    line = F.when((F.col("event_id") >= 100) & (F.col("event_id") % 3 == 0), "nothing to parse").otherwise(render.logfmt_line(F.col("ts"), F.col("level_"), F.col("event_type"), user=F.col("user_id")))
+    return reader.read_logs(spark, written_lines(rows, line), "logfmt").summary()
+
+
+@query("SELECT count(*) AS lines, CAST(0 AS BIGINT) AS out_of_order FROM events")
+def read_files_order(spark, sf_dir):
+    """Line numbers grow with the place in the file."""
+    rows = events(spark, sf_dir)
+    found = reader.read_logs(spark, written_lines(rows, short_json(rows)), "json").records.select("file", "line_no", number("event_id").alias("event_id"))
+    before = F.lag("event_id").over(Window.partitionBy("file").orderBy("line_no"))
+    return found.withColumn("before", before).agg(F.count("*").alias("lines"), F.count_if(F.col("before") >= F.col("event_id")).alias("out_of_order"))
+
+
+@query("SELECT format, count(*) AS records FROM events, (SELECT unnest(['clf', 'glog', 'json', 'logfmt']) AS format) GROUP BY format")
+def detect_files(spark, sf_dir):
+    """A folder of each format; each is detected for itself."""
+    rows = events(spark, sf_dir)
+    lines = {
+        "json": short_json(rows),
+        "logfmt": render.logfmt_line(F.col("ts"), F.col("level_"), F.col("event_type"), user=F.col("user_id")),
+        "glog": render.glog_line(F.col("ts"), F.lit("INFO"), F.col("event_type"), F.col("event_id"), user=F.col("user_id")),
+        "clf": render.clf_line(F.col("ts"), F.lit("bob"), F.lit("GET"), F.lit("/"), F.col("status"), F.col("event_id")),
+    }
+    logs = [reader.read_logs(spark, written_lines(rows, line)) for line in lines.values()]
+    return reduce(DataFrame.unionByName, (x.records.select("format") for x in logs)).groupBy("format").agg(F.count("*").alias("records"))
+
+
+_TARGETS = ("/a#b?x=1", "foo?x=1", "host:443", "10.0.0.1:443", "/p%zz?x=1", "http://h:80/p?x=1", "http://h:no/p?x=1", "//h/p?x=1", "/a+b%20c?x=a+b", "mailto:me?x=1")
+_PATHS = ("/a#b", "foo?x=1", "", "10.0.0.1:443", "/p%zz?x=1", "/p", "http://h:no/p?x=1", "//h/p", "/a+b c", "")
+_XS = ("1", None, None, None, None, "1", None, "1", "a b", "1")
+_SIZES = ("1e3", "12.5", "-", "abc", "0x1p4", "-7", "1e999", "5d", "inf", "+.5")
+_BYTES = (1000, 12.5, None, None, 16, -7, None, None, "inf", 0.5)
+
+
+def _cases(values_, number_: bool = False) -> str:
+    written = ("NULL" if v is None else f"CAST('{v}' AS DOUBLE)" if number_ else f"'{v}'" for v in values_)
+    return "CASE event_id % 10 " + " ".join(f"WHEN {i} THEN {v}" for i, v in enumerate(written)) + " END"
+
+
+@query(f"SELECT event_id, {_cases(_PATHS)} AS path, {_cases(_XS)} AS x, {_cases(_BYTES, True)} AS bytes FROM events")
+def clf_edges(spark, sf_dir):
+    """Targets and sizes at the edges of what a request line may hold."""
+    pick = lambda values_: F.get(F.array(*map(F.lit, values_)), (F.col("event_id") % 10).cast("int"))
+    line = render.clf_line(F.col("ts"), F.lit("bob"), F.lit("GET"), pick(_TARGETS), F.col("status"), pick(_SIZES))
+    return parsed(events(spark, sf_dir), line, ClfFormat()).select("event_id", string("path").alias("path"), string("query.x").alias("x"), number("bytes").alias("bytes"))
+
+
+@query(r'''SELECT event_id, CASE WHEN event_id % 4 = 0 THEN 'plain text' WHEN event_id % 4 = 1 THEN 'it said \"' || event_type || '\"' WHEN event_id % 4 = 2 THEN '"open' ELSE '"a" loose' END AS msg, CASE WHEN event_id % 4 = 1 THEN user_id END AS user_id FROM events''')
+def klog_tail(spark, sf_dir):
+    """Messages in quotes with pairs behind them, and what only looks like one."""
+    said = F.expr("""CASE event_id % 4 WHEN 0 THEN 'plain text' WHEN 1 THEN concat('"it said \\\\"', event_type, '\\\\"" user=', user_id) WHEN 2 THEN '"open' ELSE '"a" loose' END""")
+    line = render.glog_line(F.col("ts"), F.lit("INFO"), said, F.col("event_id"))
+    return parsed(events(spark, sf_dir), line, GlogFormat()).select("event_id", "msg", number("user").cast("bigint").alias("user_id"))
+
+
+@query("SELECT event_id, event_type AS msg, CASE WHEN event_id % 2 = 0 THEN user_id END AS user_id, date_trunc('second', ts) AS time FROM events")
+def regex_optional_group(spark, sf_dir):
+    """A group that takes no part is left out; a time layout of the plugin's own."""
+    line = F.concat(F.date_format("ts", "dd.MM.yyyy HH:mm:ss"), F.when(F.col("event_id") % 2 == 0, F.concat(F.lit(" <"), F.col("user_id"), F.lit(">"))).otherwise(""), F.lit(" "), F.col("event_type"))
+    format = RegexFormat("optional", r"^(?P<time>\S+ \S+)(?: <(?P<user_id>\d+)>)? (?P<msg>.*)$", "02.01.2006 15:04:05")
+    return parsed(events(spark, sf_dir), line, format).select("event_id", "msg", number("user_id").cast("bigint").alias("user_id"), "time")
+
+
+@query("SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'glog' WHEN 1 THEN 'clf' END AS inner_format, CASE event_id % 3 WHEN 0 THEN event_type WHEN 1 THEN 'GET /' || event_type || ' HTTP/1.1' ELSE 'said ' || event_type END AS msg FROM events")
+def cloudwatch_cascade(spark, sf_dir):
+    """What tail lines carry: glog, access lines, or plain text."""
+    inner = F.when(F.col("event_id") % 3 == 0, render.glog_line(F.col("ts"), F.lit("INFO"), F.col("event_type"), F.col("event_id"))).when(F.col("event_id") % 3 == 1, render.clf_line(F.col("ts"), F.lit("bob"), F.lit("GET"), F.concat(F.lit("/"), F.col("event_type")), F.col("status"), F.col("event_id"))).otherwise(F.concat(F.lit("said "), F.col("event_type")))
+    return parsed(events(spark, sf_dir), render.tail_line(F.col("ts"), F.lit("s"), inner), CloudWatchFormat(2024)).select("event_id", string("inner_format").alias("inner_format"), "msg")
+
+
+@query("SELECT event_id, strftime(ts, '%H:%M:%S.%g') AS time_text, {LEVEL} AS level, event_type AS msg, 'event_id=' || event_id || ', user=' || user_id AS attrs_text FROM events")
+def display_columns(spark, sf_dir):
+    """The four columns of the grid."""
+    from .plans.query import display
+
+    rows = events(spark, sf_dir)
+    return display(parsed(rows, short_json(rows), JsonFormat())).select(F.col("line_no").alias("event_id"), "time_text", "level", "msg", "attrs_text")

@@ -48,6 +48,8 @@ class Registry:
         warnings = []
         kinds = {".toml": RegexFormat.from_toml, ".py": PluginFormat.from_file}
         for path in sorted(folder.iterdir(), key=lambda p: p.name) if folder.is_dir() else []:
+            if path.suffix == ".wasm":
+                warnings.append(f"{path.name}: no runtime for compiled plugins; write a .py one")
             if path.suffix not in kinds or not path.is_file():
                 continue
             try:

@@ -8,6 +8,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ...functions import attrs, times
+from ...functions.values import bound
+
+__all__ = ["RECORD", "DocumentFormat", "Format", "bound", "groups", "record"]
 
 RECORD = f"struct<time:timestamp,time_nanos:int,time_offset_s:int,level:string,msg:string,attrs:{attrs.ATTRS},raw:string>"
 
@@ -38,6 +41,18 @@ def record(time: Column, level: Column, msg: Column, attributes: Column, raw: Co
     )
 
 
-def bound(value: Column, use) -> Column:
-    """``use(value)`` with value worked out once for each row."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
+def groups(line: Column, pattern: str, names: tuple[str, ...], use) -> Column:
+    """``use`` of a struct of a pattern's groups, NULL where it does not match; one search a line.
+
+    The pattern takes the whole line, and the groups are written side by side
+    with a sign between them that the line itself does not hold.
+    """
+    sign = "\x01"
+    joined = F.split(F.regexp_replace(line, pattern, sign.join(f"${i}" for i in range(1, len(names) + 1))), sign, -1)
+    slow = F.when(line.rlike(pattern), F.array(*(F.regexp_extract(line, pattern, i) for i in range(1, len(names) + 1))))
+    found = F.when(line.contains(sign), slow).otherwise(joined)
+
+    def named(x: Column) -> Column:
+        return F.when(F.size(x) == len(names), bound(F.struct(*(F.get(x, F.lit(i)).alias(n) for i, n in enumerate(names))), use))
+
+    return bound(found, named)

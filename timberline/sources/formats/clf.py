@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ...functions import attrs, text, times
-from .base import bound, record
+from ...functions import attrs, text, times, values
+from .base import bound, groups, record
 
-LINE = r'^(\S+) (\S+) (\S+) \[([^\]]+)\] "([^"]*)" (\d{3}) (\S+)(?: "([^"]*)" "([^"]*)")?'
+LINE = r'(?s)^(\S+) (\S+) (\S+) \[([^\]]+)\] "([^"]*)" (\d{3}) (\S+)(?: "([^"]*)" "([^"]*)")?.*$'
 PARTS = ("addr", "ident", "user", "time", "request", "status", "bytes", "referer", "agent")
 _BAD_ESCAPE = "%(?![0-9A-Fa-f]{2})"
+_SCHEME = "^[A-Za-z][A-Za-z0-9+.-]*:"
+#: User information, a host or a bracketed address, and a port of digits.
+_AUTHORITY = r"^//([^/?@]*@)?([^/?@:\[\]]*|\[[^/?@\]]*\])(:\d*)?([/?]|$)"
 
 
 def decoded(value: Column, plus: bool) -> Column:
@@ -34,13 +37,24 @@ def query_attrs(query: Column) -> Column:
 def request_attrs(request: Column) -> Column:
     """method, protocol, path and query.* of a request line."""
     split = F.split(request, " ", 3)
-    target = F.get(split, F.lit(1))
-    relative = F.regexp_replace(F.regexp_replace(target, "#.*$", ""), r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?]*", "")
-    bad = target.rlike(r"[\x00-\x20\x7f]") | F.substring_index(relative, "?", 1).rlike(_BAD_ESCAPE) | target.rlike("^:")
-    path = F.when(bad, target).otherwise(decoded(F.substring_index(relative, "?", 1), False))
-    query = F.when(~bad & relative.contains("?"), F.substr(relative, F.instr(relative, "?") + 1))
-    fixed = attrs.listed(("method", F.get(split, F.lit(0))), ("protocol", F.get(split, F.lit(2))), ("path", path))
-    return F.when(F.size(split) >= 2, F.concat(fixed, F.coalesce(query_attrs(query), attrs.none()))).otherwise(attrs.none())
+
+    def use(s: Column) -> Column:
+        target = F.get(s, F.lit(1))
+        # a path from the root, or a URL with a scheme, which may be opaque ("host:443") and then has no path; "#" means nothing here
+        rooted = target.startswith("/")
+        scheme = ~rooted & target.rlike(_SCHEME)
+        rest = F.when(rooted, target).otherwise(F.regexp_replace(target, _SCHEME, ""))
+        authority = scheme & rest.startswith("//")
+        relative = F.when(authority, F.regexp_replace(rest, "^//[^/?]*", "")).otherwise(rest)
+        before = F.substring_index(relative, "?", 1)
+        opaque = scheme & ~rest.startswith("/")
+        bad = ~(rooted | scheme) | target.rlike(r"[\x00-\x1f\x7f]") | (~opaque & before.rlike(_BAD_ESCAPE)) | (authority & ~rest.rlike(_AUTHORITY))
+        path = F.when(bad, target).when(opaque, "").otherwise(decoded(before, False))
+        query = F.when(~bad & relative.contains("?"), F.substr(relative, F.instr(relative, "?") + 1))
+        fixed = attrs.listed(("method", F.get(s, F.lit(0))), ("protocol", F.get(s, F.lit(2))), ("path", path))
+        return F.when(F.size(s) >= 2, F.concat(fixed, F.coalesce(query_attrs(query), attrs.none()))).otherwise(attrs.none())
+
+    return bound(split, use)
 
 
 class ClfFormat:
@@ -48,8 +62,7 @@ class ClfFormat:
     is_document = False
 
     def parse(self, line: Column) -> Column:
-        split = F.struct(*(F.regexp_extract(line, LINE, i).alias(n) for i, n in enumerate(PARTS, 1)))
-        return F.when(line.rlike(LINE), bound(split, lambda p: self.whole(p, line)))
+        return groups(line, LINE, PARTS, lambda p: self.whole(p, line))
 
     @staticmethod
     def whole(p: Column, line: Column) -> Column:
@@ -61,9 +74,9 @@ class ClfFormat:
             ("remote_addr", p["addr"]),
             ("user", F.when(p["user"] != "-", p["user"])),
             ("status", status),
-            ("bytes", F.when(p["bytes"].rlike(r"^[+-]?\d+$"), p["bytes"].try_cast("double"))),
+            ("bytes", values.parsed_float(p["bytes"])),
             ("referer", filled(p["referer"], "-")),
             ("user_agent", filled(p["agent"])),
         )
-        both = bound(F.concat(request_attrs(p["request"]), own), attrs.folded)
+        both = attrs.folded(F.concat(request_attrs(p["request"]), own))
         return record(time, text.status_level(status), p["request"], both, line)

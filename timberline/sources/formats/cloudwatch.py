@@ -48,4 +48,4 @@ class CloudWatchFormat:
     @staticmethod
     def outer(r: Column, time: Column, extra: Column, raw: Column) -> Column:
         own = times.parts(r["time"], r["time_nanos"], r["time_offset_s"])
-        return record(F.coalesce(own, time), r["level"], r["msg"], bound(F.concat(r["attrs"], extra), attrs.folded), raw)
+        return record(F.coalesce(own, time), r["level"], r["msg"], attrs.folded(F.concat(r["attrs"], extra)), raw)

@@ -6,10 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ...functions import attrs, times
-from .base import bound, record
+from .base import bound, groups, record
 from .logfmt import pairs, typed
 
 LINE = r"(?s)^([IWEF])(\d{4}|\d{8}) ([^ ]{8,}) +(\d+) ([^:]*):(\d*)\] ?(.*)$"
+PARTS = ("level", "date", "clock", "thread", "file", "line", "msg")
 LEVELS = (("I", "INFO"), ("W", "WARNING"), ("E", "ERROR"), ("F", "FATAL"))
 QUOTED = r'(?s)^"((?:[^"\\]|\\.)*)"(.*)$'
 
@@ -23,32 +24,34 @@ class GlogFormat:
         self.default_year = default_year
 
     def parse(self, line: Column) -> Column:
-        part = lambda i: F.regexp_extract(line, LINE, i)
-        split = F.struct(*(part(i).alias(n) for i, n in enumerate(("level", "date", "clock", "thread", "file", "line", "msg"), 1)))
-        return F.when(line.rlike(LINE), bound(split, lambda p: self.whole(p, line)))
+        return groups(line, LINE, PARTS, lambda p: self.whole(p, line))
 
     def time(self, p: Column) -> Column:
         year = F.year(F.current_date()) if self.default_year is None else F.lit(self.default_year)
         long = F.length(p["date"]) == 8
         year = F.when(long, F.substring(p["date"], 1, 4).try_cast("int")).otherwise(year)
         month, day = (F.substring(F.when(long, F.substring(p["date"], 5, 4)).otherwise(p["date"]), i, 2).try_cast("int") for i in (1, 3))
-        clock = F.when(p["clock"].rlike(r"^\d\d:\d\d:\d\d(\.\d*)?$"), p["clock"])
-        hour, minute, second = (F.substring(clock, i, 2).try_cast("int") for i in (1, 4, 7))
-        micros = F.rpad(F.substring(F.regexp_extract(clock, r"\.(\d*)$", 1), 1, 6), 6, "0").try_cast("int")
+        hour, minute, second = (F.substring(p["clock"], i, 2).cast("int") for i in (1, 4, 7))
+        micros = F.rpad(F.substring(p["clock"], 10, 6), 6, "0").cast("int")
         whole = F.try_make_timestamp(year, month, day, hour, minute, second.cast("decimal(16,6)"))
-        return times.parts(F.timestamp_micros(F.unix_micros(whole) + micros), micros * 1000, F.lit(0))
+        made = bound(micros, lambda m: times.parts(F.timestamp_micros(F.unix_micros(whole) + m), m * 1000, F.lit(0)))
+        return F.when(p["clock"].rlike(r"^\d\d:\d\d:\d\d(\.\d*)?$"), made)
 
     def whole(self, p: Column, line: Column) -> Column:
         level = F.lit(None).cast("string")
         for letter, name in LEVELS:
             level = F.when(p["level"] == letter, name).otherwise(level)
         own = attrs.listed(("thread_id", p["thread"].try_cast("double")), ("file", p["file"]), ("line", p["line"].try_cast("double")))
-        said, rest = F.regexp_extract(p["msg"], QUOTED, 1), F.ltrim(F.regexp_extract(p["msg"], QUOTED, 2))
-        quoted = p["msg"].rlike(QUOTED)
-        found = F.when(quoted, pairs(rest))
-        split = quoted & ((F.length(F.trim(rest)) == 0) | (F.size(found) > 0))
+        plain = record(self.time(p), level, p["msg"], own, line)
 
-        def use(more: Column) -> Column:
-            return F.when(F.coalesce(F.size(more), F.lit(0)) > 0, attrs.folded(F.concat(own, typed(more)))).otherwise(own)
+        def tail(q: Column) -> Column:
+            """Of a message in quotes: what it says, and the pairs behind it."""
 
-        return record(self.time(p), level, F.when(split, said).otherwise(p["msg"]), bound(found, use), line)
+            def use(x: Column) -> Column:
+                split = (x["rest"] == "") | (F.size(x["more"]) > 0)
+                more = F.when(F.size(x["more"]) > 0, attrs.folded(F.concat(own, typed(x["more"])))).otherwise(own)
+                return F.when(split, record(self.time(p), level, x["said"], more, line)).otherwise(plain)
+
+            return bound(F.struct(q["said"].alias("said"), q["rest"].alias("rest"), pairs(F.ltrim(q["rest"])).alias("more")), use)
+
+        return F.when(p["msg"].startswith('"'), F.coalesce(groups(p["msg"], QUOTED, ("said", "rest"), tail), plain)).otherwise(plain)

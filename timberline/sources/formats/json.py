@@ -11,6 +11,7 @@ from .base import bound, record
 TIME_KEYS = ("time", "ts", "timestamp", "@timestamp")
 LEVEL_KEYS = ("level", "severity", "lvl")
 MESSAGE_KEYS = ("msg", "message", "log")
+SPACE = " \t\n\r\x0b\x0c"
 
 
 def time_of(value: Column, epoch_unit: int = 1) -> Column:
@@ -18,7 +19,11 @@ def time_of(value: Column, epoch_unit: int = 1) -> Column:
 
 
 def level_of(value: Column) -> Column:
-    return F.coalesce(text.normalize_level(values.as_string(value)), text.numeric_level(values.as_number(value)), F.lit(""))
+    return F.coalesce(bound(values.as_string(value), text.normalize_level), text.numeric_level(values.as_number(value)))
+
+
+def filled(value: Column) -> Column:
+    return bound(value, lambda x: F.when(x != "", x))
 
 
 class JsonFormat:
@@ -31,28 +36,34 @@ class JsonFormat:
         self.epoch_unit = epoch_unit
 
     def parse(self, line: Column) -> Column:
-        entries = F.map_entries(F.when(line.rlike(r"^\s*\{"), F.from_json(line, "map<string,variant>")))
+        # each entry once, with the field that its key stands for: t, l, m, or none
+        field = F.create_map(*(F.lit(x) for keys, f in ((TIME_KEYS, "t"), (LEVEL_KEYS, "l"), (MESSAGE_KEYS, "m")) for k in keys for x in (k, f)))
+        entries = F.map_entries(F.when(F.substring(F.ltrim(line, F.lit(SPACE)), 1, 1) == "{", F.from_json(line, "map<string,variant>")))
+        placed = F.transform(entries, lambda e, i: F.struct(e["key"].alias("key"), e["value"].alias("value"), F.try_element_at(field, e["key"]).alias("f"), i.alias("i")))
 
-        def pick(entries: Column, keys: tuple[str, ...], value):
+        def pick(core: Column, name: str, value):
             """The first entry that fills a field: its place and its value."""
-            tried = F.transform(entries, lambda e, i: F.when(e["key"].isin(*keys), F.struct(i.alias("i"), value(e["value"]).alias("v"))))
-            return F.get(F.filter(tried, lambda t: t.isNotNull() & t["v"].isNotNull()), F.lit(0))
+            tried = F.transform(F.filter(core, lambda e: e["f"] == name), lambda e: F.struct(e["i"].alias("i"), value(e["value"]).alias("v")))
+            return F.get(F.filter(tried, lambda t: t["v"].isNotNull()), F.lit(0))
 
         def use(entries: Column) -> Column:
+            return bound(F.struct(entries.alias("e"), F.filter(entries, lambda e: e["f"].isNotNull()).alias("core")), pick_all)
+
+        def pick_all(x: Column) -> Column:
             chosen = F.struct(
-                entries.alias("e"),
-                pick(entries, TIME_KEYS, lambda v: time_of(v, self.epoch_unit)).alias("t"),
-                pick(entries, LEVEL_KEYS, lambda v: F.nullif(level_of(v), F.lit(""))).alias("l"),
-                pick(entries, MESSAGE_KEYS, lambda v: F.nullif(values.as_string(v), F.lit(""))).alias("m"),
+                x["e"].alias("e"),
+                pick(x["core"], "t", lambda v: time_of(v, self.epoch_unit)).alias("t"),
+                pick(x["core"], "l", lambda v: filled(level_of(v))).alias("l"),
+                pick(x["core"], "m", lambda v: filled(values.as_string(v))).alias("m"),
             )
             return bound(chosen, finish)
 
         def finish(c: Column) -> Column:
-            def stays(e: Column, i: Column) -> Column:
-                core = F.when(e["key"].isin(*TIME_KEYS), c["t"]["i"]).when(e["key"].isin(*LEVEL_KEYS), c["l"]["i"]).when(e["key"].isin(*MESSAGE_KEYS), c["m"]["i"])
-                return ~e["key"].isin(*TIME_KEYS, *LEVEL_KEYS, *MESSAGE_KEYS) | F.coalesce(i > core, F.lit(False))
+            def stays(e: Column) -> Column:
+                core = F.when(e["f"] == "t", c["t"]["i"]).when(e["f"] == "l", c["l"]["i"]).otherwise(c["m"]["i"])
+                return e["f"].isNull() | F.coalesce(e["i"] > core, F.lit(False))
 
             kept = F.transform(F.filter(c["e"], stays), lambda e: F.struct(e["key"].alias("key"), values.doubled(e["value"]).alias("value")))
             return record(c["t"]["v"], c["l"]["v"], c["m"]["v"], attrs.folded(kept), line)
 
-        return F.when(entries.isNotNull(), bound(entries, use))
+        return bound(placed, lambda e: F.when(e.isNotNull(), use(e)))

@@ -16,8 +16,11 @@ MESSAGE_KEYS = ("msg", "message")
 
 def pairs(line: Column) -> Column:
     """key and value (a text) of each pair in order; bare words count for nothing."""
-    keys, raw = (F.regexp_extract_all(line, F.lit(PAIR), F.lit(i)) for i in (1, 2))
-    return F.transform(F.arrays_zip(keys.alias("k"), raw.alias("r")), lambda p: F.struct(p["k"].alias("key"), F.when(p["r"].startswith('"'), text.unquoted(p["r"])).otherwise(p["r"]).alias("value")))
+    def pair(p: Column) -> Column:
+        value = F.substr(p, F.instr(p, "=") + 1)
+        return F.struct(F.substring_index(p, "=", 1).alias("key"), F.when(value.startswith('"'), text.unquoted(value)).otherwise(value).alias("value"))
+
+    return F.transform(F.regexp_extract_all(line, F.lit(PAIR), F.lit(0)), pair)
 
 
 def typed(pairs: Column) -> Column:
@@ -37,7 +40,7 @@ class LogfmtFormat:
         def use(found: Column) -> Column:
             time = F.try_element_at(F.filter(F.transform(F.filter(found, lambda p: p["key"].isin(*TIME_KEYS)), lambda p: times.rfc3339(p["value"])), lambda t: t.isNotNull()), F.lit(-1))
             rest = F.filter(found, lambda p: ~p["key"].isin(*TIME_KEYS, *LEVEL_KEYS, *MESSAGE_KEYS))
-            whole = record(time, text.normalize_level(last(found, LEVEL_KEYS)), last(found, MESSAGE_KEYS), bound(typed(rest), attrs.folded), line)
+            whole = record(time, text.normalize_level(last(found, LEVEL_KEYS)), last(found, MESSAGE_KEYS), attrs.folded(typed(rest)), line)
             return F.when(F.size(found) > 0, whole)
 
         return bound(pairs(line), use)

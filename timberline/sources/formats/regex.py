@@ -86,4 +86,4 @@ class RegexFormat:
         level = core["level"]
         mapped = F.coalesce(*(F.when(level == k, v) for k, v in self.level_map.items()), text.normalize_level(level))
         more = [(n, F.when(v.isNotNull(), values.inferred(v))) for n, v in named if n not in core]
-        return record(times.plugin_time(core["time"], self.time_format), mapped, core["msg"], bound(attrs.listed(*more), attrs.folded) if more else attrs.none(), line)
+        return record(times.plugin_time(core["time"], self.time_format), mapped, core["msg"], attrs.folded(attrs.listed(*more)) if more else attrs.none(), line)

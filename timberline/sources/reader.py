@@ -51,7 +51,8 @@ class Logs:
 
     @property
     def records(self) -> DataFrame:
-        return self.every.where("r IS NOT NULL").select("file", "line_no", "r.*", F.lit(self.format).alias("format"))
+        own = F.col("format") if "format" in self.every.columns else F.lit(self.format)
+        return self.every.where("r IS NOT NULL").select("file", "line_no", "r.*", own.alias("format"))
 
     @property
     def skipped(self) -> DataFrame:
@@ -78,14 +79,14 @@ def votes(lines: DataFrame, formats: list[Format], column: str = "value") -> Dat
 
 def detect(lines: DataFrame, registry: Registry, column: str = "value") -> Format:
     """The first format that takes more than half of the first ten lines."""
-    order = [c for c in ("file", "line_no") if c in lines.columns]
-    sample = [r[0] for r in (lines.orderBy(*order) if order else lines).select(column).limit(SAMPLE).collect()]
+    # a limit reads the first split, and more only if that has too few lines; an order would read them all
+    sample = [r[0] for r in lines.select(column).limit(SAMPLE).collect()]
     if not sample:
         return registry.need("json")
     formats = [f for f in registry.formats if not f.is_document]
-    found = votes(lines.sparkSession.createDataFrame([(x,) for x in sample], f"{column} string"), formats, column).head()
-    for f in formats:
-        if found[f.name] > len(sample) // 2:
+    shown = lines.sparkSession.createDataFrame([(x,) for x in sample], f"{column} string").coalesce(1)
+    for f in formats:  # strict ones first; most logs need one or two small jobs
+        if votes(shown, [f], column).head()[f.name] > len(sample) // 2:
             return f
     raise ValueError(f"no format takes most of the first lines; there are {', '.join(registry.names())}")
 
@@ -116,7 +117,7 @@ def read_logs(spark: SparkSession, path: str | list[str], format: str | Format =
     prepare(spark)
     registry = registry or Registry()
     if isinstance(path, list) and len(path) > 1 and format == "auto":
-        return union([read_logs(spark, p, format, registry) for p in path])
+        return read_each(spark, path, registry)
     chosen = registry.need(format) if isinstance(format, str) and format != "auto" else format
     if isinstance(chosen, CloudWatchFormat) and is_document(spark, path):
         return read_cloudwatch(spark, path, chosen)
@@ -124,6 +125,14 @@ def read_logs(spark: SparkSession, path: str | list[str], format: str | Format =
     return parse(lines, detect(lines, registry) if chosen == "auto" else chosen)
 
 
+def read_each(spark: SparkSession, paths: list[str], registry: Registry) -> Logs:
+    """Each file in the format that its own first lines show; one scan for all files of a format."""
+    by: dict[str, list[str]] = {}
+    for path in paths:
+        by.setdefault(detect(read_lines(spark, path), registry).name, []).append(path)
+    return union([parse(read_lines(spark, own), registry.need(name)) for name, own in by.items()])
+
+
 def load_lines(spark: SparkSession, lines: list[str], format: str | Format = "auto", registry: Registry | None = None) -> Logs:
     """As ``read_logs``, from lines in memory."""
     prepare(spark)
@@ -136,4 +145,5 @@ def load_lines(spark: SparkSession, lines: list[str], format: str | Format = "au
 
 
 def union(logs: list[Logs]) -> Logs:
-    return Logs(reduce(DataFrame.unionByName, (x.every for x in logs)), ",".join(dict.fromkeys(x.format for x in logs)))
+    """Several logs as one; each record keeps the format of its own."""
+    return Logs(reduce(DataFrame.unionByName, (x.every.withColumn("format", F.lit(x.format)) for x in logs)), ",".join(dict.fromkeys(x.format for x in logs)))
