@@ -127,3 +127,15 @@ def test_pii(spark):
     assert [s[2] for s in spans if s[2] in ("account", "url")] == ["account", "url"]
     assert pii.redacted("to a@b.co now", [(3, 9, "email")]) == "to [EMAIL] now"
     assert pii.find(df.limit(0)).collect() == []
+
+
+def test_account_parsers():
+    def kinds(text):
+        return [(k, text[a:b]) for a, b, k in pii.spans(text, pii.anchors()) if k == "account"]
+
+    assert kinds("routing number 021000021 account number 12345678") == [("account", "021000021"), ("account", "12345678")]
+    assert kinds("Routing Number: 021000022") == []  # its check digit fails
+    assert kinds("ACCOUNT NUMBER is 1234-5678-90") == [("account", "1234-5678-90")]
+    assert kinds("Social Security Number: 536-22-8726 and SSN 000-12-3456") == [("account", "536-22-8726")]
+    assert kinds("account number DE89 3704 0044 0532 0130 00") == [("account", "DE89 3704 0044 0532 0130 00")]
+    assert kinds("the cabaña 021000021 and classnumber") == []

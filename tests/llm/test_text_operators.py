@@ -184,3 +184,56 @@ def test_logistic():
     y = (x @ [2.0, -1.0, 0.0] + 0.3 > 0).astype(float)
     fit = learn.Logistic(x, y)
     assert ((fit.logit(x) > 0) == (y > 0)).mean() > 0.97
+
+
+def test_secret_candidates(spark):
+    """Boundaries: an assignment's name is no part of the value, short and digit-free values need a cue, dotted tokens are one."""
+    jwt = "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0In0.dBjftJeZ4CVPmB92K27uhbUJU1p1r"
+    rows = [
+        (1, "API_KEY=9c8b45435718dcc700c184a7e303cdc64c6a8f7f", ["9c8b45435718dcc700c184a7e303cdc64c6a8f7f"]),
+        (2, "use password: hunt!er$ now", ["hunt!er$"]),
+        (3, f"Bearer {jwt} end", [jwt]),
+        (4, "the password is long and nothing follows it", []),
+        (5, "tail c2VjcmV0LXZhbHVlLTEyMw== x", ["c2VjcmV0LXZhbHVlLTEyMw=="]),
+        (6, "pwd=abcdefghij, token='short'", ["abcdefghij"]),
+    ]
+    df = spark.createDataFrame([(d, t) for d, t, _ in rows], "doc_id long, text string")
+    got = secrets.candidates(df).collect()
+    for d, text, want in rows:
+        own = sorted((r.start, r.value) for r in got if r.doc_id == d)
+        assert [v for _, v in own] == want
+        assert all(text[s : s + len(v)] == v for s, v in own)
+
+
+def test_exchange_over_all_rows(spark):
+    """Sums over a table of views are those of numpy over all its rows at once."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    x, z = rng.normal(size=(300, 3)).astype(np.float32), rng.normal(size=(300, 2)).astype(np.float32)
+    y = (x[:, 0] + 0.5 * z[:, 0] > 0).astype(float)
+    text, page = learn.Logistic(x[:60].astype(float), y[:60]), learn.Logistic(z[:60].astype(float), y[:60])
+    df = spark.createDataFrame([(a.tolist(), b.tolist()) for a, b in zip(x, z)], "x array<float>, z array<float>").repartition(5)
+    got, want = quality.lent_by_all(df, text, page, 0.8), quality.lend(text, page, x.astype(float), z.astype(float), 0.8)
+    assert set(got) == set(want) and want["page", 1].n > 0
+    for k, w in want.items():
+        assert got[k].n == w.n
+        np.testing.assert_allclose(got[k].gradient, w.gradient, rtol=1e-5, atol=1e-6)
+        np.testing.assert_allclose(got[k].curve, w.curve, rtol=1e-5, atol=1e-6)
+    assert quality.lent_by_all(df.limit(0), text, page, 0.8)["text", 0].n == 0
+
+
+@pytest.mark.parametrize("names", [("__key", "__doc", "__text"), ("__n", "__hits", "__items"), ("__Runs", "__th", "row"), ("n", "hits", "items"), ("k", "left", "stays")])
+def test_columns_of_any_name(spark, names):
+    """What filtering operators add inside never meets a column of the table."""
+    from timberline.llm import decontaminate, jaccard_join
+
+    same = "one two three four five six seven eight nine ten " * 8
+    rows = [(1, same, "en", "web", 10, "a", 1, None), (2, "other words in here", "en", "web", 11, "b", 2, None), (3, same, "de", "book", 12, "c", 3, None), (4, None, None, None, None, None, None, None)]
+    df = spark.createDataFrame(rows, f"doc_id long, text string, lang string, source string, n_chars long, {names[0]} string, {names[1]} int, {names[2]} string")
+    lab = spark.createDataFrame([(1, 1, 0), (2, 1, 0)], "doc_id long, quality int, toxic int")
+    bench = spark.createDataFrame([(1, "none of these")], "item_id long, text string")
+    by_id = {r[0]: tuple(r) for r in rows}
+    for kept, stays in ((quality.kept(df, lab), {1, 2, 3, 4}), (line_dedup.cleaned(df), {1, 2, 4}), (jaccard_join.representatives(df), {1, 2, 4}), (decontaminate.clean(df, bench), {1, 2, 3, 4})):
+        assert kept.columns == df.columns
+        assert {r.doc_id: tuple(r) for r in kept.collect()} == {d: by_id[d] for d in stays}

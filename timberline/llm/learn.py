@@ -36,19 +36,28 @@ class Logistic:
 
     def __init__(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, ridge: float = 1.0, steps: int = 30) -> None:
         weight = np.ones(len(y)) if weight is None else weight
-        self.mean, self.scale = x.mean(axis=0), x.std(axis=0) + 1e-9
-        z = np.column_stack([(x - self.mean) / self.scale, np.ones(len(x))])
-        self.beta = np.zeros(z.shape[1])
-        penalty = np.full(z.shape[1], ridge)
-        penalty[-1] = 1e-6
+        self.mean, self.scale, self.ridge = x.mean(axis=0), x.std(axis=0) + 1e-9, ridge
+        self.beta = np.zeros(x.shape[1] + 1)
         for _ in range(steps):
-            p = sigmoid(z @ self.beta)
-            gradient = z.T @ (weight * (y - p)) - penalty * self.beta
-            curve = (z * (weight * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ z + np.diag(penalty)
-            move = np.linalg.solve(curve, gradient)
-            self.beta = self.beta + np.clip(move, -4, 4)
-            if np.abs(move).max() < 1e-6:
+            if self.step(*self.sums(x, y, weight)) < 1e-6:
                 break
 
+    def standard(self, x: np.ndarray) -> np.ndarray:
+        return np.column_stack([(x - self.mean) / self.scale, np.ones(len(x))])
+
+    def sums(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Gradient and curvature of the weighted log-likelihood."""
+        z = self.standard(x)
+        p = sigmoid(z @ self.beta)
+        return z.T @ (weight * (y - p)), (z * (weight * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ z
+
+    def step(self, gradient: np.ndarray, curve: np.ndarray) -> float:
+        """A Newton step with the ridge; gives its greatest move."""
+        penalty = np.full(len(self.beta), self.ridge)
+        penalty[-1] = 1e-6
+        move = np.linalg.solve(curve + np.diag(penalty), gradient - penalty * self.beta)
+        self.beta = self.beta + np.clip(move, -4, 4)
+        return float(np.abs(move).max())
+
     def logit(self, x: np.ndarray) -> np.ndarray:
         return (x - self.mean) / self.scale @ self.beta[:-1] + self.beta[-1]

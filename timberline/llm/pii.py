@@ -3,14 +3,15 @@
 One Aho-Corasick pass over a text finds the anchors: at-signs, plus signs,
 schemes and identifier cues.  At each anchor a deterministic local parser
 expands to the boundaries of the e-mail address, telephone number, URL or
-account number around it and validates it.  Digits are anchors of their own
-(a character class, not a word), found by the same left-to-right scan order.
+account number around it and validates it.  IP addresses and cards have no anchor
+but their digits; they are found by one pattern each over the whole text.
 
 The four base kinds are those of fixed patterns, leftmost and non-overlapping
 for each kind.  A parser looks at the maximal run of its own alphabet around the
 anchor only, and as no match can reach out of that run, it finds what a search
-of the whole text would find.  The method adds two kinds: ``account``, a cue such as "IBAN" followed by an
-identifier whose check digits hold, and ``url``, a scheme whose authority holds
+of the whole text would find.  The method adds two kinds: ``account``, a cue such as "IBAN",
+"routing number", "account number" or "SSN" followed by an identifier (whose check
+digits hold, where it has any), and ``url``, a scheme whose authority holds
 user information (``user:password@host``).
 
 Defined cases: a null text is empty and has no spans; a candidate that fails its
@@ -33,7 +34,11 @@ from .common import arrow_map, joined_hash, type_of
 
 KINDS = ("email", "ip", "card", "phone", "account", "url")
 BASE = 4
-CUES = ("iban", "account number", "account no", "routing number")
+#: What a cue leads to.
+CUES = {
+    "iban": "iban", "account number": "account", "account no": "account", "account #": "account", "acct": "account", "bank account": "account",
+    "routing number": "routing", "routing no": "routing", "aba": "routing", "social security number": "ssn", "ssn": "ssn",
+}
 LOCAL = string.ascii_letters + string.digits + "._%+-"
 SCHEMES = ("http://", "https://", "ftp://")
 
@@ -42,6 +47,10 @@ _IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _USERINFO = re.compile(r"[A-Za-z]+://[^\s/?#@:]+:[^\s/?#@]+@[A-Za-z0-9.-]+(?::[0-9]+)?")
+_BEHIND = r"(?:[.:#=\-]|\s|number|no\b|is\b){0,6}"
+_ROUTING = re.compile(rf"{_BEHIND}([0-9]{{9}})(?![0-9])", re.I)
+_ACCOUNT = re.compile(rf"{_BEHIND}([0-9](?:[ -]?[0-9]){{5,16}})(?![0-9])", re.I)
+_SSN = re.compile(rf"{_BEHIND}([0-9]{{3}}[ -]?[0-9]{{2}}[ -]?[0-9]{{4}})(?![0-9])", re.I)
 _IBAN = re.compile(r"[ :#=]{0,3}([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?)")
 
 
@@ -55,12 +64,27 @@ def iban(value: str) -> bool:
     return int("".join(str(int(c, 36)) for c in value[4:] + value[:4])) % 97 == 1
 
 
+def routing(value: str) -> bool:
+    """Nine digits of a bank's routing number: its check digit holds, and its first two name a district."""
+    d = [int(c) for c in value]
+    return (3 * (d[0] + d[3] + d[6]) + 7 * (d[1] + d[4] + d[7]) + d[2] + d[5] + d[8]) % 10 == 0 and (1 <= 10 * d[0] + d[1] <= 12 or 21 <= 10 * d[0] + d[1] <= 32 or 61 <= 10 * d[0] + d[1] <= 72 or value[:2] == "80")
+
+
+def social(value: str) -> bool:
+    d = re.sub("[ -]", "", value)
+    return d[:3] not in ("000", "666") and d[0] != "9" and d[3:5] != "00" and d[5:] != "0000"
+
+
+#: Of each kind of cue, the parser of what follows and its check.
+_AFTER = {"iban": (lambda t, at: _IBAN.match(t, at), lambda v: iban(v)), "routing": (lambda t, at: _ROUTING.match(t, at), routing), "account": (lambda t, at: _IBAN.match(t, at) or _ACCOUNT.match(t, at), lambda v: iban(v) if v[:1].isalpha() else True), "ssn": (lambda t, at: _SSN.match(t, at), social)}
+
+
 def anchors():
-    """The automaton over at-signs, plus signs, schemes and cues in three ways of writing."""
+    """The automaton over at-signs, plus signs, schemes and cues in four ways of writing."""
     import ahocorasick
 
     found = ahocorasick.Automaton()
-    for kind, anchor in [("email", "@"), ("phone", "+"), *(("url", s) for s in SCHEMES), *(("account", v) for c in CUES for v in (c, c.upper(), c.capitalize()))]:
+    for kind, anchor in [("email", "@"), ("phone", "+"), *(("url", s) for s in SCHEMES), *((f"cue {kind}", v) for c, kind in CUES.items() for v in {c, c.upper(), c.capitalize(), c.title()})]:
         found.add_word(anchor, (kind, len(anchor)))
     found.make_automaton()
     return found
@@ -87,6 +111,11 @@ def spans(text: str, automaton) -> list[tuple[int, int, str]]:
             if start < at and (m := _DOMAIN.match(text, at + 1)):
                 out.append((start, m.end(), kind))
                 free[kind] = m.end()
+        elif kind.startswith("cue "):
+            parse, good = _AFTER[kind[4:]]
+            if not text[at - 1 : at].isalnum() and (m := parse(text, last + 1)) and m.start(1) >= free["account"] and good(m[1]):
+                free["account"] = m.end(1)
+                out.append((m.start(1), m.end(1), "account"))
         elif at < free[kind]:
             continue
         elif kind == "phone":
@@ -94,13 +123,9 @@ def spans(text: str, automaton) -> list[tuple[int, int, str]]:
                 free[kind] = m.end()
                 if 10 <= sum(map(str.isdigit, m[0])) <= 15:
                     out.append((at, m.end(), kind))
-        elif kind == "url":
-            if m := _USERINFO.match(text, at):
-                free[kind] = m.end()
-                out.append((at, m.end(), kind))
-        elif (m := _IBAN.match(text, last + 1)) and iban(m[1]):
+        elif m := _USERINFO.match(text, at):
             free[kind] = m.end()
-            out.append((m.start(1), m.end(1), kind))
+            out.append((at, m.end(), kind))
     for m in _IP.finditer(text):
         parts = [p.lstrip("0") for p in m[0].split(".")]
         if all(len(p) <= 3 and int(p or 0) <= 255 for p in parts):
