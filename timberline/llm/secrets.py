@@ -1,7 +1,10 @@
 """Secret scanning with a random forest that removes false positives; DataFrame functions and Spark ML only.
 
-A candidate is a run of at least ``MIN_LENGTH`` letters, digits and ``_ + / = -``
-with a digit in it.  Its features are its length, how often its characters change
+A candidate is one of: three dotted runs that begin like a JSON web token; what
+follows a secret cue ("password", "token", "api_key" ...) and an assignment, if it
+has at least ``MIN_ASSIGNED`` characters without space or quote, whatever they are;
+and a run of at least ``MIN_LENGTH`` letters, digits and ``_ + / -`` with a digit in
+it, and the equals signs that pad it.  Its features are its length, how often its characters change
 class, how many are distinct, the shares of digits, capitals and vowels, whether
 it is hexadecimal, how much of it dictionary words cover, its path marks, and the
 words and signs before and after it.  A random forest trained on labelled
@@ -30,8 +33,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 MIN_LENGTH = 16
-_RUN = "A-Za-z0-9_+/=-"
-CANDIDATE = f"(?<![{_RUN}])(?=[A-Za-z_+/=-]*[0-9])[{_RUN}]{{{MIN_LENGTH},}}+"
+MIN_ASSIGNED = 8
+_RUN = "A-Za-z0-9_+/-"
+_TOKEN = f"(?<![.{_RUN}])eyJ[A-Za-z0-9_-]{{6,}}[.][A-Za-z0-9_-]{{6,}}[.][A-Za-z0-9_-]{{6,}}+"
+_ASSIGNED = r"""(?<=(?i:password|passwd|pwd|secret|token|api_key|apikey|access_key)["'`]?[ ]{0,2}[=:][ ]{0,2}["'`]?)(?![ =:"'`])[^\s"'`,;]""" + f"{{{MIN_ASSIGNED},}}+"
+CANDIDATE = f"{_TOKEN}|{_ASSIGNED}|(?<![{_RUN}])(?=[A-Za-z_+/-]*[0-9])[{_RUN}]{{{MIN_LENGTH},}}+={{0,2}}+"
 CONTEXT = 48
 
 #: Words that a dictionary covers in identifiers and prose.
@@ -54,9 +60,9 @@ def candidates(documents: DataFrame, doc: str = "doc_id", text: str = "text") ->
     """doc_id, start, end, value, before, after for each candidate of each text."""
     rows = documents.select(F.col(doc).alias("doc_id"), F.col(text).alias("text")).where(F.col("text").rlike(CANDIDATE))
     rows = rows.withColumn("row", F.monotonically_increasing_id())
-    parts = F.expr(f"arrays_zip(regexp_extract_all(text, '{CANDIDATE}', 0), split(text, '{CANDIDATE}'), slice(split(text, '{CANDIDATE}'), 2, 2147483647))")
-    each = rows.select("doc_id", "row", F.posexplode(parts).alias("i", "p"))
-    each = each.select("doc_id", "row", "i", *(F.col("p").getField(k).alias(n) for k, n in (("0", "value"), ("1", "gap"), ("2", "rest")))).where("value IS NOT NULL")
+    gaps = F.split("text", CANDIDATE)
+    parts = F.arrays_zip(F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0)).alias("value"), gaps.alias("gap"), F.slice(gaps, 2, 2147483647).alias("rest"))
+    each = rows.select("doc_id", "row", F.posexplode(parts).alias("i", "p")).select("doc_id", "row", "i", "p.*").where("value IS NOT NULL")
     upto = F.sum(F.length("gap") + F.length("value")).over(Window.partitionBy("row").orderBy("i"))
     return each.select(
         "doc_id",
@@ -145,12 +151,19 @@ def findings(spark: SparkSession, n: int = 6000) -> DataFrame:
         (name(43), F.concat(prose, pick(44, "", "def ", "self.", "token = ", "key: ")), free, 0),
         (F.concat(pick(45, "your_api_key_", "example-token-", "xxxxxxxxxxxxxxxx", "changeme-secret-", "00000000000000000000"), digits(46, 4)), cue, quote, 0),
         (F.concat(F.lit("2024-0"), digits(47, 1), F.lit("-1"), digits(48, 1), F.lit("-"), name(49)), F.concat(prose, pick(50, "", "file ", "log: ")), free, 0),
+        (F.concat(pick(55, *WORDS), pick(56, "!", "$", "#", "%", "&"), digits(57, 3), pick(58, "Q", "z", "X!", "?K")), pick(59, "password=", "password: ", "pwd = ", "passwd: "), pick(60, "", " ", "\n"), 1),
+        (F.regexp_replace(b64(61, 14), "[0-9+/=]", "w"), pick(62, "password=", "secret: ", 'token = "'), pick(63, "", " ", "\n"), 1),
+        (F.concat(F.lit("eyJ"), F.regexp_replace(b64(64, 20), "[+/=]", "a"), F.lit("."), F.regexp_replace(b64(65, 40), "[+/=]", "b"), F.lit("."), F.regexp_replace(b64(66, 43), "[+/=]", "c")), F.concat(prose, pick(67, "", "jwt ", "Bearer ")), free, 1),
+        (pick(68, "required", "optional", "incorrect", "expired_already", "protected", "forgotten", "undefined", "<redacted>", "********", "${PASSWORD}"), pick(69, "password: ", "token: ", "secret = "), free, 0),
+        (F.concat(pick(70, "request", "config", "self", "settings", "env"), F.lit("."), pick(71, *WORDS)), pick(72, "token = ", "password=", "secret: "), pick(73, "\n", "(", " "), 0),
         (F.concat(pick(51, *WORDS), F.lit("-"), pick(52, *WORDS), F.lit("-"), digits(53, 6)), F.concat(prose, pick(54, "", "/blog/", "see ")), free, 0),
     ]
     which = F.pmod(F.xxhash64("id"), F.lit(len(kinds)))
     column = lambda j, kind: F.coalesce(*(F.when(which == i, F.lit(k[j]) if j == 3 else k[j]) for i, k in enumerate(kinds))).cast(kind)
     made = spark.range(0, n, 1, 4).select(column(0, "string").alias("value"), column(1, "string").alias("before"), column(2, "string").alias("after"), column(3, "double").alias("label"))
-    return made.withColumn("value", F.regexp_extract("value", f"[{_RUN}]+", 0)).where((F.length("value") >= MIN_LENGTH) & F.col("value").rlike("[0-9]"))
+    # as a scan would cut them out of their surroundings
+    shown = candidates(made.select(F.struct("label", "before", "after").alias("d"), F.concat("before", "value", F.lit(" "), "after").alias("t")), "d", "t")
+    return shown.where(F.col("start") >= F.length("doc_id.before") - 1).groupBy("doc_id", "value").agg(F.first("before").alias("before"), F.first("after").alias("after")).select("value", "before", "after", F.col("doc_id.label").alias("label"))
 
 
 def train(labelled: DataFrame, trees: int = 24, depth: int = 7, seed: int = 7) -> PipelineModel:
