@@ -35,8 +35,12 @@ from pyspark.sql import functions as F
 MIN_LENGTH = 16
 MIN_ASSIGNED = 8
 _RUN = "A-Za-z0-9_+/-"
-_TOKEN = f"(?<![.{_RUN}])eyJ[A-Za-z0-9_-]{{6,}}[.][A-Za-z0-9_-]{{6,}}[.][A-Za-z0-9_-]{{6,}}+"
-_ASSIGNED = r"""(?<=(?i:password|passwd|pwd|secret|token|api_key|apikey|access_key)["'`]?[ ]{0,2}[=:][ ]{0,2}["'`]?)(?![ =:"'`])[^\s"'`,;]""" + f"{{{MIN_ASSIGNED},}}+"
+# of each kind, what is cheap to rule out comes first
+_TOKEN = f"(?=eyJ)(?<![.{_RUN}])eyJ[A-Za-z0-9_-]{{6,}}[.][A-Za-z0-9_-]{{6,}}[.][A-Za-z0-9_-]{{6,}}+"
+_CUES = "password|passwd|pwd|secret|token|api_key|apikey|access_key"
+_ASSIGNED = (
+    r"""(?<=[=:"'` ])(?<=[=:][ "'`]{0,3})(?![ =:"'`])(?<=(?i:""" + _CUES + r""")["'`]?[ ]{0,2}[=:][ ]{0,2}["'`]?)[^\s"'`,;]""" + f"{{{MIN_ASSIGNED},}}+"
+)
 CANDIDATE = f"{_TOKEN}|{_ASSIGNED}|(?<![{_RUN}])(?=[A-Za-z_+/-]*[0-9])[{_RUN}]{{{MIN_LENGTH},}}+={{0,2}}+"
 CONTEXT = 48
 
