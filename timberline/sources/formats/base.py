@@ -29,16 +29,20 @@ class DocumentFormat(Format, Protocol):
 
 
 def record(time: Column, level: Column, msg: Column, attributes: Column, raw: Column) -> Column:
-    """``time``: a struct of functions.times; missing level and message are empty."""
-    return F.struct(
-        time["time"].alias("time"),
-        time["nanos"].alias("time_nanos"),
-        time["offset"].alias("time_offset_s"),
-        F.coalesce(level, F.lit("")).alias("level"),
-        F.coalesce(msg, F.lit("")).alias("msg"),
-        attributes.alias("attrs"),
-        raw.alias("raw"),
-    )
+    """``time``: a struct of functions.times, worked out once; missing level and message are empty."""
+
+    def whole(t: Column) -> Column:
+        return F.struct(
+            t["time"].alias("time"),
+            t["nanos"].alias("time_nanos"),
+            t["offset"].alias("time_offset_s"),
+            F.coalesce(level, F.lit("")).alias("level"),
+            F.coalesce(msg, F.lit("")).alias("msg"),
+            attributes.alias("attrs"),
+            raw.alias("raw"),
+        )
+
+    return bound(time, whole)
 
 
 def groups(line: Column, pattern: str, names: tuple[str, ...], use) -> Column:

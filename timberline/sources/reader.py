@@ -22,7 +22,9 @@ def prepare(spark: SparkSession) -> None:
 
 def split_lines(texts: DataFrame, column: str = "value") -> DataFrame:
     """Drop one carriage return at the end of each line, then empty lines."""
-    return texts.withColumn(column, F.regexp_replace(column, "\r$", "")).where(F.length(column) > 0)
+    line = F.col(column)
+    cut = F.when(line.endswith("\r"), F.substring(line, F.lit(1), F.length(line) - 1)).otherwise(line)
+    return texts.withColumn(column, cut).where(F.length(column) > 0)
 
 
 def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
