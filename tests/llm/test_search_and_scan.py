@@ -39,6 +39,12 @@ def test_pivots_edges(spark):
     huge = spark.createDataFrame([(0, [1e300, 1.0]), (1, [1e300, 2.0]), (2, [-1.0, 3.0])], schema)
     got = {(r.query_id, r.rank): (r.vec_id, r.score) for r in pivots.search(huge, F.col("vec_id") == 0).collect()}
     assert got == {(0, 1): (1, 2**63 - 1), (0, 2): (2, -(2**63))}
+    over = spark.createDataFrame([(0, [1e307]), (50, [1.0]), (1, [2.0])], schema)
+    assert [(r.query_id, r.vec_id) for r in pivots.search(over, F.lit(True)).orderBy("query_id").collect()] == [(1, 50), (50, 1)]
+    hot = spark.createDataFrame([(0, [1.0, 1.0]), *[(1, [2.0, 1.0])] * 200, (2, [-3.0, 1.0])], schema)
+    for size in (16, 2048):
+        got = pivots.search(hot, F.col("vec_id").isin(0, 2), block_rows=size).orderBy("query_id", "rank").collect()
+        assert [(r.query_id, r.vec_id, r.score) for r in got] == [(0, 1, 196608)] * 5 + [(2, 0, -131072)] + [(2, 1, -327680)] * 4
     twice = spark.createDataFrame([(0, [1.0]), (1, [2.0]), (1, [2.0])], schema)
     assert [(r.rank, r.vec_id) for r in pivots.search(twice, F.col("vec_id") == 0).orderBy("rank").collect()] == [(1, 1), (2, 1)]
 
