@@ -78,6 +78,19 @@ def matrix(rows: list[bytes], dims: int) -> np.ndarray:
     return out
 
 
+def shortened(x: np.ndarray) -> bytes:
+    """As 32-bit floats, if these hold the same numbers."""
+    with np.errstate(over="ignore"):
+        short = x.astype(np.float32)
+    return (short if (short == x).all() else x).tobytes()
+
+
+def lengthened(data: bytes, rows: int, dims: int) -> np.ndarray:
+    """The matrix that ``shortened`` wrote."""
+    kind = np.float32 if len(data) == 4 * rows * dims else np.float64
+    return np.frombuffer(data, kind).reshape(rows, dims).astype(np.float64)
+
+
 def distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     reach = max(np.abs(x).max(initial=0), np.abs(pivots).max(initial=0))
     if 4 * reach * reach * x.shape[1] < EXACT:  # whole numbers: no step of this rounds before the root
@@ -97,10 +110,11 @@ def farthest_first(sample: np.ndarray, n: int) -> np.ndarray:
 
 
 def bounds(q_norm: np.ndarray, q_dist: np.ndarray, x_norm: np.ndarray, low: np.ndarray, high: np.ndarray | None = None) -> np.ndarray:
-    """Upper bounds on the scores of one query and rows whose pivot distances are ``low``, or lie from ``low`` to ``high``."""
+    """Upper bounds on the scores of one query and rows whose pivot distances are ``low``, or lie from ``low`` to ``high``; a line of these for each pivot."""
     with np.errstate(over="ignore", invalid="ignore"):
+        q_dist = q_dist[:, None]
         gaps = np.abs(low - q_dist) if high is None else np.maximum(low - q_dist, q_dist - high)
-        apart = np.maximum(gaps.max(axis=1), 0.0)
+        apart = np.maximum(gaps.max(axis=0), 0.0)
         top = (q_norm + x_norm - apart**2) / 2 + 1.0 + 1e-9 * (q_norm + x_norm)
     return np.where(np.isfinite(top), top, np.inf)
 
@@ -178,7 +192,7 @@ def search(vectors: DataFrame, query, k: int = 5, n_pivots: int = 32, sample: in
     def pack(group: pa.Table) -> pa.Table:
         x, d = matrix(group["v"].to_pylist(), dims), matrix(group["d"].to_pylist(), p)
         norms = (x**2).sum(axis=1)
-        return pa.table({"block": group["block"][:1], "ring": group["ring"][:1], "ids": [group["vec_id"].to_numpy().tobytes()], "x": [x.tobytes()], "dist": [d.tobytes()], "low": [d.min(axis=0).tobytes()], "high": [d.max(axis=0).tobytes()], "norm": [float(norms.max())]})
+        return pa.table({"block": group["block"][:1], "ring": group["ring"][:1], "ids": [group["vec_id"].to_numpy().tobytes()], "x": [shortened(x)], "dist": [np.ascontiguousarray(d.T).tobytes()], "low": [d.min(axis=0).tobytes()], "high": [d.max(axis=0).tobytes()], "norm": [float(norms.max())]})
 
     dealt = rows.withColumn("block", block(F.monotonically_increasing_id()))
     index = checkpointed(dealt.groupBy("block").applyInArrow(pack, "block bigint, ring int, ids binary, x binary, dist binary, low binary, high binary, norm double"))
@@ -197,7 +211,7 @@ def search(vectors: DataFrame, query, k: int = 5, n_pivots: int = 32, sample: in
     shape = "ring int, low binary, high binary, norm double"
     by_task = index.select("ring", "low", "high", "norm").mapInArrow(widest, shape)
     ranges = by_task.repartition(min(p * rings, parallel(spark)), "ring").mapInArrow(widest, shape).collect()  # at most n_pivots * rings
-    low, high = (matrix([bytes(r[f]) for r in ranges], p) for f in ("low", "high"))
+    low, high = (matrix([bytes(r[f]) for r in ranges], p).T.copy() for f in ("low", "high"))
     shared = spark.sparkContext.broadcast(([r.ring for r in ranges], low, high, np.array([r.norm for r in ranges])))
     queries = placed(integral(every.where(query)))
     asked = checkpointed(queries.select(F.monotonically_increasing_id().alias("row"), "vec_id", "v", "d", "ring", block("vec_id", "v").alias("block")))
@@ -218,25 +232,25 @@ def search(vectors: DataFrame, query, k: int = 5, n_pivots: int = 32, sample: in
                 out = []
                 for j in np.flatnonzero(near.any(axis=0)).tolist():
                     i = np.flatnonzero(near[:, j])
-                    out.append((there[j], rows[i].tobytes(), q_ids[i].tobytes(), q[i].tobytes(), d[i].tobytes(), floors[i].tobytes()))
+                    out.append((there[j], rows[i].tobytes(), q_ids[i].tobytes(), shortened(q[i]), floors[i].tobytes()))
                 if out:
                     place, *columns = zip(*out, strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(place, pa.int64()), *(pa.array(c, pa.binary()) for c in columns)], ["place", "rows", "q_ids", "q", "q_dist", "floors"])
+                    yield pa.RecordBatch.from_arrays([pa.array(place, pa.int64()), *(pa.array(c, pa.binary()) for c in columns)], ["place", "rows", "q_ids", "q", "floors"])
 
     def evaluate(batches):
         for batch in batches:
             for r in batch.to_pylist():
-                ids, x, dist = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["x"]).reshape(-1, dims), np.frombuffer(r["dist"]).reshape(-1, p)
-                norms, reach = (x**2).sum(axis=1), float(np.abs(x).max(initial=0))
-                q, d = np.frombuffer(r["q"]).reshape(-1, dims), np.frombuffer(r["q_dist"]).reshape(-1, p)
+                ids, rows = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["rows"], np.int64)
+                x, dist, q = lengthened(r["x"], len(ids), dims), np.frombuffer(r["dist"]).reshape(p, -1), lengthened(r["q"], len(rows), dims)
+                norms, reach, d = (x**2).sum(axis=1), float(np.abs(x).max(initial=0)), distances(q, pivots)
                 out = []
-                for row, q_id, a, b, floor in zip(np.frombuffer(r["rows"], np.int64).tolist(), np.frombuffer(r["q_ids"], np.int64).tolist(), q, d, np.frombuffer(r["floors"], np.int64).tolist(), strict=True):
+                for row, q_id, a, b, floor in zip(rows.tolist(), np.frombuffer(r["q_ids"], np.int64).tolist(), q, d, np.frombuffer(r["floors"], np.int64).tolist(), strict=True):
                     out += [(row, q_id, i, s) for s, i in top(a, q_id, b, floor, ids, x, dist, norms, reach, k)]
                 columns = zip(*out, strict=True) if out else [[]] * 4
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["row", "query_id", "vec_id", "score"])
 
     def run(questions: DataFrame, home: bool) -> DataFrame:
-        sent = questions.mapInArrow(lambda b: packs(b, home), "place bigint, rows binary, q_ids binary, q binary, q_dist binary, floors binary")
+        sent = questions.mapInArrow(lambda b: packs(b, home), "place bigint, rows binary, q_ids binary, q binary, floors binary")
         if home:
             sent = sent.withColumnRenamed("place", "block")
         else:
