@@ -178,6 +178,40 @@ def test_toxicity_and_quality(spark):
     assert toxicity.classified(df.limit(0), lab, held).collect() == quality.classified(df.limit(0), lab, held).collect() == []
 
 
+def test_toxicity_scores(spark):
+    """Every text's score from its words, one by one, by the model's own figures; long texts, ties and repeated rows."""
+    docs, labels = corpus(seed=9)
+    docs += [(1000, "kata " * 30_000 + "idiot moron scum " + "lota " * 30_000, "en", "s", 1), (1001, "kata " * 60_000, "en", "s", 1), *[(1002, docs[0][1], "en", "s", 1)] * 3]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long")
+    lab = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    held = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    model = toxicity.train(df.select("doc_id", "text"), lab, ~held)
+    assert {"idiot", "moron", "scum"} <= {w.decode() for w in model.weights}
+    got = [(r.doc_id, r.score) for r in toxicity.classified(df, lab, held).collect()]
+    assert len(got) == len(docs)
+    by_id = dict(got)
+
+    def pieces(weights):
+        """Maximal scoring segments by their definition: the best run, then those left and right of it."""
+        best, start, total, begin = (0.0, 0, 0), 0, 0.0, 0
+        for i, w in enumerate(weights):
+            if total <= 0:
+                total, begin = 0.0, i
+            total += w
+            best = max(best, (total, -begin, -i - 1))
+        s, a, b = best[0], -best[1], -best[2]
+        return [] if s <= 0 else pieces(weights[:a]) + [s] + pieces(weights[b:])
+
+    for doc_id, text, *_ in docs:
+        own = "".join(c if c.isalnum() else " " for c in (text or "").lower()).split()
+        e = [model.rate * s - np.log(len(own)) - model.log_k for s in pieces([model.weights.get(w.encode(), model.loss) for w in own])]
+        strong = [x for x in e if x > -np.log(model.level)]
+        x = np.array([[min(30.0, max([0.0, *e])), np.log1p(sum(strong)), np.log1p(len(strong))]])
+        assert abs(by_id[doc_id] - model.scores(x)[0]) < 1e-9
+    assert by_id[1000] > by_id[1001]
+    assert len({s for d, s in got if d == 1002}) == 1 and by_id[1002] == by_id[0]
+
+
 def test_logistic():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(500, 3))

@@ -10,9 +10,9 @@ text and K fitted to the best segments of ordinary texts.  The evidence of a tex
 and that of all significant ones, is turned into a probability by a
 logistic fit.
 
-The model is learned from at most ``most`` labelled rows of each class and holds
-at most ``max_words`` words; both are parameters.  Scoring reads every text
-whole, in one pass without a shuffle.
+The model is learned from at most ``most`` labelled rows of each class, a
+parameter; it holds every word of theirs whose score is clearly positive.  Scoring reads
+every text whole, in one pass without a shuffle.
 
 Defined cases: a null text is empty; an empty text has no segment and gets the
 probability of no evidence; labels that are null or not 0 or 1 are no labels;
@@ -148,7 +148,7 @@ def log_odds(counts: DataFrame, n0: int, n1: int, strength: float) -> DataFrame:
     return counts.withColumn("score", score).withColumn("z", score / F.sqrt(1 / a + 1 / b))
 
 
-def train(documents: DataFrame, labels: DataFrame, condition, label: str = "toxic", most: int = 20_000, max_words: int = 50_000, strength: float = 0.5, least_z: float = 3.0, loss: float = -0.5) -> Model:
+def train(documents: DataFrame, labels: DataFrame, condition, label: str = "toxic", most: int = 20_000, strength: float = 0.5, least_z: float = 3.0, loss: float = -0.5) -> Model:
     """``documents``: doc_id, text."""
     spark = documents.sparkSession
     sample, stands = labelled_sample(labels, label, condition, most)
@@ -162,7 +162,7 @@ def train(documents: DataFrame, labels: DataFrame, condition, label: str = "toxi
     if not n0 or not n1:
         return model
     scored = log_odds(counts, n0, n1, strength).where((F.col("z") >= least_z) & (F.col("score") > 0))
-    kept = scored.orderBy(F.desc("z"), "word").limit(max_words).collect()
+    kept = scored.orderBy(F.desc("z"), "word").collect()  # words that set the classes of the bounded sample apart
     if not kept:
         return model
     model.weights = {r.word.encode(): r.score for r in kept}
@@ -176,22 +176,27 @@ def train(documents: DataFrame, labels: DataFrame, condition, label: str = "toxi
         low, high = (mid, high) if p @ np.exp(np.minimum(mid * s, 500)) < 1 else (low, mid)
     model.rate = max(low, 0.01)
 
-    shared = spark.sparkContext.broadcast(model)
+    def measured(measure) -> list:
+        """Of each text of the sample, by the model as it stands: its label and a few numbers."""
+        shared = spark.sparkContext.broadcast(model)
 
-    def best():
-        def work(batch: pa.RecordBatch) -> dict:
-            own = [words(t) for t in texts(batch)]
-            found = [shared.value.segments(w) for w in own]
-            return {"label": batch.column(1), "n": pa.array(map(len, own), pa.int64()), "s": pa.array([[x for *_, x in f] for f in found], pa.list_(pa.float64()))}
+        def make():
+            def work(batch: pa.RecordBatch) -> dict:
+                own = [words(t) for t in texts(batch)]
+                found = [measure(shared.value, len(w), shared.value.segments(w)) for w in own]
+                return {"label": batch.column(1), "x": pa.array(found, pa.list_(pa.float64()))}
 
-        return work
+            return work
+
+        return arrow_map(rows.select("text", "label"), make, "label int, x array<double>").collect()  # at most 2 * most rows
 
-    fitted = arrow_map(rows.select("text", "label"), best, "label int, n bigint, s array<double>").toArrow().to_pylist()  # at most 2 * most rows
-    chance = [model.rate * max(r["s"]) - math.log(r["n"]) for r in fitted if r["label"] == 0 and r["s"]]
+    top = measured(lambda m, n, found: [m.rate * max(s for *_, s in found) - math.log(n)] if found else [])
+    chance = [r.x[0] for r in top if r.label == 0 and r.x]
     model.log_k = float(np.median(chance)) + math.log(math.log(2)) if chance else 0.0  # the median of the extreme-value law; texts that hide toxic parts do not move it
-    features = np.array([model.evidence(r["n"], [(0, 0, s) for s in r["s"]]) for r in fitted])
-    y = np.array([r["label"] for r in fitted], float)
-    model.fit = Logistic(features, y, np.array([stands[r["label"]] for r in fitted]))
+    fitted = measured(lambda m, n, found: list(m.evidence(max(1, n), found)))
+    features = np.array([r.x for r in fitted])
+    y = np.array([r.label for r in fitted], float)
+    model.fit = Logistic(features, y, np.array([stands[r.label] for r in fitted]))
     return model
 
 
