@@ -6,10 +6,10 @@ of fewer words, but not none, is one window.  A document word inside any
 occurrence of a window is hit.
 
 The set is broadcast in blocks of at most ``max_windows`` windows.  A benchmark
-within the bound is one block and one Python worker a task; a larger one is matched
-block after block over the same rows, by a worker for each block, each adding to
-the hits found so far.  The driver and each worker hold one block; a machine
-holds as many as there are, so its memory bounds the benchmark, not the documents.
+within the bound is one block and one pass; a larger one is matched block after
+block, each pass adding to the hits found so far, with the rows written to the
+shared folder between passes.  The driver, and each worker, hold one block at a
+time, and one more is read ahead on the driver.
 
 Defined cases: a null or wordless text has no words and no hits; a null or
 wordless item has no window; several items may share a window and all count;
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import fresh, joined_hash, slices, small_batches, texts
+from .common import checkpointed, fresh, joined_hash, slices, small_batches, texts
 
 WORD_BYTES = bytes(
     c + 32 if 0x41 <= c <= 0x5A else c if c >= 0x80 or 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A else 0x20 for c in range(256)
@@ -121,9 +121,11 @@ def _matched(documents: DataFrame, benchmark: DataFrame, n: int, share: int, max
     figures = "n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, items array<string>, contaminated boolean"
     rest = [f for f in columns if f.name != text]
     ends = columns if keep else StructType([*rest, *StructType.fromDDL(figures)])
-    held = [spark.sparkContext.broadcast(block) for block in blocks(benchmark, n, max_windows)] or [spark.sparkContext.broadcast(Windows().seal())]
-    for shared in held:
-        last = shared is held[-1]
+    found_blocks = blocks(benchmark, n, max_windows)
+    block = next(found_blocks, None) or Windows().seal()
+    while block is not None:
+        following = next(found_blocks, None)
+        shared, last = spark.sparkContext.broadcast(block), following is None
 
         def run(batches, shared=shared, last=last):
             import pyarrow.compute  # noqa: F401
@@ -155,6 +157,10 @@ def _matched(documents: DataFrame, benchmark: DataFrame, n: int, share: int, max
 
         small_batches(spark)
         out = out.mapInArrow(run, ends if last else middle)
+        if not last:  # a pass of its own, so that no task holds two blocks
+            out = checkpointed(out)
+            shared.unpersist()
+        block = following
     return out
 
 
