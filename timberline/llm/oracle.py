@@ -88,9 +88,42 @@ SELECT w.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, coalesce(m.comp
 FROM w LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT doc_id, min(spot) AS component_id FROM r GROUP BY doc_id) m USING (doc_id)
 """
 
+def _assigned(name: str, books: str) -> str:
+    """Each part's nearest entry of ``books``, ties to the lower index."""
+    return f"""{name} AS (
+  SELECT vec_id, p, any_value(x) AS x, CAST(min((list_inner_product(x, x) - 2 * list_inner_product(x, c) + list_inner_product(c, c)) * 64 + k) AS BIGINT) AS best
+  FROM parts JOIN {books} USING (p) GROUP BY vec_id, p
+)"""
+
+
+def _moved(name: str, books: str, assigned: str) -> str:
+    """``books`` with each entry that has parts at the floor of their mean."""
+    return f"""{name} AS (
+  SELECT p, k, coalesce(m.c, {books}.c) AS c FROM {books} LEFT JOIN (
+    SELECT p, k, list(y ORDER BY place) AS c FROM (
+      SELECT p, best % 64 AS k, place, floor(sum(x[place]) / count(*)) AS y FROM {assigned}, (SELECT unnest(range(1, 1 + (SELECT max(len(x)) FROM parts))) AS place) GROUP BY ALL
+    ) GROUP BY p, k
+  ) m USING (p, k)
+)"""
+
+
+VECTOR_CODES = f"""
+WITH v AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+parts AS (SELECT vec_id, p, e[p * w + 1:(p + 1) * w] AS x FROM (SELECT *, len(e) // 16 AS w, unnest(range(16)) AS p FROM v)),
+b0 AS (SELECT p, k, x AS c FROM parts JOIN (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS k FROM v QUALIFY k < 64) USING (vec_id)),
+{_assigned("a0", "b0")}, {_moved("b1", "b0", "a0")}, {_assigned("a1", "b1")}, {_moved("b2", "b1", "a1")}, {_assigned("a2", "b2")},
+coded AS (SELECT vec_id, string_agg(format('{{:02x}}', best % 64), '' ORDER BY p) AS code, CAST(sum(best // 64) AS BIGINT) AS error FROM a2 GROUP BY vec_id),
+digest AS (SELECT sha256(string_agg(CAST(CAST(y AS BIGINT) AS VARCHAR), ',' ORDER BY p, k, place)) AS d FROM (SELECT p, k, unnest(c) AS y, unnest(range(len(c))) AS place FROM b2))
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, d AS codebooks_sha256 FROM coded JOIN v USING (vec_id), digest
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op1_pivots": PIVOTS,
     "op3_jaccard_join": JACCARD_JOIN,
     "op4_decontaminate": DECONTAMINATE,
     "op7_line_dedup": LINE_DEDUP,
+    "op11_vector_codes": VECTOR_CODES,
 }
