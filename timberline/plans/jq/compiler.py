@@ -1,12 +1,14 @@
 """jq predicates as Columns.
 
 A tree whose nodes have one output each becomes a plain Column that Catalyst can
-fold, prune and generate code for.  Everything else (several outputs, variables,
-functions, paths) runs in the interpreter over Arrow batches.
+fold, prune and generate code for.  Trees with several outputs, variables and
+functions become Columns by ``streams``.  The rest (paths, updates, formats,
+matches, recursion) runs in the interpreter over Arrow batches.
 
 A compiled node knows, as Columns: ``ok`` (false: no output, by ``empty`` or an
 error), its type and its value for each type.  Nothing is left to SQL's own
-conversions or to its three-valued logic.  Arrays and objects compare by their JSON.
+conversions or to its three-valued logic.  Arrays and objects compare by an order
+key (``functions.nested``).
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ...functions import attrs as A
-from ...functions import times, values
+from ...functions import nested, times, values
 from . import interpreter
 from .parser import JqError, parse
 
@@ -65,15 +67,15 @@ class Node:
         return ~((self.kind == "null") | ((self.kind == "boolean") & ~F.coalesce(self.b, F.lit(False))))
 
     @property
-    def json(self) -> Column:
-        """Of arrays and objects, else NULL."""
-        return F.when(self.kind.isin("array", "object"), F.to_json(self.v)) if self.v is not None else F.lit(None).cast("string")
+    def key(self) -> Column:
+        """The place of arrays and objects in their order, else NULL."""
+        return F.when(self.kind.isin("array", "object"), nested.order_key(self.v)) if self.v is not None else F.lit(None).cast("string")
 
     def rank(self) -> Column:
         """In jq's order of types and values."""
         place = F.array_position(F.array(*map(F.lit, RANKS)), self.kind)
         number = F.when(self.kind == "boolean", self.b.cast("double")).otherwise(self.n)
-        return F.struct(place.alias("r"), F.coalesce(number, F.lit(0.0)).alias("n"), F.coalesce(self.s, F.lit("")).alias("s"), F.coalesce(self.json, F.lit("")).alias("j"))
+        return F.struct(place.alias("r"), F.coalesce(number, F.lit(0.0)).alias("n"), F.coalesce(self.s, F.lit("")).alias("s"), F.coalesce(self.key, F.lit("")).alias("k"))
 
 
 _NO = {"b": "boolean", "n": "double", "s": "string"}
@@ -100,6 +102,16 @@ def when(condition: Column, yes: Node, no: Node) -> Node:
     return Node(pick(yes.ok, no.ok), pick(yes.kind, no.kind), pick(yes.b, no.b), pick(yes.n, no.n), pick(yes.s, no.s), v)
 
 
+def whole(n: Column) -> Column:
+    """The integer part of a number, within 64 bits."""
+    return F.when(n >= 2.0**63, 2**63 - 1).when(n <= -(2.0**63), -(2**63)).otherwise(n.try_cast("bigint"))
+
+
+def remainder(a: Column, b: Column) -> Column:
+    """Of integer parts, with the sign of the first; not a number if one of them is not."""
+    return F.when(F.isnan(a) | F.isnan(b), float("nan")).otherwise(F.try_mod(whole(a), whole(b)).cast("double"))
+
+
 class Root:
     """The whole record, before a field of it is taken."""
 
@@ -202,7 +214,10 @@ class Compiler:
         op, a, b = t[1], self.value(t[2], x), self.value(t[3], x)
         numbers = (a.kind == "number") & (b.kind == "number")
         texts = (a.kind == "string") & (b.kind == "string")
-        if op == "%" or (op == "+" and (a.v is not None or b.v is not None) and not (a.known or b.known)):
+        if op == "%":
+            good = numbers & (whole(b.n) != 0)
+            return made("number", F.when(good, remainder(a.n, b.n)), a.ok & b.ok & F.coalesce(good, F.lit(False)))
+        if (op == "+" and (a.v is not None or b.v is not None) and not (a.known or b.known)):
             raise Unsupported("math")
         if op == "+":
             if "null" in (a.known, b.known):
@@ -268,7 +283,7 @@ class Compiler:
                 "ascii_upcase": lambda: made("string", F.translate(x.s, "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"), string),
                 "floor": lambda: made("number", F.floor(x.n).cast("double"), number),
                 "ceil": lambda: made("number", F.ceil(x.n).cast("double"), number),
-                "sqrt": lambda: made("number", F.sqrt(x.n), number & (x.n >= 0)),
+                "sqrt": lambda: made("number", F.sqrt(x.n), number),
                 "fabs": lambda: made("number", F.abs(x.n), number),
                 "abs": lambda: made("number", F.abs(x.n), number),
                 "type": lambda: made("string", x.kind, x.ok),
@@ -316,12 +331,21 @@ def plan(expression: str) -> tuple[object, Column | None]:
     try:
         node = Compiler().compile(tree, Root())
     except Unsupported:
-        return tree, None
+        return tree, _streamed("matches", tree)
     if isinstance(node, Root):
         return tree, F.lit(True)
     return tree, F.coalesce(node.ok & (F.lit(True) if node.known == "record" else node.truthy), F.lit(False))
 
 
+def _streamed(what: str, tree) -> Column | None:
+    from . import streams
+
+    try:
+        return getattr(streams, what)(tree)
+    except Unsupported:
+        return None
+
+
 def _function(kind: str, run):
     """An Arrow function over the record's JSON; not to be moved into a place where Python cannot run."""
     return F.arrow_udf(lambda records: pa.array([run(json.loads(r)) for r in records.to_pylist()], pa.bool_() if kind == "boolean" else pa.list_(pa.string())), kind).asNondeterministic()
@@ -393,8 +417,13 @@ def _with_json(records: DataFrame) -> DataFrame:
     return records.select("*", F.explode(F.array(record_json())).alias(JSON))
 
 
-def with_outputs(records: DataFrame, expression: str, name: str = "outputs") -> DataFrame:
-    """Adds all outputs of an expression, as an array of JSON texts; an error ends them."""
+def with_outputs(records: DataFrame, expression: str, name: str = "outputs", native: bool | None = None) -> DataFrame:
+    """Adds all outputs of an expression, as an array of JSON texts; an error ends them.  ``native`` as for ``with_matches``."""
     tree = parse(expression)
     interpreter.check(tree)
+    column = None if native is False else _streamed("outputs", tree)
+    if column is not None:
+        return records.withColumn(name, F.transform(column, nested.json_text))
+    if native:
+        raise JqError(f"{expression!r} needs the interpreter")
     return _with_json(records).withColumn(name, _function("array<string>", _outputs(tree))(F.col(JSON))).drop(JSON)

@@ -191,18 +191,31 @@ jq_query("jq_gt_mixed_types", ".kind > 200", "TRUE")
 jq_query("jq_number", ".value >= 50 and .value < 75.5", "value >= 50 AND value < 75.5")
 jq_query("jq_test_regex", '.msg | test("^event .*(view|error)$")', "regexp_matches(event_type, '(view|error)$')")
 jq_query("jq_startswith", '.time | startswith("2024-01")', "strftime(ts, '%Y-%m') = '2024-01'")
-jq_query("jq_and_or_not", '(.level == "ERROR" or (.user % 2 == 0 | not)) and (.missing | not)', "{LEVEL} = 'ERROR' OR user_id % 2 <> 0", None)
+jq_query("jq_and_or_not", '(.level == "ERROR" or (.user % 2 == 0 | not)) and (.missing | not)', "{LEVEL} = 'ERROR' OR user_id % 2 <> 0")
 jq_query("jq_alternative", '(.missing // .level) == "WARN"', "{LEVEL} = 'WARN'")
 jq_query("jq_if", 'if .level == "ERROR" then true elif .value > 90 then 0 else null end', "{LEVEL} = 'ERROR' OR value > 90")
 jq_query("jq_arithmetic", '(.value * 2 + 1) / 3 > 40 and (.msg | length) > 10', "(value * 2 + 1) / 3 > 40 AND length('event ' || event_type) > 10")
-jq_query("jq_first_output", '(.level == "ERROR"), true', "{LEVEL} = 'ERROR'", None)
-jq_query("jq_iterate", "[.props[]] | any(. > 90)", "CAST(props->>'k' AS BIGINT) > 90", None)
-jq_query("jq_reduce", "reduce range(3) as $i (0; . + $i) == 3 and (.props | to_entries | map(.key) | index(\"k\") == 0)", "props->>'k' IS NOT NULL", None)
+jq_query("jq_first_output", '(.level == "ERROR"), true', "{LEVEL} = 'ERROR'")
+jq_query("jq_iterate", "[.props[]] | any(. > 90)", "CAST(props->>'k' AS BIGINT) > 90")
+jq_query("jq_reduce", "reduce range(3) as $i (0; . + $i) == 3 and (.props | to_entries | map(.key) | index(\"k\") == 0)", "props->>'k' IS NOT NULL")
+
+K = "CAST(props->>'k' AS BIGINT)"
+jq_query("jq_order_of_arrays", "[.props.k, .user] < [50, 100] and [.user] != [.user, null] and [.kind] > [.user, []]", f"{K} < 50 OR ({K} = 50 AND user_id < 100)")
+jq_query("jq_order_of_objects", '{u: .user, k: .props.k} >= {u: 90, k: 20} and {z: 0} > {a: .user}', f"{K} > 20 OR ({K} = 20 AND user_id >= 90)")
+jq_query("jq_entries", ".props | with_entries(select(.value > 50)) | length == 1", f"{K} > 50")
+jq_query("jq_slices_and_variables", '.kind as $k | .msg[6:] == $k and ([.user, .value, .props.k] | .[-1] < .[0])', f"{K} < user_id")
+jq_query("jq_definitions", "def top(f): max_by(f); [{n: .user}, {n: .props.k}] | top(.n).n == .[1].n", f"{K} >= user_id")
+
+
+@query(f"SELECT event_id, CAST(unnest([least(user_id, {K}, 60), greatest(least(user_id, {K}), least(greatest(user_id, {K}), 60)), greatest(user_id, {K}, 60)]) AS BIGINT) AS n, unnest([0, 1, 2]) AS place FROM events")
+def jq_sorted_outputs(spark, sf_dir):
+    found = jq.with_outputs(json_records(spark, sf_dir), "[.user, .props.k, 60] | sort | .[]", "o", True)
+    return found.select("event_id", F.posexplode("o").alias("place", "o")).select("event_id", F.col("o").cast("bigint").alias("n"), "place")
 
 
 @query("SELECT event_id, CAST(CAST(user_id AS VARCHAR) || '-' || event_type AS VARCHAR) AS out FROM events")
 def jq_outputs(spark, sf_dir):
-    found = jq.with_outputs(json_records(spark, sf_dir), '"\\(.user)-\\(.kind)"', "o").select("event_id", F.explode("o").alias("o"))
+    found = jq.with_outputs(json_records(spark, sf_dir), '"\\(.user)-\\(.kind)"', "o", True).select("event_id", F.explode("o").alias("o"))
     return found.select("event_id", F.expr("trim(BOTH '\"' FROM o)").alias("out"))
 
 
