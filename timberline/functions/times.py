@@ -38,11 +38,16 @@ def rfc3339(text: Column) -> Column:
     """Date, ``T``, time and zone are all needed; anything else is no time."""
 
     def use(x: Column) -> Column:
-        utc = x.endswith("Z")
-        digits = F.substr(x, F.lit(21), F.length(x) - F.when(utc, 21).otherwise(26))  # behind the point, before the zone
-        return parts(x.try_cast("timestamp"), F.when(F.length(x) > 25, fraction_nanos(digits)).when(utc & (F.length(x) > 20), fraction_nanos(digits)).otherwise(0), F.when(utc, 0).otherwise(offset_seconds(F.right(x, F.lit(6)))))
+        text, time = x["text"], x["time"]
+        utc, size = text.endswith("Z"), F.length(text)
+        digits = F.substr(text, F.lit(21), size - F.when(utc, 21).otherwise(26))  # behind the point, before the zone
+        nanos = F.when(size > F.when(utc, 27).otherwise(32), fraction_nanos(digits)).otherwise(F.pmod(F.unix_micros(time), F.lit(1_000_000)).cast("int") * 1000)
+        return F.when(time.isNotNull(), F.struct(time.alias("time"), nanos.alias("nanos"), F.when(utc, 0).otherwise(offset_seconds(F.right(text, F.lit(6)))).alias("offset")))
 
-    return bound(F.when(text.rlike(RFC3339), F.replace(text, F.lit(","), F.lit("."))), use)
+    def read(text: Column) -> Column:
+        return bound(F.struct(text.alias("text"), text.try_cast("timestamp").alias("time")), use)
+
+    return bound(F.when(text.rlike(RFC3339), F.replace(text, F.lit(","), F.lit("."))), lambda t: F.when(t.isNotNull(), read(t)))
 
 
 def epoch(seconds: Column, unit: int = 1) -> Column:

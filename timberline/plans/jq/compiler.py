@@ -348,7 +348,7 @@ def _streamed(what: str, tree) -> Column | None:
 
 def _function(kind: str, run):
     """An Arrow function over the record's JSON; not to be moved into a place where Python cannot run."""
-    return F.arrow_udf(lambda records: pa.array([run(json.loads(r)) for r in records.to_pylist()], pa.bool_() if kind == "boolean" else pa.list_(pa.string())), kind).asNondeterministic()
+    return F.arrow_udf(lambda records: pa.array([run(json.loads(r, parse_int=float)) for r in records.to_pylist()], pa.bool_() if kind == "boolean" else pa.list_(pa.string())), kind).asNondeterministic()
 
 
 def _matches(tree):

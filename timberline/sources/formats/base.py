@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ...functions import attrs, times
 from ...functions.values import bound
 
-__all__ = ["RECORD", "DocumentFormat", "Format", "bound", "groups", "record"]
+__all__ = ["RECORD", "DocumentFormat", "Format", "bound", "groups", "plain_record", "record", "staged"]
 
 RECORD = f"struct<time:timestamp,time_nanos:int,time_offset_s:int,level:string,msg:string,attrs:{attrs.ATTRS},raw:string>"
 
@@ -28,21 +28,28 @@ class DocumentFormat(Format, Protocol):
     is_document: bool
 
 
+def staged(made: Column, *steps) -> Column:
+    """``made``, taken through steps, each of which reads what the one before worked out."""
+    return bound(made, lambda x: staged(steps[0](x), *steps[1:])) if steps else made
+
+
+def plain_record(time: Column, level: Column, msg: Column, attributes: Column, raw: Column) -> Column:
+    """``record`` of a time that is a column already."""
+    return F.struct(
+        time["time"].alias("time"),
+        time["nanos"].alias("time_nanos"),
+        time["offset"].alias("time_offset_s"),
+        F.coalesce(level, F.lit("")).alias("level"),
+        F.coalesce(msg, F.lit("")).alias("msg"),
+        attributes.alias("attrs"),
+        raw.alias("raw"),
+    )
+
+
 def record(time: Column, level: Column, msg: Column, attributes: Column, raw: Column) -> Column:
     """``time``: a struct of functions.times, worked out once; missing level and message are empty."""
 
-    def whole(t: Column) -> Column:
-        return F.struct(
-            t["time"].alias("time"),
-            t["nanos"].alias("time_nanos"),
-            t["offset"].alias("time_offset_s"),
-            F.coalesce(level, F.lit("")).alias("level"),
-            F.coalesce(msg, F.lit("")).alias("msg"),
-            attributes.alias("attrs"),
-            raw.alias("raw"),
-        )
-
-    return bound(time, whole)
+    return bound(time, lambda t: plain_record(t, level, msg, attributes, raw))
 
 
 def groups(line: Column, pattern: str, names: tuple[str, ...], use) -> Column:

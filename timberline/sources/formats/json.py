@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ...functions import attrs, text, times, values
-from .base import bound, record
+from .base import bound, plain_record, record, staged
 
 TIME_KEYS = ("time", "ts", "timestamp", "@timestamp")
 LEVEL_KEYS = ("level", "severity", "lvl")
@@ -36,10 +36,45 @@ class JsonFormat:
         self.epoch_unit = epoch_unit
 
     def parse(self, line: Column) -> Column:
+        members = F.when(F.substring(F.ltrim(line, F.lit(SPACE)), 1, 1) == "{", F.from_json(line, "map<string,variant>"))
+        return staged(members, self.told_apart, self.opened, self.worked_out, lambda x: self.put_together(line, x))
+
+    @staticmethod
+    def told_apart(members: Column) -> Column:
+        """The values of the three fields with their types, and all other members.  ``plain``: no field has two aliases, and no key stands twice."""
+        time, level, msg = (F.coalesce(*(F.try_element_at(members, F.lit(k)) for k in keys)) for keys in (TIME_KEYS, LEVEL_KEYS, MESSAGE_KEYS))
+        rest = F.filter(F.map_entries(members), lambda e: ~e["key"].isin(*TIME_KEYS, *LEVEL_KEYS, *MESSAGE_KEYS))
+        once = F.size(F.array_distinct(F.map_keys(members))) == F.size(members)
+        return F.struct(time.alias("t"), level.alias("l"), msg.alias("m"), members.alias("all"), rest.alias("rest"), once.alias("once"))
+
+    @staticmethod
+    def opened(x: Column) -> Column:
+        """What each field holds, as a text."""
+        filled_in = sum((x[n].isNotNull().cast("int") for n in "tlm"), F.lit(0))
+        plain = x["once"] & (F.size(x["all"]) - F.size(x["rest"]) == filled_in)
+        texts = (F.when(plain, F.try_variant_get(x[n], "$", "string")).alias(f"{n}_text") for n in "tlm")
+        return F.struct(*(x[n].alias(n) for n in ("all", "rest", "t", "l", "m")), plain.alias("plain"), *texts)
+
+    def worked_out(self, x: Column) -> Column:
+        """Time, level and message.  A text that begins like a word was a string; only others have their type looked up."""
+
+        def is_string(n: str) -> Column:
+            own = x[f"{n}_text"]
+            return (F.substring(own, 1, 1).between("A", "z") & ~own.isin("true", "false") & ~F.substring(own, 1, 1).isin("[", "\\", "]", "^", "_", "`")) | (values.tag(x[n]) == "ST")
+
+        stamp = times.rfc3339(x["t_text"])  # no number looks like one
+        time = bound(stamp, lambda t: F.coalesce(t, times.epoch(values.as_number(x["t"]), self.epoch_unit)))
+        level = F.when(is_string("l"), text.normalize_level(x["l_text"])).otherwise(text.numeric_level(values.as_number(x["l"])))
+        return F.struct(*(x[n].alias(n) for n in ("all", "rest", "plain")), time.alias("time"), level.alias("level"), F.when(is_string("m"), x["m_text"]).alias("msg"))
+
+    def put_together(self, line: Column, x: Column) -> Column:
+        return F.when(x["plain"], plain_record(x["time"], x["level"], x["msg"], x["rest"], line)).when(x["all"].isNotNull(), self.in_order(line, x["all"]))
+
+    def in_order(self, line: Column, members: Column) -> Column:
+        """The record of members with several aliases for a field, or with repeated keys."""
         # each entry once, with the field that its key stands for: t, l, m, or none
         field = F.create_map(*(F.lit(x) for keys, f in ((TIME_KEYS, "t"), (LEVEL_KEYS, "l"), (MESSAGE_KEYS, "m")) for k in keys for x in (k, f)))
-        entries = F.map_entries(F.when(F.substring(F.ltrim(line, F.lit(SPACE)), 1, 1) == "{", F.from_json(line, "map<string,variant>")))
-        placed = F.transform(entries, lambda e, i: F.struct(e["key"].alias("key"), e["value"].alias("value"), F.try_element_at(field, e["key"]).alias("f"), i.alias("i")))
+        placed = F.transform(F.map_entries(members), lambda e, i: F.struct(e["key"].alias("key"), e["value"].alias("value"), F.try_element_at(field, e["key"]).alias("f"), i.alias("i")))
 
         def pick(core: Column, name: str, value):
             """The first entry that fills a field: its place and its value."""
@@ -63,7 +98,7 @@ class JsonFormat:
                 core = F.when(e["f"] == "t", c["t"]["i"]).when(e["f"] == "l", c["l"]["i"]).otherwise(c["m"]["i"])
                 return e["f"].isNull() | F.coalesce(e["i"] > core, F.lit(False))
 
-            kept = F.transform(F.filter(c["e"], stays), lambda e: F.struct(e["key"].alias("key"), values.doubled(e["value"]).alias("value")))
+            kept = F.transform(F.filter(c["e"], stays), lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value")))
             return record(c["t"]["v"], c["l"]["v"], c["m"]["v"], attrs.folded(kept), line)
 
-        return bound(placed, lambda e: F.when(e.isNotNull(), use(e)))
+        return bound(placed, use)

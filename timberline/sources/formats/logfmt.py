@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ...functions import attrs, text, times, values
-from .base import bound, record
+from .base import bound, plain_record, staged
 
 PAIR = r'(?s)([^= ]*)=("(?:[^"\\]|\\.|\\$)*"?|[^ ]*)'
 TIME_KEYS = ("time", "ts", "timestamp")
@@ -34,13 +34,20 @@ class LogfmtFormat:
     is_document = False
 
     def parse(self, line: Column) -> Column:
-        def last(found: Column, keys: tuple[str, ...]) -> Column:
-            return F.try_element_at(F.filter(found, lambda p: p["key"].isin(*keys)), F.lit(-1))["value"]
-
-        def use(found: Column) -> Column:
-            time = F.try_element_at(F.filter(F.transform(F.filter(found, lambda p: p["key"].isin(*TIME_KEYS)), lambda p: times.rfc3339(p["value"])), lambda t: t.isNotNull()), F.lit(-1))
-            rest = F.filter(found, lambda p: ~p["key"].isin(*TIME_KEYS, *LEVEL_KEYS, *MESSAGE_KEYS))
-            whole = record(time, text.normalize_level(last(found, LEVEL_KEYS)), last(found, MESSAGE_KEYS), attrs.folded(typed(rest)), line)
-            return F.when(F.size(found) > 0, whole)
-
-        return bound(pairs(line), use)
+        return staged(pairs(line), self.told_apart, self.worked_out, lambda x: F.when(x["any"], plain_record(x["time"], x["level"], x["msg"], attrs.folded(typed(x["rest"])), line)))
+
+    @staticmethod
+    def told_apart(found: Column) -> Column:
+        """The pairs of the fields, and all others."""
+        core = F.filter(found, lambda p: p["key"].isin(*TIME_KEYS, *LEVEL_KEYS, *MESSAGE_KEYS))
+        rest = F.filter(found, lambda p: ~p["key"].isin(*TIME_KEYS, *LEVEL_KEYS, *MESSAGE_KEYS))
+        return F.struct(core.alias("core"), rest.alias("rest"), (F.size(found) > 0).alias("any"))
+
+    @staticmethod
+    def worked_out(x: Column) -> Column:
+        def last(keys: tuple[str, ...]) -> Column:
+            return F.try_element_at(F.filter(x["core"], lambda p: p["key"].isin(*keys)), F.lit(-1))["value"]
+
+        read = F.transform(F.filter(x["core"], lambda p: p["key"].isin(*TIME_KEYS)), lambda p: times.rfc3339(p["value"]))
+        time = F.try_element_at(F.filter(read, lambda t: t.isNotNull()), F.lit(-1))
+        return F.struct(time.alias("time"), bound(last(LEVEL_KEYS), text.normalize_level).alias("level"), last(MESSAGE_KEYS).alias("msg"), x["rest"].alias("rest"), x["any"].alias("any"))
