@@ -154,7 +154,8 @@ def train(documents: DataFrame, labels: DataFrame, condition, label: str = "toxi
     sample, stands = labelled_sample(labels, label, condition, most)
     # one of each group of copies, exact or close: they would pass for evidence that a word is toxic
     own = documents.join(F.broadcast(sample), "doc_id").select("text", "label")
-    rows = checkpointed(with_shape(own).dropDuplicates(["shape", "label"]).select("text", "label"))
+    # the least text stays, so that a model does not hang on how the rows are dealt
+    rows = checkpointed(with_shape(own).groupBy("shape", "label").agg(F.min("text").alias("text")).select("text", "label"))
     counts = class_counts(rows)
     n0, n1 = counts.agg(F.coalesce(F.sum("c0"), F.lit(0)), F.coalesce(F.sum("c1"), F.lit(0))).head()
     positive, negative = (stands[c] * sample.where(F.col("label") == c).count() for c in (1, 0))
@@ -188,7 +189,8 @@ def train(documents: DataFrame, labels: DataFrame, condition, label: str = "toxi
 
             return work
 
-        return arrow_map(rows.select("text", "label"), make, "label int, x array<double>").collect()  # at most 2 * most rows
+        found = arrow_map(rows.select("text", "label"), make, "label int, x array<double>").collect()  # two numbers for each labelled text
+        return sorted(found, key=lambda r: (r.label, r.x))  # sums come out alike
 
     top = measured(lambda m, n, found: [m.rate * max(s for *_, s in found) - math.log(n)] if found else [])
     chance = [r.x[0] for r in top if r.label == 0 and r.x]
