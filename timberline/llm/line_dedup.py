@@ -28,6 +28,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import fresh
+
 _SPACE = r"[\\x20\\x09-\\x0D]"
 
 _TRIMMED = "btrim(x, concat(' ', char(9), char(10), char(11), char(12), char(13)))"
@@ -99,9 +101,10 @@ def _columns(documents: DataFrame, changed: dict) -> list:
 
 
 def deduplicated(documents: DataFrame, min_words: int = 50, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents with later repeated runs removed from ``text``, and __n_lines and __n_removed."""
+    """The documents with later repeated runs removed from ``text``, and two more columns: __n_lines and __n_removed, with as many ``_`` behind them as it takes to be new names."""
     out = _without_runs(documents, min_words, doc, text)
-    return out.select(*_columns(documents, {text: F.col("left")}), F.col("n_lines").alias("__n_lines"), F.col("n_removed").alias("__n_removed"))
+    figures = (F.col(c).alias(fresh(documents, f"__{c}")) for c in ("n_lines", "n_removed"))
+    return out.select(*_columns(documents, {text: F.col("left")}), *figures)
 
 
 def cleaned(documents: DataFrame, min_words: int = 50, doc: str = "doc_id", text: str = "text", length: str | None = "n_chars") -> DataFrame:
