@@ -211,8 +211,8 @@ def train(documents: DataFrame, labels: DataFrame, condition, label: str = "qual
     sample, stands = labelled_sample(labels, label, condition, most)
     marked = documents.join(F.broadcast(sample), "doc_id", "left")
     every = checkpointed(features(marked))
-    # a document id may be repeated; its first rows are enough to learn from
-    known = every.where("label IS NOT NULL").limit(4 * most).toArrow()
+    # a document id may be repeated; its first rows by a hash are enough to learn from
+    known = every.where("label IS NOT NULL").orderBy(F.xxhash64("doc_id", "x", "z"), "doc_id").limit(4 * most).toArrow()
     y = known["label"].to_numpy().astype(float)
     if len(set(y.tolist())) < 2:
         return Model(share=float(y.mean()) if len(y) else 1.0), every
