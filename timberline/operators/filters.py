@@ -9,6 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions import times, values
+from ..functions.text import folded
 
 CLOCK = "HH:mm:ss.SSS"
 COLUMNS = ("time", "level", "msg", "attrs")
@@ -34,10 +35,10 @@ def shown(column: str) -> Column:
 def quick(words: str) -> Column:
     """Every word occurs, in any case, in the time, level, message, or an attribute's key or value."""
 
-    own = F.transform("attrs", lambda a: F.lower(a["key"])), F.transform("attrs", lambda a: F.lower(values.display_text(a["value"])))
+    own = F.transform("attrs", lambda a: folded(a["key"])), F.transform("attrs", lambda a: values.bound(values.display_text(a["value"]), folded))
     # every text once, for all words
-    every = F.concat(F.array(F.lower("msg"), F.lower("level"), F.lower(time_text())), *own)
-    wanted = F.array(*(F.lower(F.lit(w)) for w in words.split())).cast("array<string>")
+    every = F.concat(F.array(folded(F.col("msg")), folded(F.col("level")), time_text()), *own)
+    wanted = F.array(*(folded(F.lit(w)) for w in words.split())).cast("array<string>")
     return values.bound(every, lambda texts: F.forall(wanted, lambda w: F.exists(texts, lambda t: F.contains(t, w))))
 
 
@@ -58,7 +59,7 @@ def text_filter(column: str, test: str, value: str = "") -> Column:
     """A test of a column's text, in any case."""
     if test not in TEXT_TESTS:
         raise ValueError(f"no text test {test!r}; there are {', '.join(TEXT_TESTS)}")
-    own, other = F.lower(shown(column)), F.lower(F.lit(value))
+    own, other = folded(shown(column)), folded(F.lit(value))
     if test.startswith("not") and test != "notblank":
         return ~(F.contains(own, other) if test == "notcontains" else own == other)
     if test.endswith("blank"):

@@ -224,6 +224,19 @@ def quick_filter(spark, sf_dir):
     return json_records(spark, sf_dir).where(filters.quick("VieW 7")).select("event_id", "level")
 
 
+#: Texts, by event, with letters that have several forms.
+_LETTERS = ("οδος", "ΟΔΟΣ", "5 µs", "5 μS", "ſo", "So", "STRASSE", "Straße", "ǅ ǆ", "\u212a", "k")
+
+
+@query("""SELECT event_id, i IN (0, 1) AS sigma, i IN (2, 3) AS mu, i IN (2, 3) AS mu_sign, i = 5 AS short_s, i = 4 AS long_s, i = 6 AS double_s, i = 7 AS sharp_s, i = 8 AS digraph, i = 10 AS k, i = 9 AS kelvin, i IN (0, 1) AS whole
+  FROM (SELECT event_id, event_id % 11 AS i FROM events)""")
+def fold_search(spark, sf_dir):
+    words = {"sigma": "δοσ", "mu": "\u03bcs", "mu_sign": "\u00b5S", "short_s": "sO", "long_s": "ſO", "double_s": "straSSE", "sharp_s": "STRAßE", "digraph": "Ǆ", "k": "K", "kelvin": "\u212a"}
+    rows = events(spark, sf_dir).withColumn("msg", F.get(F.array(*map(F.lit, _LETTERS)), (F.col("event_id") % 11).cast("int")))
+    found = [text.contains_fold(F.col("msg"), F.lit(w)).alias(name) for name, w in words.items()]
+    return rows.select("event_id", *found, filters.text_filter("msg", "equals", "οδοΣ").alias("whole"))
+
+
 @query("SELECT event_id, {LEVEL} AS level FROM events WHERE {LEVEL} IN ('ERROR', 'DEBUG')")
 def set_filter(spark, sf_dir):
     return json_records(spark, sf_dir).where(filters.set_filter("level", ["ERROR", "DEBUG"])).select("event_id", "level")
