@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from . import session
 from .functions import attrs, text, times, values
 from .operators import detail, filters, shape
-from .plans import jq
+from .plans import jq, store
 from .plans.query import LogQuery
 from .sources import reader, render
 from .sources.formats import ClfFormat, CloudWatchFormat, GlogFormat, JsonFormat, LogfmtFormat, PluginFormat, RegexFormat, Registry
@@ -289,6 +289,32 @@ def page_window(spark, sf_dir):
     return LogQuery(place=("event_id",)).page(3, 50).run(json_records(spark, sf_dir)).select("event_id")
 
 
+def by_time(spark: SparkSession, sf_dir: str, **more) -> store.Result:
+    return store.open_result(json_records(spark, sf_dir), LogQuery(sort=(("time", True),), place=("event_id",)), session.new_folder(spark), 500, **more)
+
+
+@query("SELECT event_id, ts AS time, CAST(row_number() OVER (ORDER BY ts DESC, event_id) AS BIGINT) AS rank FROM events QUALIFY rank > 7000 AND rank <= 7100 OR rank > 40 AND rank <= 50")
+def page_deep(spark, sf_dir):
+    """Two pages of a written result."""
+    result = by_time(spark, sf_dir)
+    return result.page(70).unionByName(result.page(4, 10)).select("event_id", "time", "rank")
+
+
+@query("SELECT event_id, CAST(row_number() OVER (ORDER BY ts DESC, event_id) AS BIGINT) AS rank FROM events QUALIFY ts >= (SELECT min(ts) + INTERVAL 1 DAY FROM events) AND ts <= (SELECT min(ts) + INTERVAL 3 DAY FROM events)")
+def result_by_time(spark, sf_dir):
+    """Rows of two days from the parts that hold such rows."""
+    import datetime as dt
+
+    first = events(spark, sf_dir).agg(F.min("ts").alias("t")).head().t
+    return by_time(spark, sf_dir).search(after=first + dt.timedelta(days=1), before=first + dt.timedelta(days=3)).select("event_id", "rank")
+
+
+@query("SELECT event_id, CAST(row_number() OVER (ORDER BY ts DESC, event_id) AS BIGINT) AS rank FROM events QUALIFY event_type ILIKE '%view%' AND CAST(event_id AS VARCHAR) LIKE '%123%' OR event_type ILIKE '%view%' AND (CAST(user_id AS VARCHAR) LIKE '%123%' OR CAST(value AS VARCHAR) LIKE '%123%' OR props LIKE '%123%' OR strftime(ts, '%H:%M:%S.%g') LIKE '%123%')")
+def result_by_words(spark, sf_dir):
+    """Rows with two words from the parts whose filters may hold these."""
+    return by_time(spark, sf_dir, words=True).search("VIEW 123").select("event_id", "rank")
+
+
 @query("SELECT count(*) AS total FROM events WHERE {LEVEL} = 'ERROR'")
 def total_rows(spark, sf_dir):
     return LogQuery(jq='.level == "ERROR"').total(json_records(spark, sf_dir))
