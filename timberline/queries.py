@@ -375,6 +375,11 @@ def shape_fields(spark, sf_dir):
     return shape.by_field(json_records(spark, sf_dir)).withColumn("kinds", F.array_join("kinds", ","))
 
 
+@query("SELECT unnest(['.time', '.level', '.msg', '.event_id', '.user', '.value', '.kind', '.props', '.props.k']) AS path, unnest(['string', 'string', 'string', 'number', 'number', 'number', 'string', 'object', 'number']) AS kind, (SELECT count(*) FROM events) AS records")
+def shape_paths(spark, sf_dir):
+    return shape.by_path(json_records(spark, sf_dir))
+
+
 @query("SELECT 'json' AS format, count(*) AS records, CAST(0 AS BIGINT) AS skipped FROM events")
 def summary(spark, sf_dir):
     rows = events(spark, sf_dir).select(F.lit("").alias("file"), F.col("event_id").alias("line_no"), F.to_json(F.struct("event_id")).alias("value"))
@@ -390,6 +395,24 @@ def levels_by_hour(spark, sf_dir):
     return found.select(F.col("window.start").alias("hour"), "level", "records")
 
 
+_STEPS = "SELECT *, event_id < (SELECT count(*) // 2 FROM events) AND event_id % 50 <> 7 AS early, time_bucket(INTERVAL '1 hour', ts) AS hour FROM events"
+
+
+@query(f"""WITH r AS ({_STEPS}), marks AS (SELECT max(ts) FILTER (early) - INTERVAL 10 MINUTE AS one, max(ts) - INTERVAL 10 MINUTE AS two FROM r)
+  SELECT hour, {{LEVEL}} AS level, count(*) AS records FROM r, marks WHERE (early OR hour + INTERVAL 1 HOUR > one) AND hour + INTERVAL 1 HOUR <= two GROUP BY hour, level""")
+def stream_restart(spark, sf_dir):
+    """A folder that is followed, ended, and followed on from its checkpoint: final hours; lines that come too late are dropped."""
+    from . import streaming
+
+    rows = events(spark, sf_dir)
+    early = (F.col("event_id") < rows.count() // 2) & (F.col("event_id") % 50 != 7)
+    folder, out, checkpoint = (session.new_folder(spark) for _ in range(3))
+    for step in (early, ~early):
+        rows.where(step).select(short_json(rows).alias("value")).write.mode("append").text(folder)
+        streaming.follow(streaming.level_counts(streaming.read_stream(spark, folder, "json"), "1 hour"), out, checkpoint)
+    return spark.read.parquet(out).select(F.col("window.start").alias("hour"), "level", "records")
+
+
 @query("SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') || '+02:00' AS written, date_trunc('second', ts) AS time_text_source FROM events")
 def time_offsets(spark, sf_dir):
     rows = events(spark, sf_dir).withColumn("written", F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+02:00")))
@@ -435,6 +458,19 @@ def read_files_order(spark, sf_dir):
     return found.withColumn("before", before).agg(F.count("*").alias("lines"), F.count_if(F.col("before") >= F.col("event_id")).alias("out_of_order"))
 
 
+@query("SELECT event_id, event_id // 1000 AS part, event_id % 1000 + 1 AS number FROM events")
+def line_numbers(spark, sf_dir):
+    """Numbers without gaps in files of a thousand lines each."""
+    rows = events(spark, sf_dir)
+    path = session.new_folder(spark)
+    # every second line ends with a carriage return, and behind every fifth stands an empty one
+    ended = F.concat(F.to_json(F.struct("event_id")), F.when(F.col("event_id") % 2 == 0, "\r").otherwise(""), F.when(F.col("event_id") % 5 == 0, "\n").otherwise(""))
+    parts = rows.select(ended.alias("value"), "event_id", F.floor(F.col("event_id") / 1000).alias("part"))
+    parts.repartition("part").sortWithinPartitions("part", "event_id").select("value", "part").write.partitionBy("part").text(path)
+    found = reader.numbered(reader.read_lines(spark, path))
+    return found.select(F.get_json_object("value", "$.event_id").cast("bigint").alias("event_id"), F.regexp_extract("file", "part=([0-9]+)", 1).cast("bigint").alias("part"), "number")
+
+
 @query("SELECT format, count(*) AS records FROM events, (SELECT unnest(['clf', 'glog', 'json', 'logfmt']) AS format) GROUP BY format")
 def detect_files(spark, sf_dir):
     """A folder of each format; each is detected for itself."""

@@ -5,9 +5,10 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import written
 from .formats import RECORD, CloudWatchFormat, Format, Registry
 
 SAMPLE = 10
@@ -38,6 +39,22 @@ def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return split_lines(raw.withColumn("line_no", F.col("start") + in_split)).select("file", "line_no", "value")
 
 
+def numbered(lines: DataFrame) -> DataFrame:
+    """Lines of ``read_lines`` with ``number``: 1, 2, 3, ... in each file, without gaps; for these the lines are read twice.
+
+    Lines are counted by stretch (the lines of a file that one task reads in a
+    row), and each stretch is given the number of lines before it; no line is
+    shuffled, and a task or the driver holds a row a stretch at most.
+    """
+    at = F.monotonically_increasing_id()
+    placed = lines.withColumns({"_task": F.shiftrightunsigned(at, 33), "_at": at})
+    stretches = written(placed.groupBy("file", "_task").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"), F.min("line_no").alias("_least")))
+    before = F.sum("_n").over(Window.partitionBy("file").orderBy("_least").rowsBetween(Window.unboundedPreceding, -1))
+    starts = stretches.select(F.col("file").alias("_file"), F.col("_task").alias("_of"), "_first", F.coalesce(before, F.lit(0)).alias("_before"))
+    found = placed.join(starts, (F.col("file") == F.col("_file")) & (F.col("_task") == F.col("_of")))
+    return found.select(*lines.columns, (F.col("_before") + F.col("_at") - F.col("_first") + 1).alias("number"))
+
+
 def lines_of(spark: SparkSession, lines: list[str]) -> DataFrame:
     """Lines that are in memory, such as standard input read to its end."""
     rows = [("", i, x) for i, x in enumerate(lines)]

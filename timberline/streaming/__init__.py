@@ -1,5 +1,5 @@
 """Parsing as a stream (an extension): the same formats over files as they arrive."""
 
-from .logs import level_counts, read_stream
+from .logs import follow, level_counts, read_stream
 
-__all__ = ["level_counts", "read_stream"]
+__all__ = ["follow", "level_counts", "read_stream"]

@@ -20,3 +20,13 @@ def read_stream(spark: SparkSession, path: str, format: str | Format, registry:
 def level_counts(records: DataFrame, window: str = "1 minute", late: str = "10 minutes") -> DataFrame:
     """Records by window of time and level; later ones than ``late`` are dropped, so state stays bounded."""
     return records.withWatermark("time", late).groupBy(F.window("time", window), "level").agg(F.count("*").alias("records"))
+
+
+def follow(counts: DataFrame, out: str, checkpoint: str) -> None:
+    """Take in what has arrived since the last call, from ``checkpoint``, and append to ``out`` what is final.
+
+    ``counts``: a stream of windows with a watermark.  A window is appended once,
+    when the watermark has passed its end; rows of such a window that come later
+    are dropped.  Called again, after an end or a failure, it goes on where it was.
+    """
+    counts.writeStream.outputMode("append").format("parquet").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(out).awaitTermination()
