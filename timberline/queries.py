@@ -485,6 +485,20 @@ def detect_files(spark, sf_dir):
     return reduce(DataFrame.unionByName, (x.records.select("format") for x in logs)).groupBy("format").agg(F.count("*").alias("records"))
 
 
+@query("SELECT format, count(*) AS records FROM events, (SELECT unnest(['clf', 'glog', 'json', 'logfmt']) AS format) GROUP BY format")
+def detect_many_files(spark, sf_dir):
+    """All files of four formats as one list; every file is judged by its own first lines."""
+    rows = events(spark, sf_dir).repartition(8, "event_id")
+    lines = [
+        short_json(rows),
+        render.logfmt_line(F.col("ts"), F.col("level_"), F.col("event_type"), user=F.col("user_id")),
+        render.glog_line(F.col("ts"), F.lit("INFO"), F.col("event_type"), F.col("event_id"), user=F.col("user_id")),
+        render.clf_line(F.col("ts"), F.lit("bob"), F.lit("GET"), F.lit("/"), F.col("status"), F.col("event_id")),
+    ]
+    paths = [p for line in lines for p in sorted(spark.read.text(written_lines(rows, line)).inputFiles())]
+    return reader.read_logs(spark, paths).records.groupBy("format").agg(F.count("*").alias("records"))
+
+
 _TARGETS = ("/a#b?x=1", "foo?x=1", "host:443", "10.0.0.1:443", "/p%zz?x=1", "http://h:80/p?x=1", "http://h:no/p?x=1", "//h/p?x=1", "/a+b%20c?x=a+b", "mailto:me?x=1")
 _PATHS = ("/a#b", "foo?x=1", "", "10.0.0.1:443", "/p%zz?x=1", "/p", "http://h:no/p?x=1", "//h/p", "/a+b c", "")
 _XS = ("1", None, None, None, None, "1", None, "1", "a b", "1")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..session import written
 from .formats import RECORD, CloudWatchFormat, Format, Registry
+from .heads import detected
 
 SAMPLE = 10
 COLUMNS = ("file", "line_no", "time", "time_nanos", "time_offset_s", "level", "msg", "attrs", "raw", "format")
@@ -145,10 +146,17 @@ def read_logs(spark: SparkSession, path: str | list[str], format: str | Format =
 
 
 def read_each(spark: SparkSession, paths: list[str], registry: Registry) -> Logs:
-    """Each file in the format that its own first lines show; one scan for all files of a format."""
+    """Each file in the format that its own first lines show, all judged in one job; one scan for all files of a format."""
     by: dict[str, list[str]] = {}
+    found = detected(spark, paths, [f for f in registry.formats if not f.is_document], SAMPLE)
     for path in paths:
-        by.setdefault(detect(read_lines(spark, path), registry).name, []).append(path)
+        if path not in found:  # a folder or a pattern
+            name = detect(read_lines(spark, path), registry).name
+        else:
+            name = registry.need("json").name if found[path] == "" else found[path]
+        if name is None:
+            raise ValueError(f"no format takes most of the first lines of {path}; there are {', '.join(registry.names())}")
+        by.setdefault(name, []).append(path)
     return union([parse(read_lines(spark, own), registry.need(name)) for name, own in by.items()])
 
 
