@@ -107,6 +107,18 @@ def scan_cloudwatch_doc(spark, sf_dir):
     return found.select(string("event_id").alias("event_key"), F.unix_millis("time").alias("ms"), "level", "msg", string("log_stream").alias("log_stream"))
 
 
+@query("SELECT 'e' || event_id AS event_key, epoch_us(ts) // 1000 AS ms, {LEVEL} AS level, '{' || event_type || '}' AS msg, 'app' AS log_stream FROM events")
+def read_cloudwatch_files(spark, sf_dir):
+    """Files of a document of 2,000 events each, cut at their events; messages are JSON that holds braces."""
+    message = F.to_json(F.struct(F.col("level_").alias("level"), F.concat(F.lit("{"), F.col("event_type"), F.lit("}")).alias("msg")))
+    event = F.struct(F.lit("app").alias("logStreamName"), F.floor(F.unix_micros("ts") / 1000).alias("timestamp"), message.alias("message"), F.concat(F.lit("e"), F.col("event_id")).alias("eventId"))
+    texts = events(spark, sf_dir).groupBy(F.expr("event_id div 2000").alias("part")).agg(F.to_json(F.struct(F.collect_list(event).alias("events"), F.lit("{").alias("nextToken"))).alias("value"))
+    path = session.new_folder(spark)
+    texts.select("value", "part").write.partitionBy("part").text(path)
+    found = reader.read_cloudwatch(spark, path, CloudWatchFormat(2024), 4096).records
+    return found.select(string("event_id").alias("event_key"), F.unix_millis("time").alias("ms"), "level", "msg", string("log_stream").alias("log_stream"))
+
+
 @query("SELECT event_id, ts AS time, {LEVEL} AS level, event_type AS msg, user_id FROM events")
 def scan_regex_plugin(spark, sf_dir):
     line = F.concat(render.stamp(F.col("ts")), F.lit(" ["), F.lower("level_"), F.lit("] <"), F.col("user_id"), F.lit("> "), F.col("event_type"))

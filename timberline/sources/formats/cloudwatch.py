@@ -12,7 +12,8 @@ from .glog import GlogFormat
 from .json import JsonFormat
 from .logfmt import LogfmtFormat
 
-DOCUMENT = "struct<events:array<struct<logStreamName:string,timestamp:bigint,message:string,ingestionTime:bigint,eventId:string>>>"
+EVENT = "struct<logStreamName:string,timestamp:bigint,message:string,ingestionTime:bigint,eventId:string>"
+DOCUMENT = f"struct<events:array<{EVENT}>>"
 
 
 def inner(message: Column, formats) -> Column:

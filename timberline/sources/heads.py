@@ -13,16 +13,35 @@ from .formats import Format
 STEP, MOST, FILES = 1 << 16, 1 << 24, 2_000
 
 
-def first_lines(spark: SparkSession, path: str, n: int) -> list[str] | None:
-    """The first ``n`` lines that are not empty, by the file system's own client; None for what is no single file."""
+def opened(spark: SparkSession, place):
+    """A stream of a file's bytes, by the file system's own client; None for what is no single file."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    place = jvm.org.apache.hadoop.fs.Path(path)
     system = place.getFileSystem(conf)
     if not (system.exists(place) and system.getFileStatus(place).isFile()):
         return None
     codec = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf).getCodec(place)
     stream = system.open(place)
-    stream = codec.createInputStream(stream) if codec is not None else stream
+    return codec.createInputStream(stream) if codec is not None else stream
+
+
+def first_sign(spark: SparkSession, uri: str) -> str:
+    """The first character of a file that is not white space; none if there is none in its first ``MOST`` bytes."""
+    stream = opened(spark, spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(uri)))
+    try:
+        for _ in range(MOST // STEP):
+            data = bytes(stream.readNBytes(STEP))
+            if not data or data.strip():
+                return data.strip()[:1].decode("latin-1")
+        return ""
+    finally:
+        stream.close()
+
+
+def first_lines(spark: SparkSession, path: str, n: int) -> list[str] | None:
+    """The first ``n`` lines that are not empty; None for what is no single file."""
+    stream = opened(spark, spark._jvm.org.apache.hadoop.fs.Path(path))
+    if stream is None:
+        return None
     try:
         data, lines = b"", []
         while len(data) < MOST:

@@ -9,10 +9,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import written
+from . import documents
 from .formats import RECORD, CloudWatchFormat, Format, Registry
-from .heads import detected
+from .formats.cloudwatch import DOCUMENT, EVENT
+from .heads import detected, first_sign
 
 SAMPLE = 10
+MALFORMED = "malformed CloudWatch document"
 COLUMNS = ("file", "line_no", "time", "time_nanos", "time_offset_s", "level", "msg", "attrs", "raw", "format")
 
 
@@ -111,25 +114,37 @@ def detect(lines: DataFrame, registry: Registry, column: str = "value") -> Forma
     raise ValueError(f"no format takes most of the first lines; there are {', '.join(registry.names())}")
 
 
-def read_cloudwatch(spark: SparkSession, path: str | list[str], format: CloudWatchFormat) -> Logs:
-    """The events of JSON documents, one document a file; a malformed one is an error."""
-    return cloudwatch_events(spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value"), format)
+def read_cloudwatch(spark: SparkSession, path: str | list[str], format: CloudWatchFormat, most: int = documents.WHOLE) -> Logs:
+    """The events of JSON documents, one document a file; a malformed one is an error.
 
+    Documents of up to ``most`` bytes are a row each; larger ones are cut at their events.
+    """
+    large = documents.large_events(spark, path, most)
+    small = spark.read.text(path, wholetext=True).where(~documents.is_large(most)).select(F.col("_metadata.file_path").alias("file"), "value")
+    logs = cloudwatch_events(small, format)
+    if large is None:
+        return logs
+    parsed = F.from_json("value", EVENT)
+    whole = F.col("value").startswith("{") & F.try_parse_json("value").isNotNull()
+    events = large.select("file", "line_no", F.when(whole, parsed).otherwise(F.raise_error(F.lit(MALFORMED))).alias("e"))
+    return Logs(logs.every.unionByName(event_rows(events, format)), format.name)
+
+
+def cloudwatch_events(texts: DataFrame, format: CloudWatchFormat) -> Logs:
+    """``texts``: file, value, a document a row."""
+    parsed = F.from_json("value", DOCUMENT)
+    checked = F.when(parsed.isNull() | ~F.col("value").rlike(r"^\s*\{") | F.try_parse_json("value").isNull(), F.raise_error(F.lit(MALFORMED))).otherwise(parsed)
+    return Logs(event_rows(texts.select("file", F.posexplode(checked["events"]).alias("line_no", "e")), format), format.name)
 
-def cloudwatch_events(documents: DataFrame, format: CloudWatchFormat) -> Logs:
-    """``documents``: file, value."""
-    from .formats.cloudwatch import DOCUMENT
 
-    parsed = F.from_json("value", DOCUMENT)
-    checked = F.when(parsed.isNull() | ~F.col("value").rlike(r"^\s*\{") | F.try_parse_json("value").isNull(), F.raise_error(F.lit("malformed CloudWatch document"))).otherwise(parsed)
-    events = documents.select("file", F.posexplode(checked["events"]).alias("line_no", "e"))
-    return Logs(events.select("file", F.col("line_no").cast("long").alias("line_no"), F.col("e.message").alias("value"), once(format.event(F.col("e")).cast(RECORD)).alias("r")), format.name)
+def event_rows(events: DataFrame, format: CloudWatchFormat) -> DataFrame:
+    return events.select("file", F.col("line_no").cast("long").alias("line_no"), F.col("e.message").alias("value"), once(format.event(F.col("e")).cast(RECORD)).alias("r"))
 
 
 def is_document(spark: SparkSession, path: str | list[str]) -> bool:
-    """Whether CloudWatch output is a document of events, and not lines of ``tail``."""
-    first = spark.read.text(path).where(F.trim("value") != "").limit(1).collect()
-    return bool(first) and first[0][0].lstrip().startswith("{")
+    """Whether CloudWatch output is a document of events, and not lines of ``tail``: by the first sign that is not white space."""
+    signs = (first_sign(spark, file) for file in spark.read.text(path).inputFiles())
+    return next(filter(None, signs), "") == "{"
 
 
 def read_logs(spark: SparkSession, path: str | list[str], format: str | Format = "auto", registry: Registry | None = None) -> Logs:
