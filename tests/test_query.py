@@ -3,6 +3,7 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
 
 from timberline.operators import detail, filters, shape
 from timberline.plans.query import LogQuery, display
@@ -63,6 +64,14 @@ def test_display_and_detail(records):
     assert detail.raw_text("plain") == "plain"
 
 
+def test_raw_view(spark):
+    lines = ['{"b":1,"a":{"y":[],"x":{}}}', '{"b":[1.50,{"c":"\\"},{"}],"a":true}', " {} ", "[1]", "null", "plain", '{"a":1', "", '{"k":"a<b & c","é":"\\n"}']
+    got = [r.t for r in spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "i int, x string").orderBy("i").select(detail.raw_view(F.col("x")).alias("t")).collect()]
+    want = [detail.raw_text(x).replace("<", "\\u003c").replace("&", "\\u0026") for x in lines]
+    want[2] = "{}"
+    assert got == want
+
+
 def test_shape(records):
     found = shape.fields(shape.infer(records).head().shape)
     assert set(found) == {"time", "level", "msg", "host", "n", "h"} and set(found["h"]) == {"k"}

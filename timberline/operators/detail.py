@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import attrs, times, values
+from ..functions import attrs, nested, times, values
 
 STAMP = "yyyy-MM-dd HH:mm:ss.SSS"
 
@@ -35,3 +35,25 @@ def raw_text(line: str) -> str:
     except ValueError:
         return line
     return json.dumps(parsed, indent=2, sort_keys=True, ensure_ascii=False) if isinstance(parsed, dict) else line
+
+
+def raw_view(line: Column) -> Column:
+    """``raw_text`` as a Column, for all records: numbers as 64-bit floats, and ``<``, ``>`` and ``&`` in texts by their codes."""
+    tokens = F.lit(r'"[^"\\]*+(?:\\.[^"\\]*+)*+"|\[\]|\{\}|[\[{\]},:]|[^\[{\]},:"]+')
+
+    def step(at: Column, token: Column) -> Column:
+        opens, closes = token.isin("{", "["), token.isin("}", "]")
+        depth = at["depth"] + F.when(opens, 1).when(closes, -1).otherwise(0)
+        fresh = F.concat(F.lit("\n"), F.repeat(F.lit("  "), depth))
+        piece = F.when(opens | (token == ","), F.concat(token, fresh)).when(closes, F.concat(fresh, token)).when(token == ":", ": ").otherwise(token)
+        return F.struct(F.concat(at["text"], piece).alias("text"), depth.alias("depth"))
+
+    def pretty(text: Column) -> Column:
+        for sign, code in (("&", "0026"), ("<", "003c"), (">", "003e")):
+            text = F.replace(text, F.lit(sign), F.lit("\\u" + code))
+        start = F.struct(F.lit("").alias("text"), F.lit(0).alias("depth"))
+        return F.aggregate(F.regexp_extract_all(text, tokens, F.lit(0)), start, step, lambda at: at["text"])
+
+    value = F.try_parse_json(line)
+    is_object = line.rlike(r"^\s*\{") & value.isNotNull()
+    return F.when(is_object, values.bound(nested.json_text(value), pretty)).otherwise(line)

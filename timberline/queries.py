@@ -14,7 +14,7 @@ from .operators import detail, filters, shape
 from .plans import jq, store
 from .plans.query import LogQuery
 from .sources import reader, render
-from .sources.formats import ClfFormat, CloudWatchFormat, GlogFormat, JsonFormat, LogfmtFormat, PluginFormat, RegexFormat, Registry
+from .sources.formats import EXAMPLES, ClfFormat, CloudWatchFormat, GlogFormat, JsonFormat, LogfmtFormat, PluginFormat, RegexFormat, Registry
 from .sources.formats.plugin import sample_parse
 
 LEVEL = "CASE event_type WHEN 'error' THEN 'ERROR' WHEN 'purchase' THEN 'WARN' WHEN 'signup' THEN 'DEBUG' ELSE 'INFO' END"
@@ -126,6 +126,19 @@ def scan_regex_plugin(spark, sf_dir):
     return parsed(events(spark, sf_dir), line, format).select("event_id", "time", "level", "msg", number("user_id").cast("bigint").alias("user_id"))
 
 
+@query("SELECT event_id, {LEVEL} AS level, event_type AS msg, CASE WHEN event_id % 2 = 0 THEN ts END AS time, CASE WHEN event_id % 2 = 0 THEN 'bracketed' ELSE 'bars' END AS format FROM events")
+def plugin_folder(spark, sf_dir):
+    """Formats of a plugin folder, detected among all others for the files that they fit."""
+    registry = Registry()
+    if registry.load_plugins(EXAMPLES):
+        raise ValueError("a plugin of the folder does not load")
+    rows = events(spark, sf_dir)
+    bracketed = F.concat(render.stamp(F.col("ts")), F.lit(" ["), F.substring("level_", 1, 1), F.lit("] <"), F.col("event_id"), F.lit("> "), F.col("event_type"))
+    bars = F.concat_ws("|", F.lower("level_"), F.col("event_id"), F.col("event_type"))
+    found = [reader.read_logs(spark, written_lines(rows.where(F.col("event_id") % 2 == i), line), registry=registry).records for i, line in enumerate((bracketed, bars))]
+    return found[0].unionByName(found[1]).select(number("number").cast("bigint").alias("event_id"), "level", "msg", "time", "format")
+
+
 @query("SELECT event_id, {LEVEL} AS level, 'saw ' || event_type AS msg, CAST(user_id AS VARCHAR) AS user_text FROM events WHERE {LEVEL} <> 'DEBUG' OR event_id % 2 = 0")
 def scan_py_plugin(spark, sf_dir):
     rows = events(spark, sf_dir).withColumn("shown", F.when((F.col("level_") != "DEBUG") | (F.col("event_id") % 2 == 0), F.col("level_")).otherwise("NOISE"))
@@ -377,6 +390,14 @@ def detail_all_fields(spark, sf_dir):
     return detail.fields(json_records(spark, sf_dir)).select(F.col("line_no").alias("event_id"), "key", "value")
 
 
+@query(r"""SELECT event_id, CASE event_id % 3 WHEN 0 THEN concat('{', chr(10), '  "a": [', chr(10), '    ', user_id, ',', chr(10), '    {},', chr(10), '    []', chr(10), '  ],', chr(10), '  "kind": "', event_type, ': \u003c{\"x\"}\u003e",', chr(10), '  "z": null', chr(10), '}') WHEN 1 THEN '["' || event_type || '"]' ELSE 'no JSON ' || user_id END AS shown FROM events""")
+def raw_views(spark, sf_dir):
+    """The raw line in the detail view: objects with sorted keys and indents, anything else as it is."""
+    object_ = F.concat(F.lit('{"z":null, "kind":"'), F.col("event_type"), F.lit(r': <{\"x\"}>","a":['), F.col("user_id"), F.lit(", {}, [ ]]}"))
+    line = F.when(F.col("event_id") % 3 == 0, object_).when(F.col("event_id") % 3 == 1, F.concat(F.lit('["'), F.col("event_type"), F.lit('"]'))).otherwise(F.concat(F.lit("no JSON "), F.col("user_id")))
+    return events(spark, sf_dir).select("event_id", detail.raw_view(line).alias("shown"))
+
+
 @query()
 def shape_infer(spark, sf_dir):
     return shape.infer(json_records(spark, sf_dir))

@@ -14,13 +14,17 @@ from .logfmt import LogfmtFormat
 from .plugin import PluginFormat
 from .regex import RegexFormat
 
-__all__ = ["RECORD", "ClfFormat", "CloudWatchFormat", "DocumentFormat", "Format", "GlogFormat", "JsonFormat", "LogfmtFormat", "PluginFormat", "RegexFormat", "Registry", "default_plugin_dir"]
+__all__ = ["EXAMPLES", "RECORD", "ClfFormat", "CloudWatchFormat", "DocumentFormat", "Format", "GlogFormat", "JsonFormat", "LogfmtFormat", "PluginFormat", "RegexFormat", "Registry", "default_plugin_dir"]
 
 
 def default_plugin_dir() -> Path:
     return Path(os.environ.get("XDG_CONFIG_HOME") or Path.home() / ".config") / "timberline" / "formats"
 
 
+#: A folder of plugins to start from, one of each kind.
+EXAMPLES = Path(__file__).parent.parent / "examples"
+
+
 class Registry:
     """An ordered list of formats; each engine has its own."""
 
