@@ -138,3 +138,41 @@ def test_rare_sequences_count_in_a_large_corpus(spark):
     after_qx = 3 / 11 + 8 / 11 * root(3)
     after_qy = 3 / 11 + 8 / 11 * root(1603)
     assert got[-1].score == pytest.approx(math.log10(root(3)) + math.log10(after_qx) + math.log10(after_qy), abs=1e-9)
+
+
+@pytest.mark.parametrize(("depth", "known", "bucket"), [(1, 4, 40), (2, 4, 16), (2, 100, 40), (3, 6, 16), (3, 0, 16)])
+def test_buckets_against_definition(spark, monkeypatch, depth, known, bucket):
+    """Words that not every task knows, hot words whose followers are spread, and several pieces of a partition."""
+    for name, value in (("WHOLE", 0), ("KNOWN", known), ("BUCKET", bucket), ("CACHED", 0.0), ("HELD_TOKENS", 120)):
+        monkeypatch.setattr(suffix_tree, name, value)
+    rows = rows_of()
+    df = spark.createDataFrame([(d, t, "x") for d, t in rows], "doc_id long, text string, word string").repartition(3)
+    got = suffix_tree.scored(df, F.crc32(F.col("doc_id").cast("string")) % 7 != 2, depth, 0.0, 0.5, 4.0).collect()
+    want, states = brute(rows, depth, 0.0, 0.5, 4.0)
+    assert states
+    key = lambda r: (str(r[0]), r[1:5])
+    for g, w in zip(sorted(map(tuple, got), key=key), sorted(want, key=key), strict=True):
+        assert g[:5] == w[:5]
+        assert g[5:] == pytest.approx(w[5:], abs=1e-9)
+
+
+def test_rows_are_packed_small():
+    """What is shuffled of a token: a few bytes, where a row of its sequences took tens of bytes."""
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    word = np.minimum(rng.zipf(1.3, 50_000), 40_000).astype(np.int64)
+    before = [np.roll(word, 1), np.roll(word, 2)]
+    order = suffix_tree.ordered([*before, word])
+    columns = [c[order] for c in (*before, word)]
+    assert np.array_equal(columns, [c[np.lexsort((word, before[1], before[0]))] for c in (*before, word)])
+    begin, count = suffix_tree.runs(columns)
+    doc = (np.arange(50_000) // 500)[order]
+    data = suffix_tree.packed(*(c[begin] for c in columns), count, doc)
+    assert len(data) < 8 * len(word)
+    back = suffix_tree.unpacked(data)
+    assert all(np.array_equal(x, y) for x, y in zip(back, [*(c[begin] for c in columns), count, doc], strict=True))
+    odd = [np.array([-5, 2**62, 0]), np.zeros(0, np.int64), np.array([255, 256])]
+    assert all(np.array_equal(x, y) for x, y in zip(suffix_tree.unpacked(suffix_tree.packed(*odd)), odd, strict=True))
+    x = np.array([-3.25, 0.0, 7.5])
+    assert np.array_equal(suffix_tree.unfixed(suffix_tree.fixed(x)) / 2.0**36, x)
