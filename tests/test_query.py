@@ -64,6 +64,24 @@ def test_display_and_detail(records):
     assert detail.raw_text("plain") == "plain"
 
 
+def large_ids(spark, folder):
+    """Events whose ids begin at 1,229,990."""
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet").withColumn("event_id", F.col("event_id") + 1_229_990)
+    events.write.parquet(f"{folder}/events.parquet")
+    return events.collect()
+
+
+def test_whole_numbers_in_full(spark, tmp_path):
+    import __spark_entry__
+
+    want = {(e.event_id, f"event_id={e.event_id}, user={e.user_id}") for e in large_ids(spark, tmp_path)}
+    got = __spark_entry__.queries()["display_columns"](spark, str(tmp_path)).select("event_id", "attrs_text").collect()
+    assert set(map(tuple, got)) == want
+    line = '{"a":9007199254740993,"b":-1000000,"c":2.50,"d":[1e6,{"e":1234567}],"f":1e25,"g":12e-6}'
+    row = display(reader.load_lines(spark, [line], "json").records, full=True).head()
+    assert row.attrs_text == 'a=9007199254740993, b=-1000000, c=2.5, d=[1000000 {"e":1234567}], f=1e+25, g=1.2e-05'
+
+
 def test_raw_view(spark):
     lines = ['{"b":1,"a":{"y":[],"x":{}}}', '{"b":[1.50,{"c":"\\"},{"}],"a":true}', " {} ", "[1]", "null", "plain", '{"a":1', "", '{"k":"a<b & c","é":"\\n"}']
     got = [r.t for r in spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "i int, x string").orderBy("i").select(detail.raw_view(F.col("x")).alias("t")).collect()]

@@ -95,12 +95,21 @@ def general_text(number: Column) -> Column:
     )
 
 
-def display_text(value: Column) -> Column:
-    """A value in a list of attributes: strings as they are, numbers in ``%g`` form, ``<nil>``, nested values as ``map[k:v]`` or ``[a b]`` one level deep and JSON below."""
+def whole_text(number: Column) -> Column:
+    """A double with all digits and no fraction if it is integral, else as ``general_text``."""
+    return F.when((number == F.floor(number)) & (F.abs(number) < 9.2e18), number.cast("bigint").cast("string")).otherwise(general_text(number))
+
+
+def display_text(value: Column, full: bool = False) -> Column:
+    """A value in a list of attributes: strings as they are, numbers in ``%g`` form, ``<nil>``, nested values as ``map[k:v]`` or ``[a b]`` one level deep and JSON below.
+
+    ``full``: whole numbers with all their digits, so that an id of a million is not 1e+06.
+    """
 
     def plain(x: Column) -> Column:
         text, number = F.try_variant_get(x["v"], "$", "string"), F.try_variant_get(x["v"], "$", "double")
-        return F.when(x["t"] == "ST", text).when(x["t"].isin("BI", "DO", "FL", "DE"), bound(number, general_text)).when(x["t"] == "BO", text).when(x["t"] == "VO", "<nil>").otherwise(F.to_json(x["v"]))
+        as_is = ("ST", "BI") if full else ("ST",)
+        return F.when(x["t"].isin(*as_is), text).when(x["t"].isin("BI", "DO", "FL", "DE"), bound(number, whole_text if full else general_text)).when(x["t"] == "BO", text).when(x["t"] == "VO", "<nil>").otherwise(F.to_json(x["v"]))
 
     def typed(v: Column) -> Column:
         return F.struct(v.alias("v"), tag(v).alias("t"))
@@ -117,13 +126,9 @@ def display_text(value: Column) -> Column:
 def detail_text(value: Column) -> Column:
     """A value in the detail view: integral numbers without a fraction, ``null``, nested values as JSON."""
 
-
-    def number_text(n: Column) -> Column:
-        return F.when((n == F.floor(n)) & (F.abs(n) < 9.2e18), n.cast("bigint").cast("string")).otherwise(general_text(n))
-
     def use(x: Column) -> Column:
         text = F.try_variant_get(x["v"], "$", "string")
         number = F.try_variant_get(x["v"], "$", "double")
-        return F.when(x["t"].isin("ST", "BO"), text).when(x["t"].isin("BI", "DO", "FL", "DE"), bound(number, number_text)).when(x["t"] == "VO", "null").otherwise(F.to_json(x["v"]))
+        return F.when(x["t"].isin("ST", "BO"), text).when(x["t"].isin("BI", "DO", "FL", "DE"), bound(number, whole_text)).when(x["t"] == "VO", "null").otherwise(F.to_json(x["v"]))
 
     return bound(F.struct(value.alias("v"), tag(value).alias("t")), use)

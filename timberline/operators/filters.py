@@ -20,9 +20,9 @@ def time_text() -> Column:
     return F.when(F.col("time").isNull(), "00:00:00.000").otherwise(times.shown(F.col("time"), F.col("time_offset_s"), CLOCK))
 
 
-def attrs_text() -> Column:
-    """``k=v, k=v`` in order."""
-    return F.array_join(F.transform("attrs", lambda a: F.concat(a["key"], F.lit("="), values.display_text(a["value"]))), ", ")
+def attrs_text(full: bool = False) -> Column:
+    """``k=v, k=v`` in order.  ``full``: whole numbers with all their digits."""
+    return F.array_join(F.transform("attrs", lambda a: F.concat(a["key"], F.lit("="), values.display_text(a["value"], full))), ", ")
 
 
 def shown(column: str) -> Column:

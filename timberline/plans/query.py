@@ -84,6 +84,6 @@ class LogQuery:
         return replace(self, start=number * size, end=(number + 1) * size)
 
 
-def display(records: DataFrame) -> DataFrame:
-    """The four columns of the grid, and the place of the line."""
-    return records.select("file", "line_no", filters.time_text().alias("time_text"), "level", "msg", filters.attrs_text().alias("attrs_text"))
+def display(records: DataFrame, full: bool = False) -> DataFrame:
+    """The four columns of the grid, and the place of the line.  ``full``: whole numbers with all their digits."""
+    return records.select("file", "line_no", filters.time_text().alias("time_text"), "level", "msg", filters.attrs_text(full).alias("attrs_text"))
