@@ -106,6 +106,26 @@ def test_words_leave_parts_out_and_lose_nothing(records, result):
     assert read(result.search("zone7")) < 20
 
 
+def test_ids_of_a_million_are_found_by_their_digits(spark, tmp_path):
+    import __spark_entry__
+
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet").withColumn("event_id", F.col("event_id") + 1_229_990)
+    events.write.parquet(f"{tmp_path}/events.parquet")
+    by_time = sorted(events.collect(), key=lambda e: (-e.ts.timestamp(), e.event_id))
+    # the digits stand in an id or another number, or in the clock
+    held = lambda e: any("123" in str(x) for x in (e.event_id, e.user_id, e.value, e.props, f"{e.ts:%H:%M:%S}.{e.ts.microsecond // 1000:03d}"))
+    want = {(e.event_id, i) for i, e in enumerate(by_time, 1) if e.event_type == "view" and held(e)}
+    got = __spark_entry__.queries()["result_by_words"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+    assert len(want) > 100
+
+
+def test_more_than_a_thousand_parts_of_a_task_keep_their_order(spark, tmp_path):
+    lines = [f'{{"msg":"{i:04d}"}}' for i in range(1100)]
+    result = store.open_result(reader.load_lines(spark, lines, "json").records.coalesce(1), LogQuery(sort=(("msg", False),)), str(tmp_path), 1)
+    assert [r.msg for r in result.page(0, 1100).select("rank", "msg").orderBy("rank").collect()] == [f"{i:04d}" for i in range(1100)]
+
+
 def test_edges(spark, records, tmp_path):
     empty = store.open_result(records, LogQuery(jq=".n == -1"), str(tmp_path), words=True)
     assert empty.total == 0

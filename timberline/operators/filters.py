@@ -32,10 +32,10 @@ def shown(column: str) -> Column:
     return {"time": time_text, "level": lambda: F.col("level"), "msg": lambda: F.col("msg"), "attrs": attrs_text}[column]()
 
 
-def quick(words: str) -> Column:
-    """Every word occurs, in any case, in the time, level, message, or an attribute's key or value."""
+def quick(words: str, full: bool = False) -> Column:
+    """Every word occurs, in any case, in the time, level, message, or an attribute's key or value; ``full``: whole numbers with all their digits."""
 
-    own = F.transform("attrs", lambda a: folded(a["key"])), F.transform("attrs", lambda a: values.bound(values.display_text(a["value"]), folded))
+    own = F.transform("attrs", lambda a: folded(a["key"])), F.transform("attrs", lambda a: values.bound(values.display_text(a["value"], full), folded))
     # every text once, for all words
     every = F.concat(F.array(folded(F.col("msg")), folded(F.col("level")), time_text()), *own)
     wanted = F.array(*(folded(F.lit(w)) for w in words.split())).cast("array<string>")

@@ -66,19 +66,20 @@ def pieces(text: Column) -> Column:
     return values.bound(folded(text), use)
 
 
-def word_pieces() -> Column:
+def word_pieces(full: bool = False) -> Column:
     """Of all texts that ``quick`` looks at but the clock."""
-    texts = F.concat(F.array("msg", "level"), F.transform("attrs", lambda a: a["key"]), F.transform("attrs", lambda a: values.display_text(a["value"])))
+    texts = F.concat(F.array("msg", "level"), F.transform("attrs", lambda a: a["key"]), F.transform("attrs", lambda a: values.display_text(a["value"], full)))
     return F.array_distinct(F.flatten(F.transform(texts, pieces)))
 
 
 @dataclass(frozen=True)
 class Result:
-    """A written result.  ``rows`` gives any stretch of it, with ``rank`` from 1 on."""
+    """A written result.  ``rows`` gives any stretch of it, with ``rank`` from 1 on.  ``full``: words are sought in all digits of whole numbers."""
 
     spark: SparkSession
     folder: str
     schema: StructType
+    full: bool = False
 
     @property
     def manifest(self) -> DataFrame:
@@ -124,15 +125,16 @@ class Result:
         """The rows that hold all words, from ``after`` to ``before``, with their ranks."""
         rows = self.parts(self.near(quick, after, before))
         if quick.strip():
-            rows = rows.where(filters.quick(quick))
+            rows = rows.where(filters.quick(quick, self.full))
         return rows if after is None and before is None else rows.where(filters.time_filter(after, before))
 
 
-def open_result(records: DataFrame, query: LogQuery, folder: str | None = None, rows_per_part: int = ROWS_PER_PART, words: bool = False) -> Result:
+def open_result(records: DataFrame, query: LogQuery, folder: str | None = None, rows_per_part: int = ROWS_PER_PART, words: bool = False, full: bool = False) -> Result:
     """The result of a query of records, without its window: found under ``folder``, or written there.
 
     ``folder``: one that all machines share; that of ``spark.checkpoint.dir`` if not
-    given.  ``words``: also write filters for ``search`` by words.
+    given.  ``words``: also write filters for ``search`` by words.  ``full``: words
+    are sought in whole numbers with all their digits, not in their ``%g`` form.
     """
     spark = records.sparkSession
     if len(query.expanded) < len(query.group):
@@ -140,20 +142,21 @@ def open_result(records: DataFrame, query: LogQuery, folder: str | None = None,
     if "rank" in records.columns:
         raise ValueError("rank is the name of the place in the result")
     query = replace(query, start=0, end=None)
-    own = f"{(folder or shared_folder(spark)).rstrip('/')}/result-{name_of(records, query, rows_per_part, words)}"
+    own = f"{(folder or shared_folder(spark)).rstrip('/')}/result-{name_of(records, query, rows_per_part, words, *["full"] * full)}"
     found = query.matching(records)
-    result = Result(spark, own, found.schema)
+    result = Result(spark, own, found.schema, full)
     done = spark._jvm.org.apache.hadoop.fs.Path(f"{own}/manifest/_SUCCESS")
     if done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
         return result
     query.run(records).write.mode("overwrite").option("maxRecordsPerFile", rows_per_part).parquet(f"{own}/data")
     written = spark.read.schema(found.schema).parquet(f"{own}/data").select("time", "level", "msg", "attrs", F.col("_metadata.file_name").alias("part"))
     by_part = written.groupBy("part").agg(F.count("*").alias("n"), F.min("time").alias("earliest"), F.max("time").alias("latest"))
-    # parts are named in the order of their rows; this counts on over one row a part
-    before = F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    # parts are named by their task and their number in it, which may have more digits than others; this counts on over one row a part
+    places = [F.regexp_extract("part", pattern, 1).cast("bigint") for pattern in (r"^part-(\d+)", r"-c(\d+)\.")]
+    before = F.sum("n").over(Window.orderBy(*places, "part").rowsBetween(Window.unboundedPreceding, -1))
     manifest = by_part.withColumn("start", F.coalesce(before, F.lit(0)))
     if words:
-        bits = written.select("part", F.explode(word_pieces()).alias("bit")).groupBy("part").agg(F.bitmap_construct_agg("bit").alias("words"))
+        bits = written.select("part", F.explode(word_pieces(full)).alias("bit")).groupBy("part").agg(F.bitmap_construct_agg("bit").alias("words"))
         manifest = manifest.join(bits, "part", "left").withColumn("words", F.coalesce("words", F.lit(bytes(BITS // 8))))
     manifest.write.mode("overwrite").parquet(f"{own}/manifest")
     return result
